@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import survivors
+from . import cooccurrence, leakage, survivors
 
-MODULES = [survivors]
+MODULES = [survivors, cooccurrence, leakage]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
