@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cooccurrence, leakage, survivors
+from . import cooccurrence, leakage, neardup, survivors
 
-MODULES = [survivors, cooccurrence, leakage]
+MODULES = [survivors, cooccurrence, leakage, neardup]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
