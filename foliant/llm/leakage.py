@@ -13,14 +13,15 @@ the block's items.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import spread, table
-from .words import shingles, words
+from .words import words
 
 ITEM_WORDS = 2_000_000
 
@@ -44,28 +45,34 @@ class Items:
 
     @staticmethod
     def shingles(ids: np.ndarray, k: int) -> np.ndarray:
-        return shingles(ids.astype(np.uint64), k)
-
-    def read(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words(text)], np.uint32)
+        """Hashes of the runs of k ids; equal hashes are told apart later, when the window is compared."""
+        h = np.zeros(max(0, len(ids) - k + 1), np.uint64)
+        for i in range(k):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(h)]
+        return h
+
+    def read(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words behind each other, each text followed by a 0, and where the texts begin."""
+        get, flat, starts = self.vocabulary.get, [], [0]
+        for t in texts:
+            flat.extend(map(get, words(t), repeat(0)))
+            flat.append(0)
+            starts.append(len(flat))
+        return np.array(flat, np.uint64), np.array(starts)
 
     def hits(self, ids: np.ndarray, which: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shingle size, places, shingles) of a text; only places without a foreign word are hashed."""
+        """(shingle size, places, shingles) in a batch of texts; a run with a 0 in it is no shingle of an item."""
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
         for k in self.sizes:
             if len(ids) < k or not len(which[k]):
                 continue
-            known = np.concatenate([[0], np.cumsum(ids > 0)])
             at = np.flatnonzero(known[k:] - known[:-k] == k)
-            if len(at):
-                h = np.zeros(len(at), np.uint64)
-                sh = self.shingles(ids, k) if len(at) > len(ids) // 4 else None
-                h = sh[at] if sh is not None else np.array([self.shingles(ids[a : a + k], k)[0] for a in at], np.uint64)
-                i = np.searchsorted(which[k], h)
-                i[i == len(which[k])] = 0
-                ok = which[k][i] == h
-                if ok.any():
-                    yield k, at[ok], h[ok]
+            h = self.shingles(ids, k)[at]
+            i = np.searchsorted(which[k], h)
+            i[i == len(which[k])] = 0
+            ok = which[k][i] == h
+            if ok.any():
+                yield k, at[ok], h[ok]
 
     def prefixes(self, counts: dict[tuple[int, int], int]) -> dict[int, dict[int, list[tuple[int, int, int]]]]:
         """By shingle size and rarest shingle: (window, its offset). Ties go to the smaller hash."""
@@ -110,10 +117,9 @@ def contained(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             q, got = shared.value, {}
             for pdf in batches:
-                for t in pdf["t"]:
-                    for k, _, h in q.hits(q.read(t), q.own):
-                        for x in h.tolist():
-                            got[k, x] = got.get((k, x), 0) + 1
+                for k, _, h in q.hits(q.read(pdf["t"])[0], q.own):
+                    for x, n in zip(*map(np.ndarray.tolist, np.unique(h, return_counts=True))):
+                        got[k, x] = got.get((k, x), 0) + n
             yield pd.DataFrame({"k": [a for a, _ in got], "h": np.array([b for _, b in got], np.uint64).view(np.int64), "n": list(got.values())})
 
         seen = d.select("t").mapInPandas(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect()
@@ -123,19 +129,17 @@ def contained(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         def verify(batches: Iterator[pd.DataFrame], shared=shared, rare=rare) -> Iterator[pd.DataFrame]:
             q, (probes, known) = shared.value, rare.value
             for pdf in batches:
-                out = []
-                for d, t in zip(pdf["d"], pdf["t"]):
-                    ids, found = q.read(t), set()
-                    for k, at, h in q.hits(ids, known):
-                        for a, x in zip(at.tolist(), h.tolist()):
-                            for w, offset in probes[k][x]:
-                                item, text, start, n = q.windows[w]
-                                lo = a - offset
-                                if item in found or lo < 0 or lo + n > len(ids):
-                                    continue
-                                if (ids[lo : lo + n] == q.texts[text][start : start + n]).all():
-                                    found.add(item)
-                    out += [(d, i) for i in found]
+                (ids, starts), found = q.read(pdf["t"]), set()
+                for k, at, h in q.hits(ids, known):
+                    for a, x, row in zip(at.tolist(), h.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
+                        for w, offset in probes[k][x]:
+                            item, text, start, n = q.windows[w]
+                            lo = a - offset
+                            if (row, item) in found or lo < starts[row] or lo + n > starts[row + 1] - 1:
+                                continue
+                            if (ids[lo : lo + n] == q.texts[text][start : start + n]).all():
+                                found.add((row, item))
+                out = [(pdf["d"].iat[row], item) for row, item in found]
                 yield pd.DataFrame(out, columns=["d", "i"])
 
         parts.append(d.mapInPandas(verify, f"d {doc_type}, i {item_type}"))

@@ -14,8 +14,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 @lru_cache(1)
-def _invisible() -> dict[int, None]:
-    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"}
+def _invisible() -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"))) + "]+")
 
 
 def normal(text: str | None) -> str:
@@ -24,7 +24,7 @@ def normal(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", text.translate(_invisible())).lower()
+    return unicodedata.normalize("NFKC", _invisible().sub("", text)).lower()
 
 
 def words(text: str | None) -> list[str]:
