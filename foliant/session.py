@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,11 +54,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy Python work; without columns, round robin."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *cols)
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before CPU-heavy work, where the input has fewer partitions than cores.
 
-
-KEEP = StorageLevel.DISK_ONLY
+    Large inputs have more partitions than that and are left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
