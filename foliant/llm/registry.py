@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cooccurrence, encodings, leakage, neardup, survivors
+from . import cooccurrence, encodings, languages, leakage, neardup, survivors
 
-MODULES = [survivors, cooccurrence, leakage, neardup, encodings]
+MODULES = [survivors, cooccurrence, leakage, neardup, encodings, languages]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
