@@ -4,7 +4,8 @@ A text is the set of its runs of k words. Coordinate j of a signature is the min
 pi(sigma(x) + j): sigma and pi are two fixed permutations of the 32-bit numbers, and the second one is
 shifted circularly by j instead of drawing a permutation per coordinate. Texts with equal sets are one
 class and are signed once. Classes that share a band become candidates; a bound on their sizes is
-applied in the join, and every candidate is verified on the whole sets.
+applied in the join, sketches of two bits a coordinate put aside those that are nowhere near the
+threshold, and every other candidate is verified on the whole sets.
 
 Bands that a great many classes share aren't paired within themselves: their classes are joined by the
 rarest shingles of each (prefix filter), which loses no pair at or above the threshold.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from .words import MIX, WordHashes, mix64, shingles, words
 
 HOT_BAND = 500
 CHUNK = 1 << 15
+SKETCHED = 256
+NEEDED_BROADCAST = 50_000
 
 
 def bands_for(threshold: float, recall: float = 0.9998) -> tuple[int, int]:
@@ -34,15 +37,18 @@ def bands_for(threshold: float, recall: float = 0.9998) -> tuple[int, int]:
     return rows, max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
 
 
-def permute(x: np.ndarray, a: int, b: int) -> np.ndarray:
+def permuted(x: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
     """A permutation of the 32-bit numbers (xor-shifts and odd factors)."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(a)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(b)
-    return x ^ (x >> np.uint32(16))
+    for factor in (0x7FEB352D, 0x846CA68B):
+        np.right_shift(x, 15, out=spare)
+        np.bitwise_xor(x, spare, out=out)
+        np.multiply(out, np.uint32(factor), out=out)
+        x = out
+    return out
 
 
 def signatures(sets: list[np.ndarray], rows: int) -> np.ndarray:
-    """One signature a set, none of them empty, by two permutations."""
+    """One signature a set of 64-bit hashes, none of them empty, by two permutations."""
     out = np.empty((len(sets), rows), np.uint32)
     at = 0
     while at < len(sets):
@@ -52,44 +58,16 @@ def signatures(sets: list[np.ndarray], rows: int) -> np.ndarray:
             end += 1
         part = sets[at:end]
         x = np.concatenate(part)
-        x = permute((x ^ (x >> np.uint64(32))).astype(np.uint32), 0x85EBCA6B, 0xC2B2AE35)
+        x = mix64(x).astype(np.uint32)  # the first permutation, of the hashes, folded to 32 bits
+        y, spare = np.empty_like(x), np.empty_like(x)
         starts = np.concatenate([[0], np.cumsum([len(s) for s in part])[:-1]])
         for j in range(rows):
-            out[at:end, j] = np.minimum.reduceat(permute(x + np.uint32(j), 0x7FEB352D, 0x846CA68B), starts)
+            np.add(x, np.uint32(j), out=y)
+            out[at:end, j] = np.minimum.reduceat(permuted(y, y, spare), starts)
         at = end
     return out
 
 
-def shingle_sets(df: DataFrame, ident: str, text: str, k: int) -> DataFrame:
-    """(id, fp, m, sh): the set as sorted hashes, its size and fingerprint; texts of under k words are left out."""
-    kind = df.schema[ident].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = WordHashes()
-        for pdf in batches:
-            sets = [np.unique(shingles(of(words(t)), k)) for t in pdf["t"]]
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            yield pd.DataFrame({"id": pdf["id"].iloc[keep], "fp": [hashlib.md5(sets[i].tobytes()).digest() for i in keep], "m": np.array([len(sets[i]) for i in keep], np.int32), "sh": [sets[i].view(np.int64) for i in keep]})
-
-    rows = df.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("t")).distinct()
-    return rows.mapInPandas(run, f"id {kind}, fp binary, m int, sh array<long>")
-
-
-def band_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(fp, m, key): a 64-bit key for each band of each class; the band's number goes into the key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sig = signatures([s.astype(np.int64).view(np.uint64) for s in pdf["sh"]], rows * bands).astype(np.uint64)
-            keys = np.empty((len(pdf), bands), np.uint64)
-            for b in range(bands):
-                keys[:, b] = folded(sig[:, b * rows : (b + 1) * rows], b)
-            yield pd.DataFrame({"fp": pdf["fp"], "m": pdf["m"], "keys": list(keys.view(np.int64))})
-
-    return classes.select("fp", "m", "sh").mapInPandas(run, "fp binary, m int, keys array<long>").select("fp", "m", F.explode("keys").alias("key"))
-
-
 def folded(columns: np.ndarray, seed: int) -> np.ndarray:
     """One hash a row."""
     h = np.full(len(columns), seed, np.uint64)
@@ -98,58 +76,123 @@ def folded(columns: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-def candidates(bands: DataFrame, classes: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """(a, b): classes, a < b, that share a band and whose sizes allow the threshold."""
+def shingle_sets(texts: Iterable[str], k: int, of: WordHashes) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    ws = [words(t) for t in texts]
+    h = shingles(of([w for x in ws for w in x]), k)
+    ends = np.cumsum([len(x) for x in ws])
+    return [np.unique(h[e - len(x) : max(e - len(x), e - k + 1)]) for x, e in zip(ws, ends.tolist())]
+
+
+def signed(df: DataFrame, ident: str, text: str, k: int, rows: int, bands: int) -> DataFrame:
+    """(id, fp, m, keys, sketch): fingerprint and size of the set, a key per band, two bits of each of 256 coordinates.
+
+    Texts of under k words are left out.
+    """
+    kind = df.schema[ident].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = WordHashes()
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                pdf = whole.iloc[lo : lo + 1000]
+                sets = shingle_sets(pdf["t"], k, of)
+                keep = [i for i, s in enumerate(sets) if len(s)]
+                if not keep:
+                    continue
+                sets = [sets[i] for i in keep]
+                sig = signatures(sets, max(rows * bands, SKETCHED)).astype(np.uint64)
+                keys = np.stack([folded(sig[:, b * rows : (b + 1) * rows], b) for b in range(bands)], 1)
+                two = (sig[:, :SKETCHED].reshape(len(sets), SKETCHED // 32, 32) & np.uint64(3)) << (2 * np.arange(32, dtype=np.uint64))
+                sketch = np.bitwise_or.reduce(two, axis=2)
+                yield pd.DataFrame({"id": pdf["id"].iloc[keep].to_numpy(), "fp": [hashlib.md5(s.tobytes()).digest() for s in sets], "m": np.array([len(s) for s in sets], np.int32), "keys": list(keys.view(np.int64)), "sketch": list(sketch.view(np.int64))})
+
+    rows_ = df.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("t"))
+    return spread(rows_).mapInPandas(run, f"id {kind}, fp binary, m int, keys array<long>, sketch array<long>")
+
+
+def candidates(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, hot: int) -> DataFrame:
+    """(a, b): classes, a < b, that share a band and whose sizes allow the threshold.
+
+    bands: (c, m, key). sets_of gives (c, sh) for the classes in a table; it is asked only for those in
+    bands that more than hot classes share.
+    """
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(threshold)
     count = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpoint(bands.join(count, "key"))
     few, many = shared.where(F.col("n") <= hot), shared.where(F.col("n") > hot)
-    x, y = few.select("key", F.col("fp").alias("a"), F.col("m").alias("ma")), few.select("key", F.col("fp").alias("b"), F.col("m").alias("mb"))
+    x, y = few.select("key", F.col("c").alias("a"), F.col("m").alias("ma")), few.select("key", F.col("c").alias("b"), F.col("m").alias("mb"))
     out = x.join(y, "key").where((F.col("a") < F.col("b")) & fits(F.col("ma"), F.col("mb"))).select("a", "b")
     if not many.isEmpty():
-        sets = many.select("fp").distinct().join(classes, "fp")
-        token = sets.select("fp", "m", F.explode("sh").alias("s"))
+        token = sets_of(many.select("c").distinct()).select("c", F.size("sh").alias("m"), F.explode("sh").alias("s"))
+        # a shingle that only one class has takes a place in the prefix but joins nothing
         seen = token.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-        # a token that only one class has takes a place in the prefix but joins nothing
-        ranked = token.join(seen, "s", "left").withColumn("r", F.row_number().over(W.partitionBy("fp").orderBy(F.coalesce("df", F.lit(1)), "s")))
-        prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - 1e-9) + 1) & F.col("df").isNotNull()).select("s", "fp", "m", "r")
-        p, q = prefix.select("s", F.col("fp").alias("a"), F.col("m").alias("ma"), F.col("r").alias("ra")), prefix.select("s", F.col("fp").alias("b"), F.col("m").alias("mb"), F.col("r").alias("rb"))
-        # positions bound the overlap: 1 + what is left after the first shared token
+        ranked = token.join(seen, "s", "left").withColumn("r", F.row_number().over(W.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "s")))
+        prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - 1e-9) + 1) & F.col("df").isNotNull()).select("s", "c", "m", "r")
+        p, q = prefix.select("s", F.col("c").alias("a"), F.col("m").alias("ma"), F.col("r").alias("ra")), prefix.select("s", F.col("c").alias("b"), F.col("m").alias("mb"), F.col("r").alias("rb"))
+        # the first shared shingle bounds the overlap by what is left behind it
         left = F.least(F.col("ma") - F.col("ra"), F.col("mb") - F.col("rb")) + 1
-        # shared tokens before this one can only be counted at their own place, so the bound holds for the first
         first = p.join(q, "s").where((F.col("a") < F.col("b")) & fits(F.col("ma"), F.col("mb"))).groupBy("a", "b").agg(F.max(left).alias("most"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
         out = out.union(first.where(F.col("most") >= (F.col("ma") + F.col("mb")) * F.lit(threshold / (1 + threshold)) - 1e-6).select("a", "b"))
     return out.distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose Jaccard coefficient reaches the threshold."""
-    s = classes.select("fp", "m", "sh")
-    both = pairs.join(s.toDF("a", "ma", "sa"), "a").join(s.toDF("b", "mb", "sb"), "b")
-    n = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("i", n).withColumn("similarity", F.col("i") / (F.col("ma") + F.col("mb") - F.col("i"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose sketches agree as often as a pair at the threshold does, less six standard deviations.
+
+    Two bits of a coordinate agree with probability j + (1 - j) / 4, so less than one in a hundred million
+    pairs at the threshold is lost, and unlike ones aren't carried to the verification.
+    """
+    p = threshold + (1 - threshold) / 4
+    least = SKETCHED * p - 6 * math.sqrt(SKETCHED * p * (1 - p))
+    both = pairs.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b")
+    odd = F.lit(0x5555555555555555)
+    differ = F.zip_with("ka", "kb", lambda x, y: F.bit_count((x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1))).bitwiseAND(odd)))
+    return both.where(F.lit(SKETCHED) - F.aggregate(differ, F.lit(0), lambda s, x: s + x) >= least).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, ident: str, text: str, k: int = 5, threshold: float = 0.8, recall: float = 0.9998, hot: int = HOT_BAND) -> tuple[DataFrame, DataFrame]:
-    """((id, fp, m) of every record that has a shingle, (a, b, similarity) between classes of equal sets).
+    """((id, c, m) of every record that has a shingle, (a, b, similarity) between classes c of equal sets).
 
     Records with a null id or text, or with fewer than k words, are alike to none. Repeated rows count
     once; an id with two texts is in two classes. An empty table gives empty results.
     """
-    sets = checkpoint(spread(shingle_sets(df, ident, text, k)))
-    classes = sets.dropDuplicates(["fp"]).select("fp", "m", "sh")
     rows, bands = bands_for(threshold, recall)
-    cand = candidates(band_keys(classes, rows, bands), classes, threshold, hot)
-    return sets.select("id", "fp", "m"), checkpoint(verified(cand, classes, threshold))
+    sig = checkpoint(signed(df, ident, text, k, rows, bands).withColumn("row", F.monotonically_increasing_id()))
+    first = sig.groupBy("fp").agg(F.min("row").alias("c"))
+    members = checkpoint(sig.select("id", "fp", "m").join(first, "fp").distinct())
+    one = sig.join(first.select(F.col("c").alias("row")), "row", "left_semi")
+
+    def sets_of(need: DataFrame) -> DataFrame:
+        """(c, sh) of the classes in need, from the texts of one record each."""
+        who = checkpoint(members.join(need, "c").groupBy("c", "fp").agg(F.min("id").alias("id")))
+        hint = F.broadcast if who.count() <= NEEDED_BROADCAST else (lambda x: x)
+        texts = df.select(F.col(ident).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").join(hint(who.select("id").distinct()), "id")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = WordHashes()
+            for whole in batches:
+                for lo in range(0, len(whole), 1000):
+                    sets = [s for s in shingle_sets(whole["t"].iloc[lo : lo + 1000], k, of) if len(s)]
+                    yield pd.DataFrame({"fp": [hashlib.md5(s.tobytes()).digest() for s in sets], "sh": [s.view(np.int64) for s in sets]})
+
+        return texts.mapInPandas(run, "fp binary, sh array<long>").join(hint(who.select("c", "fp")), "fp").dropDuplicates(["c"]).select("c", "sh")
+
+    cand = candidates(one.select(F.col("row").alias("c"), "m", F.explode("keys").alias("key")), sets_of, threshold, hot)
+    pairs = checkpoint(likely(cand, sig.select("row", "sketch"), threshold))
+    sets = checkpoint(sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    links = both.withColumn("similarity", F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return members.select("id", "c", "m"), checkpoint(links)
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b, similarity) with a < b between records: of linked classes, and within a class."""
-    m = members.select("id", "fp")
+    m = members.select("id", "c")
     x, y = m.toDF("x", "fa"), m.toDF("y", "fb")
     apart = links.join(x, links["a"] == F.col("fa")).join(y, links["b"] == F.col("fb")).select("x", "y", "similarity")
-    repeated = members.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("rep"))
-    again = m.join(repeated, F.col("fp") == F.col("rep"), "left_semi")
+    repeated = members.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("rep"))
+    again = m.join(repeated, F.col("c") == F.col("rep"), "left_semi")
     same = again.toDF("x", "fa").join(again.toDF("y", "fb"), F.col("fa") == F.col("fb")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     every = apart.unionAll(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     return every.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
@@ -160,11 +203,11 @@ def record_groups(members: DataFrame, links: DataFrame) -> DataFrame:
 
     Ids are the smallest record id of the class and group; links counts the other classes linked to the record's.
     """
-    first = members.groupBy("fp").agg(F.min("id").alias("class_id"))
+    first = members.groupBy("c").agg(F.min("id").alias("class_id"))
     l = links.join(first.toDF("a", "ca"), "a").join(first.toDF("b", "cb"), "b").select("ca", "cb")
-    n = l.select(F.col("ca").alias("c")).unionAll(l.select("cb")).groupBy("c").agg(F.count("*").alias("links"))
+    n = l.select(F.col("ca").alias("l")).unionAll(l.select("cb")).groupBy("l").agg(F.count("*").alias("links"))
     comp = connected_components(l, "ca", "cb")
-    out = members.select("id", "fp").join(first, "fp").join(n, F.col("class_id") == F.col("c"), "left").join(comp, F.col("class_id") == F.col("node"), "left")
+    out = members.select("id", "c").join(first, "c").join(n, F.col("class_id") == F.col("l"), "left").join(comp, F.col("class_id") == F.col("node"), "left")
     return out.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")).distinct()
 
 
