@@ -16,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from ..session import spread, table
+from ..session import sample_rows, spread, table
 
 # The languages told apart, by their code.
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru"]
@@ -165,13 +165,10 @@ class Detector:
 
 def detector_for(labelled: DataFrame, lang: str, text: str, sample: int = SAMPLE) -> Detector:
     """Trained on at most sample documents with a label among LANGUAGES, as many of each as there are, up to a ninth."""
-    code = F.lower(F.substring(lang, 1, 2))
-    each, parts = sample // len(LANGUAGES), None
-    rows = labelled.where(code.isin(LANGUAGES) & (F.length(text) > 200)).select(code.alias("l"), F.col(text).alias("t"))
-    for l in LANGUAGES:
-        one = rows.where(F.col("l") == l).orderBy(F.xxhash64("t")).limit(each)
-        parts = one if parts is None else parts.unionAll(one)
-    return Detector(train([(r.l, r.t) for r in parts.collect()]))
+    code, each = F.lower(F.substring(lang, 1, 2)), sample // len(LANGUAGES)
+    held = sample_rows(labelled.select(lang, text), text, 8 * sample).where(code.isin(LANGUAGES) & (F.length(text) > 200))
+    ranked = held.select(code.alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h")))
+    return Detector(train([(r.l, r.t) for r in ranked.where(F.col("r") <= each).select("l", "t").collect()]))
 
 
 def detect(df: DataFrame, ident: str, text: str, detector: Detector) -> DataFrame:
