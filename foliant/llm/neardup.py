@@ -29,6 +29,7 @@ HOT_BAND = 500
 CHUNK = 1 << 15
 SKETCHED = 256
 NEEDED_BROADCAST = 50_000
+REPEATS_BROADCAST = 500_000
 
 
 def bands_for(threshold: float, recall: float = 0.9998) -> tuple[int, int]:
@@ -160,8 +161,11 @@ def near_duplicates(df: DataFrame, ident: str, text: str, k: int = 5, threshold:
     rows, bands = bands_for(threshold, recall)
     sig = checkpoint(signed(df, ident, text, k, rows, bands).withColumn("row", F.monotonically_increasing_id()))
     first = sig.groupBy("fp").agg(F.min("row").alias("c"))
-    members = checkpoint(sig.select("id", "fp", "m").join(first, "fp").distinct())
-    one = sig.join(first.select(F.col("c").alias("row")), "row", "left_semi")
+    whole = checkpoint(sig.select("id", "fp", "m", "row").join(first, "fp"))
+    members = whole.select("id", "fp", "m", "c").distinct()
+    # one record a class: few repeated ones are taken out by a broadcast, many by a shuffle
+    again = whole.where("row <> c").select("row")
+    one = sig.join(F.broadcast(again) if again.count() <= REPEATS_BROADCAST else again, "row", "left_anti")
 
     def sets_of(need: DataFrame) -> DataFrame:
         """(c, sh) of the classes in need, from the texts of one record each."""
