@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import forests
+from . import browsing, forests, terms
 
-MODULES = [forests]
+MODULES = [forests, browsing, terms]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
