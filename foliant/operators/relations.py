@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import checkpoint
 from .tags import with_ancestors
 
 
@@ -65,10 +66,10 @@ def with_tag_arrays(documents: DataFrame, tags: DataFrame) -> DataFrame:
     return documents.join(g, F.col("id") == F.col("document_id"), "left").drop("document_id").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def stamped(extra, key: str, value: str) -> Column:
+def stamped(extra, key: str, value: str | Column) -> Column:
     """extra with the key set, whether or not it was there."""
     base = F.coalesce(extra, F.create_map().cast("map<string,string>"))
-    return F.map_concat(F.map_filter(base, lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value)))
+    return F.map_concat(F.map_filter(base, lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value) if isinstance(value, str) else value))
 
 
 def node_kind(c) -> Column:
@@ -138,6 +139,7 @@ def sibling_names(df: DataFrame, folder: str, name: str, ident: str) -> DataFram
     """
     from pyspark.sql import Window as W
 
+    df = checkpoint(df)  # the name is an expression that would be repeated in every step below
     own = df.select(F.col(folder).alias("_f"), F.col(name).alias("_taken")).distinct()
     n = df.withColumn("_r", F.row_number().over(W.partitionBy(folder, name).orderBy(ident)))
     stem_, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+?(\.[^.]*)$", 1)

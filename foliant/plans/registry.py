@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import browsing, forests, searching, terms
+from . import browsing, forests, searching, terms, workflow
 
-MODULES = [forests, browsing, terms, searching]
+MODULES = [forests, browsing, terms, searching, workflow]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
