@@ -181,8 +181,10 @@ def detect(df: DataFrame, ident: str, text: str, detector: Detector) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
+            # a million characters at a time
+            block = (pdf["t"].str.len().cumsum() // 1_000_000).to_numpy()
+            for b in np.unique(block):
+                part = pdf[block == b]
                 out = [(i, *f) for i, (_, fs) in zip(part["id"], shared.value.documents(list(part["t"]))) for f in fs]
                 yield pd.DataFrame([(i, p, LANGUAGES[l], c) for i, p, l, c in out], columns=["id", "para_no", "lang", "confidence"])
 

@@ -93,17 +93,19 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("source", "prefix")
 
 
-def mixture(rows: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(rows: DataFrame, targets: DataFrame, total: float | None = None, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). rows: id, source, tokens, one row a document. targets: source, target_share, max_repeats.
 
+    chosen has id, source, tokens, the columns in keep, and repeats >= 1; other columns of rows are dropped.
+
     Without total the mixture is as large as the targets can be met exactly, up to one document a
-    source. chosen has the rows with repeats >= 1; shares has per target source what there is, what was
+    source. shares has per target source what there is, what was
     wanted, what is used and its actual share. Sources without a target and documents without tokens are
     not used; a source without tokens is left out, and the shares of the others are scaled up. A null
     max_repeats counts as 1, a null or negative share as 0. Empty tables give empty results.
     """
     goal = targets.where("source IS NOT NULL").groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"))
-    held = checkpoint(rows.where("tokens > 0 AND source IS NOT NULL").join(F.broadcast(goal), "source").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 16)))
+    held = checkpoint(rows.select("id", "source", "tokens", *keep).where("tokens > 0 AND source IS NOT NULL").join(F.broadcast(goal), "source").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 16)))
     have = held.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     plan = have.join(goal, "source", "right").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
     whole = plan.where("available > 0").agg(F.sum("target_share").alias("s"), F.min(F.when(F.col("target_share") > 0, F.col("available") * F.col("max_repeats") / F.col("target_share"))).alias("t")).first()
@@ -137,7 +139,7 @@ def documents_with_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets").select(clean("source").alias("source"), "target_share", "max_repeats")
-    return mixture(documents_with_tokens(spark, d), targets)
+    return mixture(documents_with_tokens(spark, d), targets, keep=["doc_id"])
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -178,7 +178,8 @@ def near_duplicates(df: DataFrame, ident: str, text: str, k: int = 5, threshold:
             for whole in batches:
                 for lo in range(0, len(whole), 1000):
                     sets = [s for s in shingle_sets(whole["t"].iloc[lo : lo + 1000], k, of) if len(s)]
-                    yield pd.DataFrame({"fp": [hashlib.md5(s.tobytes()).digest() for s in sets], "sh": [s.view(np.int64) for s in sets]})
+                    if sets:
+                        yield pd.DataFrame({"fp": [hashlib.md5(s.tobytes()).digest() for s in sets], "sh": [s.view(np.int64) for s in sets]})
 
         return texts.mapInPandas(run, "fp binary, sh array<long>").join(hint(who.select("c", "fp")), "fp").dropDuplicates(["c"]).select("c", "sh")
 

@@ -90,7 +90,7 @@ def manifest_groups(m: DataFrame) -> DataFrame:
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    m = manifest_groups(table(spark, d, "manifest"))
+    m = manifest_groups(table(spark, d, "manifest").select("entry_id", "id", "checksum_sha256", "size_bytes", "created_at_ms", "updated_at_ms", "received_at", "title", "tags"))
     on_time = F.expr("created_at_ms <= updated_at_ms AND updated_at_ms * 1000 <= unix_micros(received_at)")
     usable = {"checksum": F.col("sound"), "title": F.expr(r"title RLIKE '\\p{L}'"), "tags": F.expr("size(tags) > 0")}
     values = {"checksum": F.lower("checksum_sha256"), "title": F.col("title"), "tags": F.col("tags")}
