@@ -51,7 +51,9 @@ def ingested(files: DataFrame, known: DataFrame | None = None, now_ms: int = 0)
 def progress_events(done: DataFrame) -> DataFrame:
     """(kind, file, percent, error): what a batch reports of each file, in the order processing, extracting, outcome."""
     name = F.element_at("extra", "original_name")
-    steps = F.array(F.struct(F.lit(0).alias("step"), F.lit("processing").alias("kind"), F.lit(None).cast("int").alias("percent")), F.struct(F.lit(1), F.lit("extracting"), F.lit(0)), F.struct(F.lit(2), F.lit("extracting"), F.lit(100)), F.struct(F.lit(3), F.when(F.col("error").isNull(), "completed").otherwise("failed"), F.lit(None).cast("int")))
+    step = lambda n, kind, percent: F.struct(F.lit(n).alias("step"), kind.alias("kind"), F.lit(percent).cast("int").alias("percent"))
+    outcome = F.when(F.col("error").isNull(), "completed").otherwise("failed")
+    steps = F.array(step(0, F.lit("processing"), None), step(1, F.lit("extracting"), 0), step(2, F.lit("extracting"), 100), step(3, outcome, None))
     return done.select(name.alias("file"), "error", F.explode(steps).alias("s")).select("file", "s.step", "s.kind", "s.percent", F.when(F.col("s.kind") == "failed", F.col("error")).alias("error"))
 
 
