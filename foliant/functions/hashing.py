@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 # FNV-1a and splitmix64.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -80,6 +82,11 @@ def small_bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+@lru_cache(1_000_000)
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 def embedded(text: str, dim: int = 256) -> np.ndarray:
     """Signed feature hashing of runs of 1 to 3 lowered characters and of words, of unit length; zeros for an empty text."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
@@ -92,8 +99,7 @@ def embedded(text: str, dim: int = 256) -> np.ndarray:
             parts.append(h)
     words = re.findall(r"[^\W_]+", text.lower())
     if words:
-        seen = {w: window_hashes(w, 0, 17, fold_mix)[0] for w in set(words)}
-        parts.append(np.array([seen[w] for w in words], U))
+        parts.append(np.array(list(map(word_hash, words)), U))
     v = np.zeros(dim, np.float64)
     for h in parts:
         v += np.bincount((h % U(dim)).astype(int), np.where((h >> U(32)) & U(1), -1.0, 1.0), dim)

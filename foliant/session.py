@@ -55,12 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy work, where the input has fewer partitions than cores.
+    """Spread rows over all cores before CPU-heavy work, where they come in fewer partitions than cores.
 
-    Large inputs have more partitions than that and are left alone, without a shuffle.
+    A scan of a large input has more partitions than that and is left alone, without a shuffle. What
+    comes out of a join or an aggregation may have been coalesced by size, so it is spread anew.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if not any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Limit")) and df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)
 
 
 def sample_rows(df: DataFrame, by, n: int) -> DataFrame:
