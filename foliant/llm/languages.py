@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from ..session import sample_rows, spread, table
+from ..session import spread, table, thinned
 
 # The languages told apart, by their code.
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru"]
@@ -163,10 +163,10 @@ class Detector:
         return out
 
 
-def detector_for(labelled: DataFrame, lang: str, text: str, sample: int = SAMPLE) -> Detector:
+def detector_for(labelled: DataFrame, ident: str, lang: str, text: str, sample: int = SAMPLE) -> Detector:
     """Trained on at most sample documents with a label among LANGUAGES, as many of each as there are, up to a ninth."""
     code, each = F.lower(F.substring(lang, 1, 2)), sample // len(LANGUAGES)
-    held = sample_rows(labelled.select(lang, text), text, 8 * sample).where(code.isin(LANGUAGES) & (F.length(text) > 200))
+    held = thinned(labelled.select(ident, lang, text), ident, 8 * sample).where(code.isin(LANGUAGES) & (F.length(text) > 200))
     ranked = held.select(code.alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h")))
     return Detector(train([(r.l, r.t) for r in ranked.where(F.col("r") <= each).select("l", "t").collect()]))
 
@@ -194,7 +194,7 @@ def detect(df: DataFrame, ident: str, text: str, detector: Detector) -> DataFram
 
 def detected(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return detect(table(spark, d, "content"), "document_id", "text", detector_for(docs, "lang", "text"))
+    return detect(table(spark, d, "content"), "document_id", "text", detector_for(docs, "doc_id", "lang", "text"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     """Main language and paragraphs in another one, with confidence, whatever the label says; and the language of the title."""
     docs = table(spark, d, "documents")
-    det = detector_for(docs, "lang", "text")
+    det = detector_for(docs, "doc_id", "lang", "text")
     texts = detect(table(spark, d, "content"), "document_id", "text", det).select(F.col("id").alias("document_id"), F.lit("text").alias("part"), "para_no", "lang", F.round("confidence", 6).alias("confidence"))
     titles = detect(docs, "id", "title", det).where("para_no = 0").select("id", F.lit("title"), "para_no", "lang", F.round("confidence", 6))
     return texts.unionAll(titles).distinct()
