@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import hashing as h
 from ..session import checkpoint, spread
 
+HOT_BAND = 500
 FAMILIES = {"near": (h.near_signature, h.near_bands, 5), "small": (h.small_signature, h.small_bands, 3)}
 
 
@@ -59,12 +60,28 @@ def probe(asked: DataFrame, index: DataFrame, threshold: float = 0.5) -> DataFra
     return s.select("probe", "class", agreement("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def pairs(sig: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(a, b, similarity) of classes, a < b, that share a band. Bands of one class are dropped before the join."""
+def pairs(sig: DataFrame, threshold: float = 0.0, hot: int = HOT_BAND) -> DataFrame:
+    """(a, b, similarity) of classes, a < b, that share a band. Bands of one class are dropped before the join.
+
+    In bands that more than hot classes share, a threshold above 0 narrows the join without losing a pair:
+    signatures that may differ in d rows agree in all of at least one of d + 1 slices, so classes must share
+    such a slice besides the band. Without a threshold every pair of a band is asked for.
+    """
     b = bands(sig)
-    shared = checkpoint(b.join(b.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["band", "key"]))
-    x, y = shared.withColumnRenamed("class", "a"), shared.withColumnRenamed("class", "b")
-    both = x.join(y, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    shared = checkpoint(b.join(b.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]))
+    few = shared.where(F.col("n") <= hot) if threshold > 0 else shared
+    x, y = few.select("band", "key", F.col("class").alias("a")), few.select("band", "key", F.col("class").alias("b"))
+    both = x.join(y, ["band", "key"]).where("a < b").select("a", "b")
+    many = shared.where(F.col("n") > hot)
+    if threshold > 0 and not many.isEmpty():
+        rows = sig.select(F.size("sig").alias("n")).first()["n"]
+        slices = int(rows * (1 - threshold) + 1e-9) + 1
+        cuts = [round(i * rows / slices) for i in range(slices + 1)]
+        keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", p + 1, q - p)) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if q > p])
+        cut = many.select("class", "band", "key").join(sig.select("class", F.explode(keys).alias("slice")), "class")
+        x, y = cut.withColumnRenamed("class", "a"), cut.withColumnRenamed("class", "b")
+        both = both.union(x.join(y, ["band", "key", "slice"]).where("a < b").select("a", "b"))
+    both = both.distinct()
     s = both.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("class").alias("b"), F.col("sig").alias("sb")), "b")
     return s.select("a", "b", agreement("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
 

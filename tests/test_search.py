@@ -130,3 +130,13 @@ def test_agreement_is_an_estimate():
     y = {b[i : i + 5] for i in range(596)}
     got = (h.near_signature(a) == h.near_signature(b)).mean()
     assert math.isclose(got, len(x & y) / len(x | y), abs_tol=0.12)
+
+
+def test_hot_bands_lose_no_pair(spark):
+    rnd = random.Random(2)
+    base = " ".join(rnd.choice("river table lamp green quick stone paper cloud".split()) for _ in range(80))
+    rows = [(str(i), base[: 300 - rnd.randint(0, 40)] + "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 30)))) for i in range(40)]
+    sig = lsh.signatures(lsh.classes(docs(spark, rows), "document_id", "text")[1], "small")
+    for t in (0.6, 0.85):
+        a, b = ({(r.a, r.b) for r in lsh.pairs(sig, t, hot).collect()} for hot in (1, 10_000))
+        assert a == b and a
