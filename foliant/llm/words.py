@@ -14,8 +14,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 @lru_cache(1)
-def _invisible() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"))) + "]+")
+def _invisible() -> dict[str, None]:
+    return dict.fromkeys(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf")
 
 
 def normal(text: str | None) -> str:
@@ -24,7 +24,9 @@ def normal(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", _invisible().sub("", text)).lower()
+    if hidden := set(text) & _invisible().keys():
+        text = text.translate(dict.fromkeys(map(ord, hidden)))
+    return unicodedata.normalize("NFKC", text).lower()
 
 
 def words(text: str | None) -> list[str]:
