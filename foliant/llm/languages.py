@@ -98,8 +98,11 @@ class MaskFilter:
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of n-grams of each text; for each text and language those it contains, false ones taken off)."""
         h, owner = grams(texts)
-        mask, n = self.languages_of(h), np.bincount(owner, minlength=len(texts))[: len(texts)].astype(float)
-        hit = np.stack([np.bincount(owner, (mask >> np.uint32(b)) & 1, minlength=len(texts))[: len(texts)] for b in range(self.bits)], 1)
+        # how often each mask occurs in each text, then the bits of the masks
+        kinds = 1 << self.bits
+        seen = np.bincount(owner * kinds + self.languages_of(h).astype(np.int64), minlength=len(texts) * kinds)[: len(texts) * kinds].reshape(len(texts), kinds)
+        hit = seen @ ((np.arange(kinds)[:, None] >> np.arange(self.bits)) & 1)
+        n = seen.sum(1).astype(float)
         f = self.false_rates()
         return n, np.clip((hit - n[:, None] * f) / (1 - f), 0, None)
 
