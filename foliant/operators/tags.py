@@ -48,7 +48,7 @@ def under(c, path: str) -> Column:
 
 
 def path_error(c: str) -> Column:
-    """Null for a valid path, else what is wrong with it."""
+    """Null for a valid path, else what is wrong with it. The messages."""
     t = F.col(c)
     s = F.split(t, "/")
     return (
