@@ -11,12 +11,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..session import checkpoint
 from .graph import double_pointers
 
 SIBLING_BUCKETS = 512
+BASE = 8
+STRETCH = 65536
 
 
 def parents(rows: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -113,8 +115,53 @@ def hierarchy(rows: DataFrame, node: str = "node", parent: str = "parent", paths
     return out.unionByName(rings, allowMissingColumns=True)
 
 
-def descendants(labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ancestor, node) for the given nodes (column node): the interval of each within its root's tree."""
-    v = labels.join(nodes.select("node").distinct(), "node").where("depth >= 0").select(F.col("node").alias("ancestor"), "root", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    u = labels.where("depth >= 0").select("node", "root", "lo")
-    return v.join(u, "root").where("lo > a_lo AND lo < a_hi").select("ancestor", "node")
+def blocks(at: Column, levels: Column) -> Column:
+    """The blocks of BASE ** level positions that hold a position, for the levels 0 to levels."""
+    return F.transform(F.sequence(F.lit(0), levels), lambda k: F.struct(k.alias("level"), F.floor(at / F.pow(F.lit(BASE), k)).alias("block")))
+
+
+def cover(lo: Column, hi: Column, levels: Column) -> Column:
+    """The fewest whole blocks that make up the positions from lo to hi - 1: at each level those beyond the ones of the next."""
+    up = lambda x, k: F.ceil(x / F.pow(F.lit(BASE), k))
+    down = lambda x, k: F.floor(x / F.pow(F.lit(BASE), k))
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def level(k: Column) -> Column:
+        a, b, c, e = up(lo, k), down(hi, k), up(lo, k + 1) * BASE, down(hi, k + 1) * BASE
+        own = F.when((c < e) & (k < levels), F.concat(run(a, c), run(e, b))).otherwise(run(a, b))
+        return F.transform(own, lambda x: F.struct(k.alias("level"), x.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), levels), level))
+
+
+def descendants(labels: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(ancestor, node) of the given nodes (column node), or of all, by the interval of each within its root's tree.
+
+    Intervals are made up of whole blocks of positions, which meet the nodes' blocks by an equi-join: every row
+    it yields is a descendant, however large the trees are.
+    """
+    free = labels.where("depth >= 0")
+    asked = free if nodes is None else free.join(nodes.select("node").distinct(), "node", "left_semi")
+    sized = asked.where("hi > lo + 1")
+    top = free.where("node = root AND hi > lo + 1").select("root", F.floor(F.log(float(BASE), F.col("hi").cast("double"))).cast("int").alias("levels"))
+    v = sized.join(top, "root").select(F.col("node").alias("ancestor"), "root", F.explode(cover(F.col("lo") + 1, F.col("hi"), F.col("levels"))).alias("x")).select("ancestor", "root", "x.*")
+    u = free.where("node <> root").join(top, "root").select("node", "root", F.explode(blocks(F.col("lo"), F.col("levels"))).alias("x")).select("node", "root", "x.*")
+    return v.join(u, ["root", "level", "block"]).select("ancestor", "node")
+
+
+def counted(labels: DataFrame) -> DataFrame:
+    """(node, n): how many nodes' positions lie within each node's interval, counted among the positions themselves.
+
+    Positions are counted up within stretches of a tree, so no task holds a whole tree.
+    """
+    free = labels.where("depth >= 0")
+    begin = free.select("root", "node", F.col("lo").alias("at"), F.lit(1).alias("one"))
+    end = free.where("hi > lo + 1").select("root", "node", F.col("hi").alias("at"), F.lit(0).alias("one"))
+    marks = checkpoint(begin.unionAll(end).withColumn("b", F.floor(F.col("at") / STRETCH)))
+    within = W.partitionBy("root", "b").orderBy("at", "one").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("s_root").orderBy("s_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = marks.groupBy(F.col("root").alias("s_root"), F.col("b").alias("s_b")).agg(F.sum("one").alias("s")).withColumn("s", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    upto = marks.withColumn("c", F.sum("one").over(within)).join(sums, (F.col("root") == F.col("s_root")) & (F.col("b") == F.col("s_b")))
+    c = F.col("c") + F.col("s")
+    both = upto.groupBy("node").agg(F.sum(F.when(F.col("one") == 0, c)).alias("last"), F.sum(F.when(F.col("one") == 1, c)).alias("first"))
+    return both.select("node", F.coalesce(F.col("last") - F.col("first"), F.lit(0)).alias("n"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.forest import hierarchy
-from ..session import table
+from ..operators.forest import counted, descendants, hierarchy
+from ..session import checkpoint, table
 
 SEP = "\u0001"
 
@@ -37,9 +37,15 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Number of descendants by the interval, which is checked to be as long as the subtree."""
-    h = hierarchy(links(spark, d), intervals=True).where("depth >= 0")
-    return h.select(split("node")[0].alias("tree"), split("node")[1].alias("node"), (F.col("hi") - F.col("lo") - 1).alias("n_descendants"))
+    """Number of descendants, by counting the nodes whose position lies within the interval."""
+    h = checkpoint(hierarchy(links(spark, d), intervals=True).where("depth >= 0"))
+    return counted(h).select(split("node")[0].alias("tree"), split("node")[1].alias("node"), F.col("n").alias("n_descendants"))
+
+
+def p6_below(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants themselves: a row for every node outside rings and each node below it, found by the interval."""
+    h = checkpoint(hierarchy(links(spark, d), intervals=True).where("depth >= 0"))
+    return descendants(h).select(split("node")[0].alias("tree"), split("ancestor")[1].alias("ancestor"), split("node")[1].alias("node"))
 
 
 NODES_SQL = r"""
@@ -69,6 +75,11 @@ anc AS (
   SELECT tree, node, parent AS a FROM nodes WHERE (tree, node) IN (SELECT (tree, node) FROM down)
   UNION ALL SELECT x.tree, x.node, n.parent FROM anc x JOIN nodes n ON x.tree = n.tree AND x.a = n.node)
 SELECT d.tree, d.node, count(x.node) AS n_descendants FROM down d LEFT JOIN anc x ON d.tree = x.tree AND d.node = x.a GROUP BY 1, 2""",
+    "p6_below": f"""WITH RECURSIVE {NODES_SQL},
+anc AS (
+  SELECT tree, node, parent AS a FROM nodes WHERE (tree, node) IN (SELECT (tree, node) FROM down)
+  UNION ALL SELECT x.tree, x.node, n.parent FROM anc x JOIN nodes n ON x.tree = n.tree AND x.a = n.node)
+SELECT tree, a AS ancestor, node FROM anc WHERE a IS NOT NULL""",
 }
 
-QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
+QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_below": p6_below}

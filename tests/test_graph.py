@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from foliant.operators.forest import descendants, hierarchy
+from foliant.operators.forest import counted, descendants, hierarchy
 from foliant.operators.graph import connected_components, double_pointers
 
 
@@ -93,3 +93,20 @@ def test_hierarchy_of_nothing(spark):
     assert hierarchy(spark.createDataFrame([], "node string, parent string"), paths=True, intervals=True).count() == 0
     one = hierarchy(spark.createDataFrame([("a", "a")], "node string, parent string")).first()
     assert (one.root, one.depth) == ("a", -1)
+
+
+def test_descendants_of_every_node_by_position(spark):
+    want = brute(random_forest(3))
+    below = {n: {m for m, x in want.items() if x[2] and n in x[2] and m != n} for n, w in want.items() if w[2]}
+    h = hierarchy(spark.createDataFrame(random_forest(3), "node string, parent string"), intervals=True).cache()
+    assert sorted((r.ancestor, r.node) for r in descendants(h).collect()) == sorted((a, m) for a in below for m in below[a])
+    assert {r.node: r.n for r in counted(h).collect()} == {n: len(b) for n, b in below.items()}
+    # a wrong numbering shows: hi - lo - 1 would still be the size of the subtree
+    wrong = h.selectExpr("node", "root", "depth", "IF(node = 'n1', lo + 100000, lo) AS lo", "IF(node = 'n1', hi + 100000, hi) AS hi")
+    assert {r.node: r.n for r in counted(wrong).collect()}["n1"] == 0
+
+
+def test_descendants_have_registered_queries():
+    from foliant.plans import registry
+
+    assert "p6_below" in registry.QUERIES and "p6_below" in registry.SQL
