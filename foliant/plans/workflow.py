@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import assistant, lsh, organize, relations as rel, sync
-from ..schemas import CON, LIB, contents, feedback, library, own_tags
-from ..session import table
+from ..operators import assistant, lsh, organize, relations as rel, sync, tfidf, vectors
+from ..schemas import CON, LIB, contents, library, own_tags, stripped
+from ..session import checkpoint, table
 from ..sources.files import expected_places, reconciliation
 
 QUERIES, SQL = {}, {}
@@ -28,10 +28,26 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(contents(spark, d), F.col("id") == F.col("document_id"), "left").select("id", "doc_id", "title", F.when(F.col("text").rlike(r"\S"), F.col("text")).otherwise(F.col("title")).alias("text"))
 
 
+def tag_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback on tags, as which the peers' reports stand in: one that carries a document's tag accepts it, one without rejects it."""
+    said = table(spark, d, "manifest").where("id IS NOT NULL AND tags IS NOT NULL").select("id", F.transform("tags", stripped).alias("said"))
+    both = own_tags(spark, d).join(said, F.col("document_id") == F.col("id"))
+    return both.select(F.lit("tags").alias("kind"), F.lit("tag").alias("context"), F.col("tag").alias("term"), F.when(F.array_contains("said", F.col("tag")), "accepted").otherwise("rejected").alias("action"), F.lit(1.0).alias("weight"))
+
+
+def emergent(c: DataFrame) -> list[str]:
+    """The heaviest term of each cluster of the corpus, at most vectors.default_k terms, in the clusters' order."""
+    assigned, _ = vectors.kmeans(vectors.embed(c, "id", "text", 64), "id", "vector")
+    tf = tfidf.term_frequencies(c, "id", "text")
+    rows = vectors.emergent_tags(assigned, tfidf.vectors(tf, tfidf.inverse_frequencies(tf, c.count()))).orderBy("cluster").collect()
+    return list(dict.fromkeys(r.term for r in rows))
+
+
 def planned(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d)
-    stats = rel.feedback_stats(feedback(spark, d))
-    return organize.plans(c, own_tags(spark, d), c.where("doc_id % 100 = 0").select(F.col("id").alias("doc")), ["invoice", "lease"], stats)
+    c = checkpoint(corpus(spark, d))
+    asked = c.where("doc_id % 100 = 0").select(F.col("id").alias("doc"))
+    twins = lsh.duplicates(c, "id", "text").join(asked, F.col("id") == F.col("doc"), "left_semi")
+    return organize.plans(c, own_tags(spark, d), asked, emergent(c), rel.feedback_stats(tag_feedback(spark, d)), twins)
 
 
 @query()

@@ -179,3 +179,26 @@ def test_assistant(spark):
     assert assistant.cited(spark.createDataFrame([("see [1] and [2]",)], "text string"), refs).first().text == "see ⟨src a⟩ and [2]"
     history = spark.createDataFrame([(0, "user", "hi")], "turn long, role string, text string")
     assert [r.role for r in assistant.messages(history, refs, "q").orderBy("pos").collect()] == ["system", "user", "user"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("data"))
+    lease = "the lease for the upper flat names the landlord, the tenant, the deposit and the boiler that is serviced every year in autumn"
+    invoice = "invoice acme payment total due within thirty days of delivery to the account named below in the letter"
+    texts = {"a": lease, "b": lease, "c": lease + "!", "e": invoice, "f": "cookie recipe with butter, sugar and flour, baked for ten minutes", "g": "one text that stands entirely alone among lectures on glaciers"}
+    spark.createDataFrame([(n * 100 if i in "abg" else n, i, "document", f"title {i}", n) for n, i in enumerate(texts, 1)], "doc_id long, id string, kind string, title string, ingested_at long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, t, "plain") for i, t in texts.items()], schemas.CONTENT).write.parquet(f"{d}/content.parquet")
+    spark.createDataFrame([("b", "flat"), ("b", "rent"), ("e", "money")], schemas.DOCUMENT_TAGS).write.parquet(f"{d}/document_tags.parquet")
+    spark.createDataFrame([("b", [" rent "])] * 3, "id string, tags array<string>").write.parquet(f"{d}/manifest.parquet")
+    return d
+
+
+def test_plans_of_a_library_have_duplicates_clusters_and_feedback(spark, folder):
+    from foliant.plans import workflow
+
+    p = {r.document_id: r for r in workflow.organise_plans(spark, folder).collect()}
+    assert {i: r.is_duplicate_of for i, r in p.items()} == {"a": "b", "b": "a", "g": None}
+    assert p["a"].tags.startswith("rent|") and "|flat" in p["a"].tags  # without feedback the order is flat, rent
+    terms = set(workflow.emergent(workflow.corpus(spark, folder)))
+    assert terms and set(p["g"].tags.split("|")) - {"rent", "flat", "money"} <= terms and "lease" not in set(p["g"].tags.split("|")) - terms
