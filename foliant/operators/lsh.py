@@ -60,6 +60,22 @@ def probe(asked: DataFrame, index: DataFrame, threshold: float = 0.5) -> DataFra
     return s.select("probe", "class", agreement("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def alike(members: DataFrame, sig: DataFrame, asked: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(id, class, similarity, others, first): for each asked id every class at or above the threshold, with the number
+    of its ids besides the asked one and the smallest of them. The own class comes at 1, if it has other ids.
+
+    members: (id, class), which leads to all ids of a class; asked: id, a stated set. Groups of copies are not multiplied out.
+    """
+    mine = members.join(asked.select("id").distinct(), "id", "left_semi")
+    least = members.groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    second = members.join(least.where("n > 1"), "class").where("id <> low").groupBy("class").agg(F.min("id").alias("next"))
+    own = mine.join(least.where("n > 1"), "class").join(second, "class")
+    own = own.select("id", "class", F.lit(1.0).alias("similarity"), (F.col("n") - 1).alias("others"), F.when(F.col("id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("first"))
+    near = probe(sig.join(mine.select("class").distinct(), "class", "left_semi"), sig, threshold)
+    near = mine.withColumnRenamed("class", "probe").join(near, "probe").join(least, "class")
+    return own.unionByName(near.select("id", "class", "similarity", F.col("n").alias("others"), F.col("low").alias("first")))
+
+
 def pairs(sig: DataFrame, threshold: float = 0.0, hot: int = HOT_BAND) -> DataFrame:
     """(a, b, similarity) of classes, a < b, that share a band. Bands of one class are dropped before the join.
 

@@ -65,11 +65,12 @@ def holders(documents: DataFrame, blobs: DataFrame) -> DataFrame:
     return documents.join(blobs.select("checksum_sha256").distinct(), "checksum_sha256", "left_semi")
 
 
-def related_versions(sig_new: DataFrame, sig_local: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(probe, class, similarity): for each incoming text the most similar one that is there already."""
+def related_versions(members: DataFrame, sig: DataFrame, asked: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(document_id, related_to, similarity): for each asked id the most similar document under another id (ties: the smallest id)."""
     from pyspark.sql import Window as W
 
-    from .lsh import probe
+    from .lsh import alike
 
-    w = W.partitionBy("probe").orderBy(F.desc("similarity"), "class")
-    return probe(sig_new, sig_local, threshold).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    w = W.partitionBy("id").orderBy(F.desc("similarity"), "first")
+    best = alike(members, sig, asked, threshold).withColumn("r", F.row_number().over(w)).where("r = 1")
+    return best.select(F.col("id").alias("document_id"), F.col("first").alias("related_to"), "similarity")

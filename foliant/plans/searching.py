@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import fts, lsh, tfidf, vectors
 from ..schemas import CON, OWN, contents, library, own_tags
-from ..session import table
+from ..session import checkpoint, table
 
 QUERIES, SQL = {}, {}
 
@@ -110,11 +110,19 @@ def label_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_duplicate_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Near-duplicates at 0.8 of every document whose number is divisible by 100, against all texts (SE12-SE15)."""
+    """Near-duplicates at 0.8 of every document whose number is divisible by 100, against all texts (SE12-SE15).
+
+    A row per asked document and class of equal texts, the own one if others have it; text_classes has the ids of a class.
+    """
     members, texts = lsh.classes(contents(spark, d), "document_id", "text")
-    sig = lsh.signatures(texts)
-    asked = members.join(library(spark, d).where("doc_id % 100 = 0").select("id"), "id", "left_semi").select("class").distinct()
-    return lsh.probe(sig.join(asked, "class", "left_semi"), sig, 0.8)
+    asked = library(spark, d).where("doc_id % 100 = 0").select("id")
+    return lsh.alike(checkpoint(members), lsh.signatures(texts), asked, 0.8).withColumnRenamed("id", "document_id")
+
+
+@query(f"WITH {CON} SELECT document_id, sha256(text) AS class FROM con WHERE text IS NOT NULL")
+def text_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of equal texts that each document is in (SE12)."""
+    return lsh.classes(contents(spark, d), "document_id", "text")[0].withColumnRenamed("id", "document_id")
 
 
 @query()

@@ -155,8 +155,7 @@ def assistant_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def related_versions(spark: SparkSession, d: str) -> DataFrame:
-    """For documents whose number is divisible by 100, the most similar other text at 0.6 (SY6, TOP13)."""
+    """For documents whose number is divisible by 100, the most similar other document at 0.6 (SY6, TOP13)."""
     members, texts = lsh.classes(contents(spark, d), "document_id", "text", blank=False)
-    sig = lsh.signatures(texts)
-    asked = members.join(library(spark, d).where("doc_id % 100 = 0").select("id"), "id", "left_semi").select("class").distinct()
-    return sync.related_versions(sig.join(asked, "class", "left_semi"), sig)
+    asked = library(spark, d).where("doc_id % 100 = 0").select("id")
+    return sync.related_versions(checkpoint(members), lsh.signatures(texts), asked)

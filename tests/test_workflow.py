@@ -202,3 +202,15 @@ def test_plans_of_a_library_have_duplicates_clusters_and_feedback(spark, folder)
     assert p["a"].tags.startswith("rent|") and "|flat" in p["a"].tags  # without feedback the order is flat, rent
     terms = set(workflow.emergent(workflow.corpus(spark, folder)))
     assert terms and set(p["g"].tags.split("|")) - {"rent", "flat", "money"} <= terms and "lease" not in set(p["g"].tags.split("|")) - terms
+
+
+def test_copies_under_other_ids_are_near_duplicates(spark, folder):
+    from foliant.plans import searching, workflow
+
+    ids = {}
+    for r in searching.text_classes(spark, folder).collect():
+        ids.setdefault(r["class"], set()).add(r.document_id)
+    got = {(r.document_id, m, r.similarity == 1.0, r.others, r.first) for r in searching.near_duplicate_probe(spark, folder).collect() for m in ids[r["class"]] - {r.document_id}}
+    assert {x for x in got if x[1] in "ab"} == {("a", "b", True, 1, "b"), ("b", "a", True, 1, "a")}
+    assert {x[:2] for x in got} == {("a", "b"), ("b", "a"), ("a", "c"), ("b", "c")}
+    assert {r.document_id: (r.related_to, r.similarity) for r in workflow.related_versions(spark, folder).collect()} == {"a": ("b", 1.0), "b": ("a", 1.0)}
