@@ -256,6 +256,18 @@ def test_scanned_page():
     assert paras[0].startswith("The accountant checked the quarterly invoice and the reading group returned without any delay the long-term loan offer to the office before the end")
 
 
+@pytest.mark.parametrize("change", [lambda p: p.replace("without any delay the", "without any delay the   " + "x " * 40), lambda p: p.replace("\nreturned", "\n> returned"), lambda p: "To: the office\n" + p, lambda p: p.replace("— 13 —", " " * 80 + "— 13 —")])
+def test_scanned_page_of_any_width_and_beginning(change):
+    body = ["The accountant checked the quarterly invoice and the reading group returned the long-term loan offer to the office before the end of the month."] * 6
+    r = scans.Reader(scans.learn(["\n".join(body)] * 40), {w: 500 for w in re.findall(r"[a-z-]+", body[0].lower())})
+    page = change("Lecture notes Osko 2020\nThe accountant checked the quar-\nterly invoice and tbe reading group\nreturned without any delay the long-\nterm loan offer to the office before\n— 12 —\n\nLecture notes Osko 2020\nthe end of the month. The accountant\nchecked the invoice and the office.\n— 13 —")
+    at = page.split("\n").index("The accountant checked the quar-") + 1
+    got = set(r.read(page)[0])
+    assert {(at, "hyphen"), (at + 1, "glyph"), (at + 4, "furniture")} <= got
+    assert r.read("The accountant checked tbe quarterly invoice and tbe reading qroup before fhe end of tbe month.".replace("qroup", "gr0up"))[0] == [(1, "glyph")]
+    assert r.read("\n".join(body) + "\n> quoted")[0] == r.read("From: Osko\n" + "\n".join(body))[0] == []
+
+
 def test_scans_edges(spark):
     rows = [("1", None), ("2", ""), (None, "x"), ("3", LONG), ("4", "one line"), ("4", "one line")]
     df = frame(spark, rows).selectExpr("*", "1 AS line_no", "'x' AS t")
