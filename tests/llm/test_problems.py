@@ -268,6 +268,16 @@ def test_scanned_page_of_any_width_and_beginning(change):
     assert r.read("\n".join(body) + "\n> quoted")[0] == r.read("From: Osko\n" + "\n".join(body))[0] == []
 
 
+def test_rare_words_keep_their_count(spark):
+    """A floor above a real word's count doesn't make it a misread one, nor a compound a broken word."""
+    rows = [(str(i), "the tree stands near the house") for i in range(60)] + [(f"r{i}", "a free house") for i in range(20)]
+    rows += [(f"c{i}", "a well-kept house") for i in range(5)] + [("p", "the house is well-\nkept now")]
+    r = scans.reader_for(frame(spark, rows), "id", "text", share=30 / 550)
+    assert "free" not in r.lexicon and r.count("free") == 20 and r.count("well-kept") == 5
+    assert scans.Reader(r.labeller, {"tree": 60}).correct("free") == "tree" and r.correct("free") is None
+    assert not r.broken("well", "kept", scans.Counter())
+
+
 def test_scans_edges(spark):
     rows = [("1", None), ("2", ""), (None, "x"), ("3", LONG), ("4", "one line"), ("4", "one line")]
     df = frame(spark, rows).selectExpr("*", "1 AS line_no", "'x' AS t")
