@@ -242,6 +242,17 @@ def test_clean_and_lost_texts(spark):
     assert encodings.garbled(df.limit(0), "id", "text").count() == 0
 
 
+def test_garbled_part_of_a_long_text():
+    rnd = random.Random(4)
+    words_ = ["größe", "schön", "über", "prüfen", "für", "möglich", "zurück", "läuft"]
+    clean = [" ".join(rnd.choice(words_) for _ in range(60)) for _ in range(200)]
+    judge = encodings.train(clean)
+    lost = " ".join(w.encode("utf-8").decode("gbk", "ignore") for w in words_)
+    assert not judge.verdict(" ".join(clean))[0]
+    assert judge.verdict(" ".join(clean[:100] + [lost] + clean[100:]))[0]
+    assert all(f"utf-8 as {e}, lower-cased" in encodings.chains() for e in encodings.SINGLE)
+
+
 # scanned pages
 
 
