@@ -9,6 +9,9 @@ threshold, and every other candidate is verified on the whole sets.
 
 Bands that a great many classes share aren't paired within themselves: their classes are joined by the
 rarest shingles of each (prefix filter), which loses no pair at or above the threshold.
+
+Texts are never shuffled. They are read twice: to be signed, and to give the sets of those that have
+a candidate, which a Bloom filter of bounded size picks where the texts are read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from ..operators.graph import connected_components
 from ..session import checkpoint, spread, table
@@ -28,8 +31,8 @@ from .words import MIX, WordHashes, mix64, shingles, words
 HOT_BAND = 500
 CHUNK = 1 << 15
 SKETCHED = 256
-NEEDED_BROADCAST = 50_000
-REPEATS_BROADCAST = 500_000
+FILTER_BITS = 16
+FILTER_WORDS = 1 << 21
 
 
 def bands_for(threshold: float, recall: float = 0.9998) -> tuple[int, int]:
@@ -112,41 +115,91 @@ def signed(df: DataFrame, ident: str, text: str, k: int, rows: int, bands: int)
     return spread(rows_).mapInPandas(run, f"id {kind}, fp binary, m int, keys array<long>, sketch array<long>")
 
 
+def may_be_in(need: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A predicate on hashes (xxhash64 of a key): true for every key in need, and for one in some hundred others.
+
+    A Bloom filter of FILTER_BITS bits a key, made by a bit_or per word; the driver gets its words, at most
+    FILTER_WORDS (16 MB). With more keys than that holds more rows pass, never fewer: what it lets
+    through must meet an exact join afterwards.
+    """
+    words = 1 << max(6, min(FILTER_WORDS.bit_length() - 1, (need.count() * FILTER_BITS // 64).bit_length()))
+    h = F.xxhash64(key)
+    lo, hi = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    places = F.array(*[(lo + i * hi).bitwiseAND(F.lit(64 * words - 1)) for i in range(4)])
+    bits = need.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).toPandas()
+    table_ = np.zeros(words, np.int64)
+    table_[bits["w"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64)
+    shared = need.sparkSession.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def held(col: pd.Series) -> pd.Series:
+        t, x = shared.value.view(np.uint64), col.to_numpy(np.int64).view(np.uint64)
+        lo, hi, out = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32), np.ones(len(x), bool)
+        for i in range(4):
+            p = (lo + np.uint64(i) * hi) & np.uint64(64 * len(t) - 1)
+            out &= (t[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(out)
+
+    return held
+
+
+def among(df: DataFrame, key: str, need: DataFrame) -> DataFrame:
+    """The rows of df whose key is in need (column of the same name), and a few others."""
+    return df.where(may_be_in(need, key)(F.xxhash64(key)))
+
+
+def paired(rows: DataFrame, on: list[str], n: str, most: int) -> DataFrame:
+    """(columns in on, x, y): rows of one key (columns c, m and others, as structs) with each other, c rising.
+
+    n rows share a key; where they are more than most, one side is parted by a hash of c and the other
+    one repeated for every part, so that no task holds a hot key.
+    """
+    rest = [c for c in rows.columns if c not in (*on, n)]
+    parts = F.ceil(F.col(n) / most).cast("int")
+    x = rows.select(*on, F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), F.struct(*rest).alias("x"))
+    y = rows.select(*on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.struct(*rest).alias("y"))
+    return x.join(y, [*on, "part"]).where("x.c < y.c")
+
+
 def candidates(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, hot: int) -> DataFrame:
-    """(a, b): classes, a < b, that share a band and whose sizes allow the threshold.
+    """(a, b): classes, a < b, that share a band; where they are many, their sizes and rarest shingles allow the threshold.
 
-    bands: (c, m, key). sets_of gives (c, sh) for the classes in a table; it is asked only for those in
-    bands that more than hot classes share.
+    bands: (c, m, key). A key of two classes is a pair by its least and greatest one, without a join. sets_of
+    gives (c, sh) for the classes in a table; it is asked only for those in bands that more than hot share.
     """
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(threshold)
-    count = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpoint(bands.join(count, "key"))
+    fits = F.least("x.m", "y.m") >= F.greatest("x.m", "y.m") * F.lit(threshold)
+    groups = checkpoint(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).where("n > 1"))
+    out = groups.where("n = 2").select("a", "b")
+    more = groups.where("n > 2").select("key", "n")
+    if more.isEmpty():
+        return out.distinct()
+    shared = checkpoint(among(bands, "key", more).join(more, "key"))
     few, many = shared.where(F.col("n") <= hot), shared.where(F.col("n") > hot)
-    x, y = few.select("key", F.col("c").alias("a"), F.col("m").alias("ma")), few.select("key", F.col("c").alias("b"), F.col("m").alias("mb"))
-    out = x.join(y, "key").where((F.col("a") < F.col("b")) & fits(F.col("ma"), F.col("mb"))).select("a", "b")
+    out = out.union(paired(few, ["key"], "n", HOT_BAND).where(fits).select("x.c", "y.c"))
     if not many.isEmpty():
         token = sets_of(many.select("c").distinct()).select("c", F.size("sh").alias("m"), F.explode("sh").alias("s"))
         # a shingle that only one class has takes a place in the prefix but joins nothing
         seen = token.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
         ranked = token.join(seen, "s", "left").withColumn("r", F.row_number().over(W.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "s")))
-        prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - 1e-9) + 1) & F.col("df").isNotNull()).select("s", "c", "m", "r")
-        p, q = prefix.select("s", F.col("c").alias("a"), F.col("m").alias("ma"), F.col("r").alias("ra")), prefix.select("s", F.col("c").alias("b"), F.col("m").alias("mb"), F.col("r").alias("rb"))
+        prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - 1e-9) + 1) & F.col("df").isNotNull()).select("s", "df", "c", "m", "r")
         # the first shared shingle bounds the overlap by what is left behind it
-        left = F.least(F.col("ma") - F.col("ra"), F.col("mb") - F.col("rb")) + 1
-        first = p.join(q, "s").where((F.col("a") < F.col("b")) & fits(F.col("ma"), F.col("mb"))).groupBy("a", "b").agg(F.max(left).alias("most"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
-        out = out.union(first.where(F.col("most") >= (F.col("ma") + F.col("mb")) * F.lit(threshold / (1 + threshold)) - 1e-6).select("a", "b"))
+        left = F.least(F.col("x.m") - F.col("x.r"), F.col("y.m") - F.col("y.r")) + 1
+        enough = left >= (F.col("x.m") + F.col("y.m")) * F.lit(threshold / (1 + threshold)) - 1e-6
+        out = out.union(paired(prefix, ["s"], "df", HOT_BAND).where(fits & enough).select("x.c", "y.c"))
     return out.distinct()
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sketches agree as often as a pair at the threshold does, less six standard deviations.
+    """Pairs whose sizes allow the threshold and whose sketches agree as often as a pair at it does, less six standard deviations.
 
-    Two bits of a coordinate agree with probability j + (1 - j) / 4, so less than one in a hundred million
-    pairs at the threshold is lost, and unlike ones aren't carried to the verification.
+    sketches: c, m, sketch. Two bits of a coordinate agree with probability j + (1 - j) / 4, so less than one in a
+    hundred million pairs at the threshold is lost, and unlike ones aren't carried to the verification.
     """
     p = threshold + (1 - threshold) / 4
     least = SKETCHED * p - 6 * math.sqrt(SKETCHED * p * (1 - p))
-    both = pairs.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b")
+    some = among(sketches, "c", pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+    both = pairs.join(some.toDF("a", "ma", "ka"), "a").join(some.toDF("b", "mb", "kb"), "b")
+    both = both.where(F.least("ma", "mb") >= F.greatest("ma", "mb") * F.lit(threshold))
     odd = F.lit(0x5555555555555555)
     differ = F.zip_with("ka", "kb", lambda x, y: F.bit_count((x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1))).bitwiseAND(odd)))
     return both.where(F.lit(SKETCHED) - F.aggregate(differ, F.lit(0), lambda s, x: s + x) >= least).select("a", "b")
@@ -163,15 +216,15 @@ def near_duplicates(df: DataFrame, ident: str, text: str, k: int = 5, threshold:
     first = sig.groupBy("fp").agg(F.min("row").alias("c"))
     whole = checkpoint(sig.select("id", "fp", "m", "row").join(first, "fp"))
     members = whole.select("id", "fp", "m", "c").distinct()
-    # one record a class: few repeated ones are taken out by a broadcast, many by a shuffle
+    # one record a class: only the few rows that may be a repeated one are looked up exactly
     again = whole.where("row <> c").select("row")
-    one = sig.join(F.broadcast(again) if again.count() <= REPEATS_BROADCAST else again, "row", "left_anti")
+    repeated = may_be_in(again, "row")(F.xxhash64("row"))
+    one = sig.where(~repeated).unionAll(sig.where(repeated).join(again, "row", "left_anti").select(*sig.columns))
 
     def sets_of(need: DataFrame) -> DataFrame:
         """(c, sh) of the classes in need, from the texts of one record each."""
         who = checkpoint(members.join(need, "c").groupBy("c", "fp").agg(F.min("id").alias("id")))
-        hint = F.broadcast if who.count() <= NEEDED_BROADCAST else (lambda x: x)
-        texts = df.select(F.col(ident).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").join(hint(who.select("id").distinct()), "id")
+        texts = among(df.select(F.col(ident).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL AND id IS NOT NULL"), "id", who.select("id").distinct())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             of = WordHashes()
@@ -181,10 +234,11 @@ def near_duplicates(df: DataFrame, ident: str, text: str, k: int = 5, threshold:
                     if sets:
                         yield pd.DataFrame({"fp": [hashlib.md5(s.tobytes()).digest() for s in sets], "sh": [s.view(np.int64) for s in sets]})
 
-        return texts.mapInPandas(run, "fp binary, sh array<long>").join(hint(who.select("c", "fp")), "fp").dropDuplicates(["c"]).select("c", "sh")
+        sets = texts.mapInPandas(run, "fp binary, sh array<long>")
+        return sets.groupBy("fp").agg(F.first("sh").alias("sh")).join(who.select("c", "fp"), "fp").select("c", "sh")
 
     cand = candidates(one.select(F.col("row").alias("c"), "m", F.explode("keys").alias("key")), sets_of, threshold, hot)
-    pairs = checkpoint(likely(cand, sig.select("row", "sketch"), threshold))
+    pairs = checkpoint(likely(checkpoint(cand), sig.select(F.col("row").alias("c"), "m", "sketch"), threshold))
     sets = checkpoint(sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     links = both.withColumn("similarity", F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
@@ -196,13 +250,20 @@ def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     m = members.select("id", "c")
     x, y = m.toDF("x", "fa"), m.toDF("y", "fb")
     apart = links.join(x, links["a"] == F.col("fa")).join(y, links["b"] == F.col("fb")).select("x", "y", "similarity")
-    repeated = members.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("rep"))
-    again = m.join(repeated, F.col("c") == F.col("rep"), "left_semi")
-    same = again.toDF("x", "fa").join(again.toDF("y", "fb"), F.col("fa") == F.col("fb")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    repeated = members.groupBy(F.col("c").alias("rep")).agg(F.count("*").alias("n")).where("n > 1")
+    again = m.join(repeated, F.col("c") == F.col("rep")).select("rep", "n", F.col("id").alias("c"))
+    same = paired(again, ["rep"], "n", 5_000).select(F.col("x.c").alias("x"), F.col("y.c").alias("y"), F.lit(1.0).alias("similarity"))
     every = apart.unionAll(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     return every.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def class_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(class_a, class_b, similarity) with class_a < class_b, each class by the smallest record id in it."""
+    first = members.groupBy("c").agg(F.min("id").alias("class_id"))
+    l = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return l.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity").distinct()
+
+
 def record_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, class_id, group_id, links): class = equal sets, group = classes linked directly or through others.
 
@@ -222,10 +283,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Per document its class, its group and the number of other texts linked to it, at five words and 0.8."""
-    members, links = near_duplicates(table(spark, d, "content"), "document_id", "text")
+    """Per document its class of equal sets, its group and the number of other classes linked to it, at the similarity of p3_found.
+
+    With p3_links it holds what p3_found lists, without multiplying out groups of exact copies.
+    """
+    members, links = near_duplicates(table(spark, d, "content"), "document_id", "text", k=4, threshold=0.6)
     return record_groups(members, links).withColumnRenamed("id", "document_id")
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """(class_a, class_b, similarity): the links between classes; a class goes by the smallest id in it, p3_groups has the rest."""
+    members, links = near_duplicates(table(spark, d, "content"), "document_id", "text", k=4, threshold=0.6)
+    return class_links(members, links)
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p3_links": p3_links}

@@ -1,6 +1,7 @@
 """Operators of the subpackage against brute force, round trips and edge cases."""
 
 import itertools
+import os
 import random
 import re
 
@@ -62,6 +63,36 @@ def test_near_duplicates_empty(spark):
     assert members.count() == links.count() == neardup.record_groups(members, links).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_near_duplicates_recall(spark):
+    """Every pair that brute force finds in the test table, and the compact form multiplied out is the same."""
+    d = "/root/testdata/sf0.01"
+    rows = {(r.document_id, r.text) for r in spark.read.parquet(f"{d}/content.parquet").collect()}
+    want = brute_pairs(rows, 4, 0.6)
+    assert {(r.a, r.b) for r in neardup.p3_found(spark, d).collect()} == want and len(want) > 50
+    groups = {r.document_id: r.class_id for r in neardup.p3_groups(spark, d).collect()}
+    ids = {}
+    for i, c in groups.items():
+        ids.setdefault(c, []).append(i)
+    out = {(min(p), max(p)) for x in ids.values() for p in itertools.combinations(x, 2)}
+    out |= {(min(x, y), max(x, y)) for r in neardup.p3_links(spark, d).collect() for x in ids[r.class_a] for y in ids[r.class_b]}
+    assert out == want
+
+
+def test_bloom_filter_keeps_all(spark):
+    df = spark.range(20_000).selectExpr("id AS row")
+    need = df.where("row % 7 = 0")
+    got = {r.row for r in neardup.among(df, "row", need).collect()}
+    assert set(range(0, 20_000, 7)) <= got and len(got) < 3_400
+    assert neardup.among(df, "row", need.limit(0)).count() == 0
+
+
+def test_hot_key_is_parted(spark):
+    rows = spark.range(300).selectExpr("'k' AS key", "300L AS n", "id AS c", "1 AS m")
+    got = neardup.paired(rows, ["key"], "n", 40).select("x.c", "y.c").collect()
+    assert len(got) == len(set(map(tuple, got))) == 300 * 299 // 2
+
+
 def test_minhash_estimates_jaccard():
     rnd = np.random.default_rng(0)
     a = rnd.integers(0, 2**63, 300).astype(np.uint64)
