@@ -13,17 +13,21 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import hashing as h
 from ..session import checkpoint, spread
+from .filters import one_row_each
 
 HOT_BAND = 500
 FAMILIES = {"near": (h.near_signature, h.near_bands, 5), "small": (h.small_signature, h.small_bands, 3)}
 
 
 def classes(docs: DataFrame, ident: str, text: str, blank: bool = True) -> tuple[DataFrame, DataFrame]:
-    """((id, class), (class, text)): class is the text's SHA-256. blank: whether texts of white space alone count."""
+    """((id, class), (class, text)): class is the text's SHA-256. blank: whether texts of white space alone count.
+
+    Only texts that may come twice are moved, to keep one of each.
+    """
     d = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text"))
     d = d if blank else d.where(F.col("text").rlike(r"\S"))
     d = d.withColumn("class", F.sha2("text", 256))
-    return d.select("id", "class").distinct(), d.groupBy("class").agg(F.min("text").alias("text"))
+    return d.select("id", "class").distinct(), one_row_each(d.select("class", "text"), "class", F.first(F.struct("text")))
 
 
 def signatures(texts: DataFrame, family: str = "near", k: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .operators.filters import one_row_each
 from .session import table
 
 
@@ -32,8 +33,8 @@ def library(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document with its extracted text."""
-    return table(spark, d, "content").groupBy("document_id").agg(F.min(F.struct("text", "source")).alias("x")).select("document_id", "x.*")
+    """One row per document with its extracted text; texts are moved only where a document has several rows."""
+    return one_row_each(table(spark, d, "content").select("document_id", "text", "source"), "document_id", F.min(F.struct("text", "source")))
 
 
 def own_tags(spark: SparkSession, d: str) -> DataFrame:

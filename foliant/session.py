@@ -54,17 +54,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def _partitions(plan, spark: SparkSession) -> int:
+    """How many partitions a logical plan reads at least, as far as they reach its end without a shuffle."""
+    kind, children = plan.nodeName(), [plan.children().apply(i) for i in range(plan.children().size())]
+    if kind == "LogicalRelation":
+        size, cores = int(str(plan.stats().sizeInBytes())), spark.sparkContext.defaultParallelism
+        most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        return size // max(1, min(most, max(4 << 20, size // cores)))
+    if kind == "LogicalRDD":
+        return plan.rdd().getNumPartitions()
+    if kind == "Union":
+        return sum(_partitions(c, spark) for c in children)
+    if kind in ("Project", "Filter") or (kind == "Join" and plan.joinType().toString() in ("LeftSemi", "LeftAnti") and "broadcast" in plan.hint().toString()):
+        return _partitions(children[0], spark)
+    return 0
+
+
+def spread(df: DataFrame, width: int = 32 << 20) -> DataFrame:
     """Spread rows over all cores before CPU-heavy work, where they come in fewer partitions than cores.
 
-    A scan of a large input has more partitions than that and is left alone, without a shuffle. What
-    comes out of a join or an aggregation may have been coalesced by size, so it is spread anew.
+    A scan, also one filtered by a broadcast semi-join, with as many partitions as there are cores is left
+    alone, without a shuffle. What comes out of a join or an aggregation may have been coalesced to few
+    partitions; it is spread over twice the cores or, if that is more, over one partition for every width
+    bytes that were read for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if not any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Limit")) and df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    if _partitions(plan, spark) >= cores:
         return df
-    return df.repartition(2 * cores)
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(max(2 * cores, min(100_000, read // width)))
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has no more than so many rows, else as it is; for short rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def thinned(df: DataFrame, by: str, n: int) -> DataFrame:

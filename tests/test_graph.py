@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliant.operators import filters
 from foliant.operators.forest import counted, descendants, hierarchy
 from foliant.operators.graph import connected_components, double_pointers
 
@@ -110,3 +112,19 @@ def test_descendants_have_registered_queries():
     from foliant.plans import registry
 
     assert "p6_below" in registry.QUERIES and "p6_below" in registry.SQL
+
+
+def test_bloom_filter_keeps_all(spark):
+    df = spark.range(20_000).selectExpr("id AS row")
+    need = df.where("row % 7 = 0")
+    got = {r.row for r in filters.among(df, "row", need).collect()}
+    assert set(range(0, 20_000, 7)) <= got and len(got) < 3_400
+    rest = {r.row for r in filters.surely_not(df, "row", need).collect()}
+    assert not rest & got and len(rest) + len(got) == 20_000
+    assert filters.among(df, "row", need.limit(0)).count() == 0
+
+
+def test_one_row_each(spark):
+    rows = [("a", "x"), ("a", "x"), ("b", "y"), ("c", None), ("d", "2"), ("d", "1"), (None, "n"), (None, "n")]
+    got = filters.one_row_each(spark.createDataFrame(rows, "id string, t string"), "id", F.min(F.struct("t")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "x"), ("b", "y"), ("c", None), ("d", "1"), (None, "n")], key=str)
