@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from ..session import checkpoint, spread, table
+from ..session import checkpoint, small, spread, table
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: how this vocabulary's tokenizer parts a text before byte pairs are merged.
@@ -77,7 +77,6 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     rows: source, h, tokens. budgets: source, budget. A bucket that holds the budget's end is refined
     until it can't be split; hashes that agree in all bits stay together.
     """
-    small = F.broadcast  # one row a source
     open_ = budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
     for level in range(3):
         inside = rows.join(small(open_), "source")
@@ -105,7 +104,7 @@ def mixture(rows: DataFrame, targets: DataFrame, total: float | None = None, kee
     max_repeats counts as 1, a null or negative share as 0. Empty tables give empty results.
     """
     goal = targets.where("source IS NOT NULL").groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"))
-    held = checkpoint(rows.select("id", "source", "tokens", *keep).where("tokens > 0 AND source IS NOT NULL").join(F.broadcast(goal), "source").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 16)))
+    held = checkpoint(rows.select("id", "source", "tokens", *keep).where("tokens > 0 AND source IS NOT NULL").join(small(goal), "source").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 16)))
     have = held.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     plan = have.join(goal, "source", "right").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
     whole = plan.where("available > 0").agg(F.sum("target_share").alias("s"), F.min(F.when(F.col("target_share") > 0, F.col("available") * F.col("max_repeats") / F.col("target_share"))).alias("t")).first()
@@ -117,7 +116,7 @@ def mixture(rows: DataFrame, targets: DataFrame, total: float | None = None, kee
     rest = plan.select("source", (F.col("budget") - F.col("full") * F.col("available")).alias("budget"))
     edge = thresholds(held, rest)
     once = F.col("h") < F.col("prefix")
-    use = held.drop("target_share", "max_repeats").join(F.broadcast(edge.join(plan.select("source", "full"), "source")), "source")
+    use = held.drop("target_share", "max_repeats").join(small(edge.join(plan.select("source", "full"), "source")), "source")
     chosen = use.withColumn("repeats", F.col("full") + once.cast("long")).where("repeats > 0").drop("h", "prefix", "full")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_repeats"))
     shares = plan.select("source", "target_share", "max_repeats", "documents", "available", F.round("wanted", 3).alias("wanted")).join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("most_repeats", F.coalesce("most_repeats", F.lit(0)))
@@ -130,11 +129,14 @@ def clean(c: str):
 
 
 def documents_with_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """One row per id (the delivery with the smallest doc_id) with a text, its source in one spelling and its tokens."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND kind <> 'folder'")
-    first = docs.groupBy("id").agg(F.min("doc_id").alias("first_id"))
-    one = docs.select("doc_id", "id", clean("source").alias("source"), "text").where("source IS NOT NULL").join(first.drop("id"), F.col("doc_id") == F.col("first_id"), "left_semi")
-    return with_tokens(one, "text")
+    """One row per id (the delivery with the smallest doc_id) with a text, its source in one spelling and its tokens.
+
+    Tokens are counted where the texts are read; only ids, sources and numbers are moved.
+    """
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND kind <> 'folder'").select("doc_id", "id", clean("source").alias("source"), "text")
+    counted = checkpoint(with_tokens(docs, "text"))
+    first = counted.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    return counted.where("source IS NOT NULL").join(first.select("doc_id"), "doc_id", "left_semi")
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -22,8 +22,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
+from ..operators.filters import among, surely_not
 from ..operators.graph import connected_components
 from ..session import checkpoint, spread, table
 from .words import MIX, WordHashes, mix64, shingles, words
@@ -31,8 +32,6 @@ from .words import MIX, WordHashes, mix64, shingles, words
 HOT_BAND = 500
 CHUNK = 1 << 15
 SKETCHED = 256
-FILTER_BITS = 16
-FILTER_WORDS = 1 << 21
 
 
 def bands_for(threshold: float, recall: float = 0.9998) -> tuple[int, int]:
@@ -115,39 +114,6 @@ def signed(df: DataFrame, ident: str, text: str, k: int, rows: int, bands: int)
     return spread(rows_).mapInPandas(run, f"id {kind}, fp binary, m int, keys array<long>, sketch array<long>")
 
 
-def may_be_in(need: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A predicate on hashes (xxhash64 of a key): true for every key in need, and for one in some hundred others.
-
-    A Bloom filter of FILTER_BITS bits a key, made by a bit_or per word; the driver gets its words, at most
-    FILTER_WORDS (16 MB). With more keys than that holds more rows pass, never fewer: what it lets
-    through must meet an exact join afterwards.
-    """
-    words = 1 << max(6, min(FILTER_WORDS.bit_length() - 1, (need.count() * FILTER_BITS // 64).bit_length()))
-    h = F.xxhash64(key)
-    lo, hi = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    places = F.array(*[(lo + i * hi).bitwiseAND(F.lit(64 * words - 1)) for i in range(4)])
-    bits = need.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).toPandas()
-    table_ = np.zeros(words, np.int64)
-    table_[bits["w"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64)
-    shared = need.sparkSession.sparkContext.broadcast(table_)
-
-    @F.pandas_udf("boolean")
-    def held(col: pd.Series) -> pd.Series:
-        t, x = shared.value.view(np.uint64), col.to_numpy(np.int64).view(np.uint64)
-        lo, hi, out = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32), np.ones(len(x), bool)
-        for i in range(4):
-            p = (lo + np.uint64(i) * hi) & np.uint64(64 * len(t) - 1)
-            out &= (t[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(out)
-
-    return held
-
-
-def among(df: DataFrame, key: str, need: DataFrame) -> DataFrame:
-    """The rows of df whose key is in need (column of the same name), and a few others."""
-    return df.where(may_be_in(need, key)(F.xxhash64(key)))
-
-
 def paired(rows: DataFrame, on: list[str], n: str, most: int) -> DataFrame:
     """(columns in on, x, y): rows of one key (columns c, m and others, as structs) with each other, c rising.
 
@@ -218,8 +184,7 @@ def near_duplicates(df: DataFrame, ident: str, text: str, k: int = 5, threshold:
     members = whole.select("id", "fp", "m", "c").distinct()
     # one record a class: only the few rows that may be a repeated one are looked up exactly
     again = whole.where("row <> c").select("row")
-    repeated = may_be_in(again, "row")(F.xxhash64("row"))
-    one = sig.where(~repeated).unionAll(sig.where(repeated).join(again, "row", "left_anti").select(*sig.columns))
+    one = surely_not(sig, "row", again).unionAll(among(sig, "row", again).join(again, "row", "left_anti").select(*sig.columns))
 
     def sets_of(need: DataFrame) -> DataFrame:
         """(c, sh) of the classes in need, from the texts of one record each."""

@@ -79,14 +79,6 @@ def test_near_duplicates_recall(spark):
     assert out == want
 
 
-def test_bloom_filter_keeps_all(spark):
-    df = spark.range(20_000).selectExpr("id AS row")
-    need = df.where("row % 7 = 0")
-    got = {r.row for r in neardup.among(df, "row", need).collect()}
-    assert set(range(0, 20_000, 7)) <= got and len(got) < 3_400
-    assert neardup.among(df, "row", need.limit(0)).count() == 0
-
-
 def test_hot_key_is_parted(spark):
     rows = spark.range(300).selectExpr("'k' AS key", "300L AS n", "id AS c", "1 AS m")
     got = neardup.paired(rows, ["key"], "n", 40).select("x.c", "y.c").collect()
