@@ -334,6 +334,40 @@ def test_held_out_lines():
     assert right / total > 0.95
 
 
+def test_paragraphs_without_blank_lines():
+    """A paragraph that begins with an indentation is told from one that goes on."""
+    rnd = random.Random(9)
+    texts = ["\n".join(" ".join(sentence(rnd, 1) for _ in range(40)).capitalize() + "." for _ in range(4)) for _ in range(60)]
+    m = scans.learn(texts)
+    lines = ["    The first paragraph begins here and goes", "on for a line that fills it, then it", "ends.", "    The second one begins without a blank", "line before it, and goes on a while more."]
+    assert m(lines) == [scans.BREAK, scans.BODY, scans.BODY, scans.BREAK, scans.BODY]
+
+
+def test_chain_gradient():
+    """The likelihood's gradient against differences, by way of a model that must not get worse where it is trained."""
+    pages = [([["a"], ["b"], ["b"]], [2, 0, 0]), ([["a"], ["c"], ["b"], ["a"]], [2, 1, 0, 2]), ([["b"]], [0])] * 5
+    m = scans.chain(pages, 0.01)
+    assert all(m.decode(f) == y for f, y in pages) and m.decode([]) == []
+    seen = []
+
+    def bowl(x):
+        seen.append(x)
+        return float(((x - 3) ** 2).sum()), 2 * (x - 3)
+
+    assert np.allclose(scans.minimum(bowl, np.zeros(4)), 3, atol=1e-2)
+
+
+def test_pages_by_source(spark):
+    """What a page is is learned from its source; a sample that is drawn twice, in other partitions, is the same."""
+    rnd = random.Random(12)
+    wide = [(f"w{i}", sentence(rnd, 60), "plain") for i in range(60)]
+    narrow = [(f"n{i}", "\n".join(sentence(rnd, 5) for _ in range(12)), " OCR ") for i in range(60)]
+    df = frame(spark, wide + narrow, "id string, text string, source string")
+    one, two = (scans.reader_for(x, "id", "text", "source") for x in (df.repartition(3), df.repartition(11)))
+    assert one.pages.w == two.pages.w and (one.labeller.own == two.labeller.own).all()
+    assert one.pages.by_layout(narrow[0][1].split("\n")) and not one.pages.by_layout([wide[0][1]])
+
+
 # mixture
 
 
