@@ -265,6 +265,15 @@ def test_clean_and_lost_texts(spark):
     assert encodings.garbled(df.limit(0), "id", "text").count() == 0
 
 
+def test_bounds_are_validated():
+    """Margins lie between what clean held-out texts gain and what garbled tokens do; the rates are noted."""
+    j = judge()
+    assert j.rates["utf-8 missed"] < 0.05 and j.rates["utf-8 false"] == 0 and j.rates["lost false"] <= 0.01
+    assert 0 < j.margins[0] < 40 and 0 < j.margins[1] and j.plain < 0 < j.lost
+    gains = encodings.np.array([0.0] * 990 + [float(i % 7) for i in range(10)])
+    assert encodings.rare_above(gains, 1e-3) > encodings.rare_above(gains, 1e-2) >= 0 == encodings.rare_above(gains[:0], 1e-3)
+
+
 def test_garbled_part_of_a_long_text():
     rnd = random.Random(4)
     words_ = ["größe", "schön", "über", "prüfen", "für", "möglich", "zurück", "läuft"]
