@@ -3,7 +3,8 @@
 A basket is a row of a binary sparse matrix X, an item one of its columns; the counts of pairs are X'X.
 The rows are split into record blocks; each block adds up its own product before anything is
 shuffled: short rows by a sparse product (shifts of the sorted row against itself), long rows by dense
-products of item blocks. Then the blocks' sums are added. Items that occur in fewer baskets than a
+products of item blocks. A block holds so many rows that its pairs fit into a task; a row whose pairs
+alone would be too many is parted into tiles, one task for each two of its item blocks. Then the sums are added. Items that occur in fewer baskets than a
 pair needs cannot be in a result and are left out beforehand; this changes no count.
 """
 
@@ -15,9 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
+from ..operators.filters import among, surely_not
 from ..session import checkpoint, table
 
 ENTRIES_PER_BLOCK = 200_000
+PAIRS_PER_BLOCK = 4_000_000
+HUGE_ROW = 2048
 LONG_ROW = 96
 ITEM_BLOCK = 512
 BROADCAST_ITEMS = 200_000
@@ -68,6 +72,27 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b, "n": n})
 
 
+NO_PAIRS = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+
+
+def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pairs between two item blocks of one basket, or within one."""
+    at = pdf["tile"].to_numpy()
+    items = pdf["item"].to_numpy(np.int64)
+    x, y = items[at == at.min()], items[at == at.max()]
+    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+    keep = a < b if at.min() == at.max() else np.ones(len(a), bool)
+    return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "n": np.ones(int(keep.sum()), np.int64)})
+
+
+def tiles(rows: DataFrame, huge: DataFrame) -> DataFrame:
+    """(a, b, n) of the baskets in huge (basket, len), whose entries are parted into tiles of about HUGE_ROW / 2 items."""
+    own = among(rows, "basket", huge).join(huge, "basket").withColumn("parts", F.ceil(F.col("len") * 2 / HUGE_ROW).cast("int"))
+    own = own.withColumn("tile", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = own.select("basket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "item")
+    return keyed.groupBy("basket", "lo", "hi").applyInPandas(lambda pdf: _tile(pdf) if pdf["tile"].nunique() == 2 or pdf["lo"].iat[0] == pdf["hi"].iat[0] else NO_PAIRS, "a long, b long, n long")
+
+
 def pair_counts(df: DataFrame, basket: str, item: str, at_least: int = 1, share: float = 0.0) -> tuple[DataFrame, int]:
     """((item_a, item_b, n_ab, n_a, n_b) with item_a < item_b and n_ab >= max(at_least, share * baskets), number of baskets).
 
@@ -82,9 +107,16 @@ def pair_counts(df: DataFrame, basket: str, item: str, at_least: int = 1, share:
     often = checkpoint(often.withColumn("slot", slot).withColumn("no", F.row_number().over(W.partitionBy("slot").orderBy("item")) * F.lit(1024).cast("long") + F.col("slot")).select("item", "n", "no"))
     kept = often.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries")).first()
     small = F.broadcast if kept["items"] <= BROADCAST_ITEMS else (lambda x: x)
-    blocks = max(1, math.ceil(kept["entries"] / ENTRIES_PER_BLOCK), d.sparkSession.sparkContext.defaultParallelism)
-    rows = d.join(small(often.select("item", F.col("no"))), "item").select("basket", F.col("no").alias("item"), F.pmod(F.xxhash64("basket"), F.lit(blocks)).alias("block"))
-    part = rows.groupBy("block").applyInPandas(_block, "a long, b long, n long")
+    rows = d.join(small(often.select("item", F.col("no"))), "item").select("basket", F.col("no").alias("item"))
+    length = checkpoint(rows.groupBy("basket").agg(F.count("*").alias("len")))
+    huge = length.where(F.col("len") > HUGE_ROW)
+    work = length.where(F.col("len") <= HUGE_ROW).agg(F.coalesce(F.sum(F.col("len") * F.col("len") / 2), F.lit(0.0))).first()[0]
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(kept["entries"] / ENTRIES_PER_BLOCK), math.ceil(work / PAIRS_PER_BLOCK), cores)
+    some = not huge.isEmpty()
+    usual = surely_not(rows, "basket", huge).unionAll(among(rows, "basket", huge).join(huge, "basket", "left_anti")) if some else rows
+    part = usual.withColumn("block", F.pmod(F.xxhash64("basket"), F.lit(blocks))).groupBy("block").applyInPandas(_block, "a long, b long, n long")
+    part = part.unionAll(tiles(rows, huge)) if some else part
     sums = part.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= floor)
     side = lambda x: small(often.select(F.col("no").alias(x), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")))
     out = sums.join(side("a"), "a").join(side("b"), "b")

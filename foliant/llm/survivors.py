@@ -1,13 +1,14 @@
 """One surviving record for each group of duplicates, by skyline selection (problem 4).
 
-Dimensions of dominance: for each field whether a record can give it (completeness), whether it is
-trusted, and how recent it is; recency is a total order, in which equal times fall back on the given
-ties and last on the record's own id. A record dominates another if it is at least as good in all
-dimensions. A record can be undominated only if it is the most recent among those alike in completeness
-and trust, so one combinable maximum per group and such cell leaves at most 2 ** (fields + 1) records a
-group, however large the group is; only these are gathered. Layer 1 holds the undominated ones, layer 2
-those dominated by layer 1 alone, and so on. A field comes from the first layer that can give it, there
-from the first record by the policy: trusted ones first, then by recency and ties.
+Dimensions of dominance: completeness (how many fields a record can give), trust, and recency; recency is a
+total order, in which equal times fall back on the given ties and last on the record's own id. A record
+dominates another if it is at least as good in all three. Of the records of a group that can give the same
+fields and are trusted alike only the most recent can ever give one, so one combinable maximum per group
+and such cell leaves at most 2 ** (fields + 1) records a group, however large the group is; only these are
+gathered. Layer 1 holds those of them that none dominates, layer 2 those dominated by layer 1 alone, and
+so on. Fields are filled layer by layer: what the records of a layer can't give comes from the next one,
+and a field is settled where no record of a deeper layer goes before its giver by the policy: trusted
+ones first, then by recency and ties. A deeper layer may hold the giver, where all above it lack the field.
 """
 
 from __future__ import annotations
@@ -29,28 +30,27 @@ def skyline_cells(df: DataFrame, group: str, ident: str, usable: dict[str, Colum
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by(F.struct("ident", "value"), "order").alias("x"), F.max("order").alias("order"))
 
 
-def stamp(layer: int):
-    return lambda x: x.withField("layer", F.lit(layer))
-
-
 def gives(field: str):
     return lambda x: x[f"can_{field}"]
 
 
-def beats(y: Column, x: Column, fields: list[str]) -> Column:
-    """Whether point y dominates point x."""
-    at_least = [(y[f"can_{f}"] | ~x[f"can_{f}"]) for f in fields] + [(y["trust"] | ~x["trust"]), y["order"] >= x["order"]]
-    return reduce(lambda a, b: a & b, at_least) & (y["ident"] != x["ident"])
+def layered(p: str, fields: list[str]) -> Column:
+    """An array of points with their layer of dominance, 1 + the deepest layer of a point that dominates it.
+
+    In the order of recency every point comes after those that dominate it, so one pass is enough.
+    """
+    full = lambda x: reduce(lambda a, b: a + b, [x[f"can_{f}"].cast("int") for f in fields])
+    rising = F.array_sort(p, lambda a, b: F.when(a["order"] > b["order"], -1).when(a["order"] < b["order"], 1).otherwise(0))
+
+    def beats(x: Column):
+        return lambda y: (full(y) >= full(x)) & (y["trust"] | ~x["trust"])
 
+    def add(done: Column, x: Column) -> Column:
+        above = F.transform(F.filter(done, beats(x)), lambda y: y["layer"])
+        return F.array_append(done, x.withField("layer", F.coalesce(F.array_max(above), F.lit(0)) + 1))
 
-def peel(g: DataFrame, fields: list[str]) -> DataFrame:
-    """Column p (array of points) to the same points with their layer of dominance."""
-    g = g.withColumn("done", F.transform(F.filter("p", lambda x: F.lit(False)), stamp(1)))
-    for i in range(len(fields) + 2):  # a chain of dominance rises in one of the flags at each step
-        under = lambda x: F.exists("p", lambda y: beats(y, x, fields))
-        top = F.transform(F.filter("p", lambda x: ~under(x)), stamp(i + 1))
-        g = g.withColumn("done", F.concat("done", top)).withColumn("p", F.filter("p", under))
-    return g.drop("p").withColumnRenamed("done", "p")
+    none = F.transform(F.filter(p, lambda x: F.lit(False)), lambda x: x.withField("layer", F.lit(1)))
+    return F.aggregate(rising, none, add)
 
 
 def survivors(df: DataFrame, group: str, ident: str, usable: dict[str, Column], trusted: Column, recency: Column, ties: list[Column] = (), values: dict[str, Column] | None = None) -> DataFrame:
@@ -65,12 +65,12 @@ def survivors(df: DataFrame, group: str, ident: str, usable: dict[str, Column],
     cells = skyline_cells(df, group, ident, usable, trusted, recency, list(ties), values or {f: F.col(f) for f in fields})
     point = F.struct(*[f"can_{f}" for f in fields], "trust", "order", F.col("x.ident").alias("ident"), F.col("x.value").alias("value"))
     g = cells.groupBy("grp").agg(F.sum("n").alias("n"), F.collect_list(point).alias("p"))
-    g = peel(g, fields)
+    g = g.withColumn("p", layered("p", fields))
     for f in fields:
         best = F.aggregate(
             F.filter("p", gives(f)),
             F.lit(None).cast(g.schema["p"].dataType.elementType),
-            lambda a, x: F.when(a.isNull() | (F.struct(-x["layer"], x["trust"], x["order"]) > F.struct(-a["layer"], a["trust"], a["order"])), x).otherwise(a),
+            lambda a, x: F.when(a.isNull() | (F.struct(x["trust"], x["order"]) > F.struct(a["trust"], a["order"])), x).otherwise(a),
         )
         g = g.withColumn(f"b_{f}", best)
     return g.select("grp", "n", *[c for f in fields for c in (F.col(f"b_{f}.ident").alias(f"{f}_from"), F.col(f"b_{f}.layer").alias(f"{f}_layer"), F.col(f"b_{f}.value.{f}").alias(f))])

@@ -158,6 +158,19 @@ def test_pair_counts(spark):
     assert cooccurrence.above_chance(pairs, n, 1).first().lift == pytest.approx(1.5)
 
 
+def test_pair_counts_of_a_huge_basket(spark, monkeypatch):
+    """One basket with a third of all entries is parted into tiles; the counts are those of counting."""
+    monkeypatch.setattr(cooccurrence, "HUGE_ROW", 16)
+    rnd = random.Random(13)
+    rows = {(b, f"i{rnd.randint(0, 60):02d}") for b in range(30) for _ in range(4)} | {(99, f"i{i:02d}") for i in range(60)} | {(98, f"i{i:02d}") for i in range(0, 60, 3)}
+    pairs, n = cooccurrence.pair_counts(frame(spark, sorted(rows), "basket long, item string"), "basket", "item")
+    want = {}
+    for b in {b for b, _ in rows}:
+        for p in itertools.combinations(sorted(i for x, i in rows if x == b), 2):
+            want[p] = want.get(p, 0) + 1
+    assert n == 32 and {(r.item_a, r.item_b): r.n_ab for r in pairs.collect()} == want
+
+
 # survivors
 
 
@@ -173,6 +186,18 @@ def test_survivors_layers(spark):
     assert survivors.survivors(df.limit(0), "grp", "n", {"title": F.col("title").isNotNull()}, F.lit(True), F.col("at")).count() == 0
 
 
+def test_survivors_from_deeper_layers(spark):
+    """A later and fuller record puts the only giver of a field into layer 2, one more below it into layer 3."""
+    from pyspark.sql import functions as F
+
+    rows = [("g", 1, "a", "b", None, None, 9), ("g", 2, None, None, "c", None, 5), ("g", 3, None, None, None, "d", 4), ("h", 4, "x", None, None, None, 1), ("h", 5, None, "y", "z", None, 1)]
+    df = frame(spark, rows, "g string, i long, a string, b string, c string, d string, at long")
+    s = survivors.survivors(df, "g", "i", {f: F.col(f).isNotNull() for f in "abcd"}, F.lit(True), F.col("at"))
+    got = {r.grp: r for r in s.collect()}
+    assert [(got["g"][f"{f}_from"], got["g"][f"{f}_layer"], got["g"][f]) for f in "abcd"] == [(1, 1, "a"), (1, 1, "b"), (2, 2, "c"), (3, 3, "d")]
+    assert [(got["h"][f"{f}_from"], got["h"][f"{f}_layer"]) for f in "abcd"] == [(4, 1), (5, 1), (5, 1), (None, None)]
+
+
 def test_survivors_order(spark):
     """A random table against sorting: trusted first, then the later time, then the greater tie, then the smaller id."""
     from pyspark.sql import functions as F
