@@ -18,12 +18,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from ..session import spread, table, thinned
+from ..session import spread, table
 
 # The languages told apart, by their code.
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru"]
 SAMPLE = 3600
 SIZES = (3, 4, 5)
+TEXTS = 4096
+CHARACTERS = 1_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 MAIL_HEADER = re.compile(r"[A-Z][A-Za-z-]{1,20}:(\s|$)")
 BROKEN = re.compile("[-‐­][ \t]*\n")
@@ -98,11 +100,15 @@ class MaskFilter:
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of n-grams of each text; for each text and language those it contains, false ones taken off)."""
         h, owner = grams(texts)
-        # how often each mask occurs in each text, then the bits of the masks
-        kinds = 1 << self.bits
-        seen = np.bincount(owner * kinds + self.languages_of(h).astype(np.int64), minlength=len(texts) * kinds)[: len(texts) * kinds].reshape(len(texts), kinds)
-        hit = seen @ ((np.arange(kinds)[:, None] >> np.arange(self.bits)) & 1)
-        n = seen.sum(1).astype(float)
+        # how often each mask occurs in each text, then the bits of the masks; so many texts at a time that the table stays small
+        kinds, masks = 1 << self.bits, self.languages_of(h).astype(np.int64)
+        bit, hit, n = (np.arange(kinds)[:, None] >> np.arange(self.bits)) & 1, np.zeros((len(texts), self.bits)), np.zeros(len(texts))
+        order = np.argsort(owner, kind="stable") if len(texts) > TEXTS else None
+        for lo in range(0, len(texts), TEXTS):
+            hi = min(lo + TEXTS, len(texts))
+            at = slice(None) if order is None else order[np.searchsorted(owner, lo, sorter=order) : np.searchsorted(owner, hi, sorter=order)]
+            seen = np.bincount((owner[at] - lo) * kinds + masks[at], minlength=(hi - lo) * kinds)[: (hi - lo) * kinds].reshape(hi - lo, kinds)
+            hit[lo:hi], n[lo:hi] = seen @ bit, seen.sum(1)
         f = self.false_rates()
         return n, np.clip((hit - n[:, None] * f) / (1 - f), 0, None)
 
@@ -132,10 +138,15 @@ def train(rows: list[tuple[str, str]]) -> MaskFilter:
 
 
 class Detector:
-    """least, lead: a language is told if its score leads the next one's (or the main language's) by lead of all n-grams and by least of them."""
+    """least, lead: a language is told if its score leads the next one's (or the main language's) by lead of all n-grams and by least of them.
 
-    def __init__(self, f: MaskFilter, least: float = 25.0, lead: float = 0.12) -> None:
-        self.filter, self.least, self.lead = f, least, lead
+    known: a text of whose n-grams no language has this share is in none of them. The confidence of a main
+    language is its share of the n-grams in paragraphs whose language is told, that of another paragraph the
+    share of its own n-grams by which it is ahead of the main language.
+    """
+
+    def __init__(self, f: MaskFilter, least: float = 25.0, lead: float = 0.12, known: float = 0.3) -> None:
+        self.filter, self.least, self.lead, self.known = f, least, lead, known
 
     def documents(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int, float]]]]:
         """Of each text the main language (-1: none) with the paragraphs (0: the text itself), language and confidence."""
@@ -152,7 +163,7 @@ class Detector:
                 weight[s[i].argmax()] += m[i]
             if not weight.any():
                 weight = s.sum(0) if len(ps) else weight
-            if not weight.any():
+            if not weight.any() or s.sum(0).max() < self.known * m.sum():
                 out.append((-1, []))
                 continue
             main = int(weight.argmax())
@@ -167,17 +178,26 @@ class Detector:
 
 
 def detector_for(labelled: DataFrame, ident: str, lang: str, text: str, sample: int = SAMPLE) -> Detector:
-    """Trained on at most sample documents with a label among LANGUAGES, as many of each as there are, up to a ninth."""
+    """Trained on at most sample documents with a label among LANGUAGES, as many of each as there are, up to a ninth.
+
+    Labels are counted over all rows first, and each language is thinned by its own count, so that a rare one
+    keeps its documents.
+    """
     code, each = F.lower(F.substring(lang, 1, 2)), sample // len(LANGUAGES)
-    held = thinned(labelled.select(ident, lang, text), ident, 8 * sample).where(code.isin(LANGUAGES) & (F.length(text) > 200))
-    ranked = held.select(code.alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h")))
-    return Detector(train([(r.l, r.t) for r in ranked.where(F.col("r") <= each).select("l", "t").collect()]))
+    rows = labelled.where(code.isin(LANGUAGES)).select(code.alias("l"), F.col(ident).alias("i"), F.col(text).alias("t"))
+    step = {r.l: max(1, r.n // (4 * each)) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not step:
+        return Detector(train([]))
+    every = F.element_at(F.create_map(*[F.lit(x) for kv in step.items() for x in kv]), F.col("l"))
+    held = rows.where((F.pmod(F.xxhash64("i"), every) == 0) & (F.length("t") > 200)).select("l", "t", F.xxhash64("t").alias("h"))
+    ranked = held.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t")))
+    return Detector(train([(r.l, r.t) for r in ranked.where(F.col("r") <= each).orderBy("l", "r").select("l", "t").collect()]))
 
 
 def detect(df: DataFrame, ident: str, text: str, detector: Detector) -> DataFrame:
     """(id, para_no, lang, confidence): para_no 0 is the text's main language, others are paragraphs in another one.
 
-    A null, empty or letterless text gives no row. Repeated rows count once. An empty table gives an
+    A null, empty or letterless text, and one in none of the languages, gives no row. Repeated rows count once. An empty table gives an
     empty result.
     """
     kind, shared = df.schema[ident].dataType.simpleString(), df.sparkSession.sparkContext.broadcast(detector)
@@ -185,7 +205,7 @@ def detect(df: DataFrame, ident: str, text: str, detector: Detector) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             # a million characters at a time
-            block = (pdf["t"].str.len().cumsum() // 1_000_000).to_numpy()
+            block = (pdf["t"].str.len().cumsum() // CHARACTERS).to_numpy()
             for b in np.unique(block):
                 part = pdf[block == b]
                 out = [(i, *f) for i, (_, fs) in zip(part["id"], shared.value.documents(list(part["t"]))) for f in fs]

@@ -241,6 +241,30 @@ def test_languages(spark):
     assert languages.detect(frame(spark, []), "id", "text", detector()).count() == 0
 
 
+def test_unknown_language_and_confidence():
+    det = detector()
+    unknown, mixed = "ez a szöveg magyarul íródott és egyik ismert nyelvhez sem tartozik mert a magyar egészen más nyelv", "\n\n".join([LINES["en"]] * 3 + [LINES["fr"]])
+    (a, b) = det.documents([unknown, mixed])
+    assert a == (-1, []) and det.documents([None, "", "12"]) == [(-1, [])] * 3
+    assert languages.LANGUAGES[b[0]] == "en" and abs(b[1][0][2] - 0.74) < 0.06 and [languages.LANGUAGES[l] for _, l, _ in b[1][1:]] == ["fr"]
+
+
+def test_many_short_paragraphs(monkeypatch):
+    """Counts are the same whether paragraphs are counted together or a few at a time."""
+    f = detector().filter
+    texts = [" a ", " the bridge ", "", " stadt brücke "] * 50
+    whole = f.counts(texts)
+    monkeypatch.setattr(languages, "TEXTS", 7)
+    part = f.counts(texts)
+    assert (whole[0] == part[0]).all() and np.allclose(whole[1], part[1])
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(f"e{i}", "EN-us", LINES["en"] * 3 + str(i)) for i in range(400)] + [(f"f{i}", "fr", LINES["fr"] * 3 + str(i)) for i in range(8)] + [("x", None, "y"), ("z", "??", None)]
+    det = languages.detector_for(frame(spark, rows, "id string, lang string, text string"), "id", "lang", "text", 90)
+    assert languages.LANGUAGES[det.documents([LINES["fr"]])[0][0]] == "fr"
+
+
 def test_mask_filter():
     f = languages.MaskFilter(3)
     h = np.arange(1, 3000, dtype=np.uint64)
