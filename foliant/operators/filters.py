@@ -56,3 +56,9 @@ def one_row_each(df: DataFrame, key: str, pick: Column) -> DataFrame:
     again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
     several = among(df, key, again).groupBy(key).agg(pick.alias("_x")).select(key, "_x.*")
     return surely_not(df, key, again).select(*several.columns).unionAll(several)
+
+
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """df.distinct(), for which only rows are moved whose key may come twice. No column may be a map."""
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return surely_not(df, key, again).unionAll(among(df, key, again).distinct())

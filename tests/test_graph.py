@@ -128,3 +128,5 @@ def test_one_row_each(spark):
     rows = [("a", "x"), ("a", "x"), ("b", "y"), ("c", None), ("d", "2"), ("d", "1"), (None, "n"), (None, "n")]
     got = filters.one_row_each(spark.createDataFrame(rows, "id string, t string"), "id", F.min(F.struct("t")))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "x"), ("b", "y"), ("c", None), ("d", "1"), (None, "n")], key=str)
+    two = spark.createDataFrame(rows, "id string, t string")
+    assert sorted(map(tuple, filters.distinct_rows(two, "id").collect()), key=str) == sorted(set(rows), key=str)
