@@ -105,3 +105,28 @@ def embedded(text: str, dim: int = 256) -> np.ndarray:
         v += np.bincount((h % U(dim)).astype(int), np.where((h >> U(32)) & U(1), -1.0, 1.0), dim)
     n = np.sqrt((v * v).sum())
     return v / n if n else v
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt((v * v).sum())
+    return v / n if n else v
+
+
+def token_vector(text: str, dim: int = 32) -> np.ndarray:
+    """Signed hashing of whole words, each as often as it comes, of unit length; zeros for a text without words."""
+    h = np.array([word_hash(w) for w in re.findall(r"[^\W_]+", text.lower())], U)
+    return unit(np.bincount((h % U(dim)).astype(int), np.where((h >> U(32)) & U(1), -1.0, 1.0), dim) if len(h) else np.zeros(dim))
+
+
+def trigram_vector(text: str, dim: int = 256) -> np.ndarray:
+    """Every distinct run of three lowered characters in two buckets, the second at half weight, of unit length.
+
+    A text too short for one has its words instead.
+    """
+    low = text.lower()
+    grams = {low[i : i + 3] for i in range(len(low) - 2)} or set(re.findall(r"[^\W_]+", low))
+    h = np.array([word_hash(g) for g in sorted(grams)], U)
+    if not len(h):
+        return np.zeros(dim)
+    sign = np.where(h & U(1), -1.0, 1.0)
+    return unit(np.bincount((h % U(dim)).astype(int), sign, dim) + np.bincount(((h >> U(8)) % U(dim)).astype(int), sign * 0.5, dim))

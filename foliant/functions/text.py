@@ -138,10 +138,59 @@ def mime_extension(c) -> Column:
 
 
 def file_name(title, original, mime, checksum) -> Column:
-    """A friendly file name: from the title, else the original name, else the checksum's first eight digits."""
+    """A friendly file name from the title, or 'document-' and the checksum's first eight digits where that has no usable character.
+
+    The extension is the original name's, else the MIME type's; a title that ends with it loses its own.
+    """
     ext = F.coalesce(original_extension(original), mime_extension(mime))
-    base = F.coalesce(F.nullif(fs_stem(title), F.lit("")), F.nullif(fs_stem(stem(original)), F.lit("")), F.left(col(checksum), F.lit(8)))
-    return F.when(ext.isNull() | F.endswith(F.lower(base), F.concat(F.lit("."), ext)), base).otherwise(F.concat(base, F.lit("."), ext))
+    none = F.concat(F.lit("document-"), F.coalesce(F.left(col(checksum), F.lit(8)), F.lit("")))
+    base = F.coalesce(F.nullif(fs_stem(title), F.lit("")), none)
+    cut = F.when(F.endswith(F.lower(base), F.concat(F.lit("."), ext)), F.left(base, F.length(base) - F.length(ext) - 1)).otherwise(base)
+    return F.when(ext.isNull(), base).otherwise(F.concat(cut, F.lit("."), ext))
+
+
+def safe_base_name(original, ident) -> Column:
+    """The name of a temporary copy: the last part of the original name with ASCII letters, digits and ._- kept; 'document-<id>' without any."""
+    none = F.concat(F.lit("document-"), col(ident))
+    base = F.regexp_extract(F.coalesce(col(original), none), r"([^/\\\\]*)$", 1)
+    kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_"), r"^[_\\.]+", ""), r"[_\\.]+$", "")
+    return F.when(kept == "", none).otherwise(kept)
+
+
+def without_marks(c) -> Column:
+    """A snippet without its marks."""
+    return F.regexp_replace(col(c), "</?b>", "")
+
+
+def centred_snippet(c, query: str, before: int = 70, after: int = 170) -> Column:
+    """The text around the first place of a query, whatever its case, with an ellipsis where something is left out.
+
+    A blank query gives an excerpt; one that isn't found counts as found at the beginning.
+    """
+    q = query.strip().lower()
+    if not q:
+        return excerpt(c)
+    at = F.greatest(F.instr(F.lower(col(c)), q) - 1, F.lit(0))
+    start, end = F.greatest(at - before, F.lit(0)), F.least(at + len(q) + after, F.length(col(c)))
+    body = F.substr(col(c), start + 1, end - start)
+    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(end < F.length(col(c)), "…").otherwise(""))
+
+
+def fnv32(c) -> Column:
+    """FNV-1a over a string's UTF-16 code units, as a long: picks a tag's colour from a palette."""
+    points = F.transform(F.filter(F.split(col(c), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    units = F.flatten(F.transform(points, lambda u: F.when(u < 65536, F.array(u)).otherwise(F.array(F.floor((u - 65536) / 1024) + 55296, (u - 65536) % 1024 + 56320))))
+    return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def words_used(c) -> Column:
+    """Number of words between white space, at least 1: how use of a model is counted."""
+    return F.greatest(F.size(F.filter(F.split(F.coalesce(col(c), F.lit("")), r"\s+"), lambda x: x != "")), F.lit(1))
+
+
+def greatest_at(c) -> Column:
+    """The first place, from 0, of an array's greatest value."""
+    return F.array_position(col(c), F.array_max(col(c))) - 1
 
 
 def rendered_title(keywords, most: int = 3) -> Column:

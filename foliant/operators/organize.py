@@ -21,11 +21,54 @@ def empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def plans(corpus: DataFrame, tags: DataFrame, asked: DataFrame, emergent: list[str] = (), stats: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+def by_preference(values: Column, score) -> Column:
+    """An array by falling score, in its own order where scores are equal."""
+    keyed = F.transform(values, lambda x, i: F.struct((-F.round(score(x), 9)).alias("s"), i.alias("i"), x.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
+def applied_title(suggested: Column | str) -> Column:
+    """The title that is set for a suggestion: trimmed, without separators at its end unless nothing else is left."""
+    s = F.col(suggested) if isinstance(suggested, str) else suggested
+    cut = F.regexp_replace(F.trim(s), r"[-_. ]+$", "")
+    return F.when(cut == "", s).otherwise(cut)
+
+
+def applied_at_ingest(plan: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents (document_id, title, tags) with the planned tags and title; those without a plan stay as they are."""
+    p = plan.select(F.col("document_id").alias("p"), F.col("tags").alias("p_tags"), "suggested_title")
+    j = documents.join(p, F.col("document_id") == F.col("p"), "left")
+    title = F.when(F.col("suggested_title").rlike(r"\S"), applied_title("suggested_title")).otherwise(F.col("title"))
+    return j.select("document_id", title.alias("title"), F.coalesce("p_tags", "tags").alias("tags"))
+
+
+def suggest(plan: DataFrame, current: DataFrame, stored: DataFrame, kind: str, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcome, documents afterwards, suggestions afterwards) of asking for titles or for tags.
+
+    outcome: document_id, status, pending. The first suggestion is applied if it isn't what the document has:
+    Applied, AlreadyCurrent or NoSuggestion; pending counts the alternatives left to choose from.
+    """
+    rows = suggestions_of(plan, current, "manual_request", now_ms).where(F.col("kind") == kind)
+    after = store_suggestions(stored, rows)
+    j = current.join(plan.select(F.col("document_id").alias("p"), F.col("tags").alias("p_tags"), "suggested_title"), F.col("document_id") == F.col("p"))
+    new = applied_title("suggested_title") if kind == "title" else F.col("p_tags")
+    given = F.col("suggested_title").rlike(r"\S") if kind == "title" else F.size("p_tags") > 0
+    differs = ~new.eqNullSafe(F.col("title")) if kind == "title" else F.array_sort("p_tags") != F.array_sort("tags")
+    j = j.withColumn("status", F.when(~F.coalesce(given, F.lit(False)), "NoSuggestion").when(differs, "Applied").otherwise("AlreadyCurrent")).withColumn("new", new)
+    open_ = after.where((F.col("kind") == kind) & (F.col("status") == "pending")).groupBy(F.col("document_id").alias("o")).agg(F.count("*").alias("pending"))
+    outcome = j.join(open_, F.col("document_id") == F.col("o"), "left").select("document_id", "status", F.coalesce("pending", F.lit(0)).alias("pending"))
+    column = "title" if kind == "title" else "tags"
+    done = j.where("status = 'Applied'").select(F.col("document_id").alias("d"), "new")
+    docs = current.join(done, F.col("document_id") == F.col("d"), "left").withColumn(column, F.coalesce("new", column)).drop("d", "new")
+    return outcome, docs, after
+
+
+def plans(corpus: DataFrame, tags: DataFrame, asked: DataFrame, emergent: list[str] = (), stats: DataFrame | None = None, duplicates: DataFrame | None = None, title_stats: DataFrame | None = None) -> DataFrame:
     """(document_id, tags, alt_tag_sets, suggested_title, alt_titles, is_duplicate_of) for the asked documents.
 
     corpus: id, title, text. tags: document_id, tag. asked: doc, a stated set. emergent: top terms of the
-    corpus' clusters. stats: term, accepts, rejects; without it nothing is re-ranked. All asked documents are
+    corpus' clusters. stats: term, accepts, rejects of tags; with it tags go by weight times preference and alternative
+    sets by the sum of their tags' preferences. title_stats: the same of titles, for the alternative ones. All asked documents are
     planned on one snapshot in one job; ids that aren't in the corpus get no row.
     """
     tf = tfidf.term_frequencies(corpus, "id", "text")
@@ -51,17 +94,27 @@ def plans(corpus: DataFrame, tags: DataFrame, asked: DataFrame, emergent: list[s
         n = F.size("tags")
         ranked = ordered(pos.join(base.select("doc", n.alias("n")), "doc"), [-F.round((F.col("n") - F.col("p")) * F.coalesce("s", F.lit(1.0)), 9), F.col("p")], "term", "reranked")
         base = base.join(ranked, "doc", "left").withColumn("tags", F.coalesce("reranked", "tags")).drop("reranked")
+        mine_too = base.select("doc", F.explode(F.array_union(F.concat("knn", "cl"), "kw")).alias("term")).distinct()
+        liked = mine_too.join(scores, "term").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "s"))).alias("liked"))
+        base = base.join(liked, "doc", "left")
     title = rendered_title("tt")
     alt = F.array(F.when(F.size("tt") >= 2, F.concat_ws(" ", F.get("tt", F.lit(0)), F.get("tt", F.lit(1)))), F.when(F.size("tt") >= 3, F.concat_ws(" ", F.get("tt", F.lit(0)), F.get("tt", F.lit(1)), F.get("tt", F.lit(2)))), F.get("tt", F.lit(0)), F.nullif(squeeze("title"), F.lit("")))
     sets = F.array("knn", "cl", F.slice("kw", 1, 4), F.slice("tags", 1, 3))
     keyed = F.filter(F.transform(sets, F.array_distinct), lambda s: F.size(s) > 0)
     seen = F.aggregate(keyed, F.array().cast("array<array<string>>"), lambda acc, s: F.when(F.exists(acc, lambda o: F.array_sort(o) == F.array_sort(s)), acc).otherwise(F.concat(acc, F.array(s))))
+    if stats is not None:
+        seen = by_preference(seen, lambda x: F.aggregate(x, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("liked", t), F.lit(1.0))))
+    titles = F.array_distinct(F.filter(alt, lambda t: t.isNotNull()))
+    if title_stats is not None:
+        asked_titles = base.select("doc", F.explode(titles).alias("term")).join(title_stats.select("term", preference().alias("s")), "term")
+        base = base.join(asked_titles.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "s"))).alias("liked_titles")), "doc", "left")
+        titles = by_preference(titles, lambda t: F.coalesce(F.try_element_at("liked_titles", t), F.lit(1.0)))
     out = base.withColumn("suggested_title", title).select(
         F.col("doc").alias("document_id"),
         "tags",
         F.slice(F.filter(seen, lambda s: F.array_sort(s) != F.array_sort(F.col("tags"))), 1, MOST_ALTERNATIVES).alias("alt_tag_sets"),
         "suggested_title",
-        F.slice(F.filter(F.array_distinct(alt), lambda t: t.isNotNull() & (t != F.col("suggested_title"))), 1, MOST_ALTERNATIVES).alias("alt_titles"),
+        F.slice(F.filter(titles, lambda t: t != F.col("suggested_title")), 1, MOST_ALTERNATIVES).alias("alt_titles"),
     )
     if duplicates is None:
         return out.withColumn("is_duplicate_of", F.lit(None).cast("string"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpoint
+from .ranking import numbered
 from .tags import with_ancestors
 
 
@@ -135,17 +136,39 @@ def preference(accepts="accepts", rejects="rejects") -> Column:
 def sibling_names(df: DataFrame, folder: str, name: str, ident: str) -> DataFrame:
     """Column unique_name: the first of a folder's equal names as it is, others with ' (2)', ' (3)' before the extension.
 
-    A numbered name that another row has as its own is passed over.
+    A numbered name that another row has as its own is passed over. Taken names meet the name they number by
+    an equi-join, and equal names are numbered in parts, so that neither a folder nor a name is one task's.
     """
-    from pyspark.sql import Window as W
-
-    df = checkpoint(df)  # the name is an expression that would be repeated in every step below
-    own = df.select(F.col(folder).alias("_f"), F.col(name).alias("_taken")).distinct()
-    n = df.withColumn("_r", F.row_number().over(W.partitionBy(folder, name).orderBy(ident)))
-    stem_, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+?(\.[^.]*)$", 1)
-    base = n.withColumn("_s", stem_).withColumn("_e", ext)
-    # how many of the numbered forms up to a row's own are somebody's name
-    clash = base.where("_r = 1").join(own, F.col(folder) == F.col("_f")).withColumn("_k", F.regexp_extract(F.expr("substring(_taken, length(_s) + 1)"), r"^ \((\d+)\)", 1)).where(F.col("_k") != "").where(F.concat("_s", F.lit(" ("), "_k", F.lit(")"), "_e") == F.col("_taken")).where(F.col("_k").cast("int") >= 2).groupBy(F.col(folder).alias("_cf"), F.col(name).alias("_cn")).agg(F.array_sort(F.collect_set(F.col("_k").cast("int"))).alias("_ks"))
-    j = base.join(clash, (F.col(folder) == F.col("_cf")) & (F.col(name) == F.col("_cn")), "left")
+    n = checkpoint(numbered(df, [folder, name], [ident], "_r"))
+    stem_, ext = (lambda c: F.regexp_extract(c, r"^(.+?)(\.[^.]*)?$", 1)), (lambda c: F.regexp_extract(c, r"^.+?(\.[^.]*)$", 1))
+    # which numbered forms of a name are somebody's own
+    taken = n.where("_r = 1").select(F.col(folder).alias("_cf"), stem_(name).alias("_s"), ext(name).alias("_e"))
+    taken = taken.withColumn("_k", F.regexp_extract("_s", r" \(([1-9]\d{0,8})\)$", 1)).where("_k <> ''")
+    taken = taken.select("_cf", F.concat(F.expr("left(_s, length(_s) - length(_k) - 3)"), "_e").alias("_cn"), F.col("_k").cast("int").alias("_k")).where("_k >= 2")
+    several = n.where("_r = 2").select(F.col(folder).alias("_mf"), F.col(name).alias("_mn"))
+    taken = taken.join(several, F.col("_cf").eqNullSafe(F.col("_mf")) & (F.col("_cn") == F.col("_mn")), "left_semi")
+    clash = taken.groupBy("_cf", "_cn").agg(F.array_sort(F.collect_set("_k")).alias("_ks"))
+    j = n.withColumn("_s", stem_(name)).withColumn("_e", ext(name)).join(clash, F.col(folder).eqNullSafe(F.col("_cf")) & (F.col(name) == F.col("_cn")), "left")
     step = F.aggregate(F.coalesce("_ks", F.array().cast("array<int>")), F.col("_r"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
     return j.withColumn("unique_name", F.when(F.col("_r") == 1, F.col(name)).otherwise(F.concat("_s", F.lit(" ("), step.cast("string"), F.lit(")"), "_e"))).drop("_r", "_s", "_e", "_cf", "_cn", "_ks")
+
+
+def view_active(filters: Column | str, view: Column | str) -> Column:
+    """Whether the tags filtered by are those of a saved view, in any order."""
+    same = lambda c: F.array_sort(F.array_distinct(c))
+    return same(filters) == same(view)
+
+
+def toggled(filters: Column | str, view: Column | str) -> Column:
+    """The tags to filter by after a view is chosen: its own, or none if they were chosen already."""
+    return F.when(view_active(filters, view), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(view)))
+
+
+def one_tap(known: Column | str, last: Column | str, applied: Column | str) -> Column:
+    """The tags to offer for a document: those last suggested, then all known ones, without those it has."""
+    return F.array_except(F.array_union(last, known), applied)
+
+
+def removable(tags: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(tag): the tags that any of the chosen documents (column id) has."""
+    return tags.join(chosen.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("tag").distinct()

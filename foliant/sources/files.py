@@ -87,12 +87,13 @@ def reconciliation(documents: DataFrame, tags: DataFrame, tree: DataFrame) -> Da
     stamp = documents.where("kind <> 'folder'").select("id", F.try_element_at("extra", F.lit("file_name")).alias("stamp"), F.try_element_at("extra", F.lit("main_path")).alias("stamped_dir"))
     d = place.join(stamp, "id")
     backfill = d.where("stamp IS NULL").select(F.lit("backfill").alias("action"), "id", F.lit(None).cast("string").alias("rel_dir"), F.lit(None).cast("string").alias("name"), F.col("rel_dir").alias("to_dir"), F.col("name").alias("to_name"))
-    t = tree.select(F.col("rel_dir").alias("t_dir"), F.col("name").alias("t_name"))
-    cand = d.where("stamp IS NOT NULL").join(t, F.col("stamp") == F.col("t_name"), "left")
-    order = F.when(F.col("t_dir").isNull(), 9).when(F.col("t_dir") == F.col("rel_dir"), 0).when(F.col("t_dir") == F.col("stamped_dir"), 1).otherwise(2)
-    best = cand.groupBy("id", "rel_dir", "name", "stamp").agg(F.min(F.struct(order.alias("o"), "t_dir")).alias("b"))
-    there = F.col("b.t_dir")
-    placed = best.select(F.when(there.isNull(), "delete").when((there == F.col("rel_dir")) & (F.col("stamp") == F.col("name")), "keep").otherwise("move").alias("action"), "id", there.alias("rel_dir"), F.col("stamp").alias("name"), F.col("rel_dir").alias("to_dir"), F.col("name").alias("to_name"))
+    t = tree.select(F.col("rel_dir").alias("t_dir"), F.col("name").alias("t_name")).distinct()
+    first = t.groupBy("t_name").agg(F.min("t_dir").alias("any_dir"))  # a common name is one row here
+    at = lambda c, as_: (t.select(F.col("t_name").alias(f"n_{as_}"), F.col("t_dir").alias(as_)), (F.col("stamp") == F.col(f"n_{as_}")) & (F.col(c) == F.col(as_)))
+    (own, on_own), (old, on_old) = at("rel_dir", "own_dir"), at("stamped_dir", "old_dir")
+    found = d.where("stamp IS NOT NULL").join(own, on_own, "left").join(old, on_old, "left").join(first, F.col("stamp") == F.col("t_name"), "left")
+    there = F.coalesce("own_dir", "old_dir", "any_dir")
+    placed = found.select(F.when(there.isNull(), "delete").when((there == F.col("rel_dir")) & (F.col("stamp") == F.col("name")), "keep").otherwise("move").alias("action"), "id", there.alias("rel_dir"), F.col("stamp").alias("name"), F.col("rel_dir").alias("to_dir"), F.col("name").alias("to_name"))
     claimed = stamp.where("stamp IS NOT NULL").select(F.col("stamp").alias("name"))
     loose = tree.join(claimed.distinct(), "name", "left_anti")
     w = W.partitionBy("hash").orderBy("rel_dir", "name")

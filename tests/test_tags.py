@@ -121,3 +121,19 @@ def test_unique_names(spark):
 def test_bulk_tags(spark):
     r = spark.createDataFrame([(["a", "b"],)], "tags array<string>").select(rel.bulk_tags(F.col("tags"), [" c ", "", "a"], ["b"]).alias("t")).first()
     assert r.t == ["a", "c"]
+
+
+def test_names_in_one_large_folder(spark):
+    """A tenth of all rows with one name in one folder, numbers taken among them: unique names, numbered in order."""
+    rows = [("hot", "n.txt", f"{i:04d}") for i in range(400)] + [("hot", f"n ({k}).txt", f"k{k}") for k in (2, 3, 7)] + [(None, "n.txt", "z1"), (None, "n.txt", "z2")]
+    got = {r.id: r.unique_name for r in rel.sibling_names(spark.createDataFrame(rows, "dir string, name string, id string"), "dir", "name", "id").collect()}
+    assert [got[f"{i:04d}"] for i in range(5)] == ["n.txt", "n (4).txt", "n (5).txt", "n (6).txt", "n (8).txt"]
+    assert len({got[f"{i:04d}"] for i in range(400)} | {"n (2).txt", "n (3).txt", "n (7).txt"}) == 403 and got["z2"] == "n (2).txt"
+
+
+def test_views_and_choices(spark):
+    df = spark.createDataFrame([(["b", "a"], ["a", "b", "a"], ["x", "a"])], "f array<string>, v array<string>, k array<string>")
+    r = df.select(rel.view_active("f", "v").alias("on"), rel.toggled("f", "v").alias("off"), rel.toggled("k", "v").alias("to"), rel.one_tap("k", "v", "f").alias("offer")).first()
+    assert r.on and r.off == [] and r.to == ["a", "b"] and r.offer == ["x"]
+    t = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "b"), ("3", "c")], "document_id string, tag string")
+    assert {r.tag for r in rel.removable(t, spark.createDataFrame([("1",), ("2",)], "id string")).collect()} == {"a", "b"}

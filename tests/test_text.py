@@ -31,7 +31,8 @@ def test_names(spark):
     assert one(spark, fx.original_extension("c0"), "a.toolongextension") is None
     assert one(spark, fx.file_name("c0", "c1", "c2", "c3"), "Tax 2020", "x.pdf", None, "abcdef0123") == "Tax 2020.pdf"
     assert one(spark, fx.file_name("c0", "c1", "c2", "c3"), "Tax.pdf", None, "application/pdf", "abcdef0123") == "Tax.pdf"
-    assert one(spark, fx.file_name("c0", "c1", "c2", "c3"), "", None, None, "abcdef0123") == "abcdef01"
+    assert one(spark, fx.file_name("c0", "c1", "c2", "c3"), "", None, None, "abcdef0123") == "document-abcdef01"
+    assert one(spark, fx.file_name("c0", "c1", "c2", "c3"), "Tax.PDF", None, "application/pdf", "abcdef0123") == "Tax.pdf"
 
 
 def test_types(spark):
@@ -64,3 +65,29 @@ def test_term_statistics(spark):
     near = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.6)], "doc string, other string, score double")
     votes = {r.tag: round(r.votes, 6) for r in tfidf.tag_votes(near, spark.createDataFrame([("a", "invoice"), ("a", "receipt"), ("b", "receipt")], "document_id string, tag string")).collect()}
     assert votes == {"receipt": 1.5, "invoice": 0.9}
+
+
+def test_small_forms(spark):
+    assert one(spark, fx.safe_base_name("c0", "c1"), "a/b\\c d.pdf_", "7") == "c_d.pdf" and one(spark, fx.safe_base_name("c0", "c1"), None, "7") == "document-7" and one(spark, fx.safe_base_name("c0", "c1"), "/_._", "7") == "document-7"
+    assert one(spark, fx.without_marks("c0"), "a <b>b</b> c") == "a b c"
+    long = "x" * 100 + " Needle " + "y" * 300
+    assert one(spark, fx.centred_snippet("c0", " needle "), long) == "…" + long[31 : 101 + 6 + 170] + "…"
+    assert one(spark, fx.centred_snippet("c0", "none"), "short") == "short" and one(spark, fx.centred_snippet("c0", " "), " a  b ") == "a b"
+    assert one(spark, fx.words_used("c0"), " two  words ") == 2 and one(spark, fx.words_used("c0"), " ") == one(spark, fx.words_used("c0"), None) == 1
+
+    def fnv(text):
+        h = 0x811C9DC5
+        raw = text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[i : i + 2], "little")) * 0x01000193) & 0xFFFFFFFF
+        return h
+
+    assert [one(spark, fx.fnv32("c0"), t) for t in ("", "tax", "größe", "a😀b")] == [fnv(t) for t in ("", "tax", "größe", "a😀b")]
+    assert spark.createDataFrame([([1.0, 3.0, 3.0],)], "v array<double>").select(fx.greatest_at("v").alias("x")).first().x == 1
+
+
+def test_small_vectors():
+    from foliant.functions import hashing as h
+
+    assert abs((h.token_vector("tax Tax invoice") ** 2).sum() - 1) < 1e-9 and len(h.token_vector("x")) == 32 and not h.token_vector(" ").any()
+    assert (h.trigram_vector("abcabc") == h.trigram_vector("abcab")).all() and h.trigram_vector("ab").any() and not h.trigram_vector("").any()

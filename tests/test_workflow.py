@@ -123,6 +123,29 @@ def sug(spark, rows):
     return spark.createDataFrame([(i, d, k, json.dumps(p) if k == "tags" else p, r, "ingest", 1.0, st, 1) for i, d, k, p, r, st in rows], SUG)
 
 
+def test_preferences_order_alternatives(spark):
+    corpus = spark.createDataFrame([("n", "notes", "invoice tax payment"), ("a", "x", "invoice tax payment bill"), ("b", "y", "recipe sugar flour")], "id string, title string, text string")
+    tags = spark.createDataFrame([("a", "finance"), ("b", "food")], "document_id string, tag string")
+    asked = spark.createDataFrame([("n",)], "doc string")
+    stats = spark.createDataFrame([("payment", 5.0, 0.0), ("invoice", 5.0, 0.0), ("tax", 5.0, 0.0)], "term string, accepts double, rejects double")
+    titles = spark.createDataFrame([("notes", 9.0, 0.0)], "term string, accepts double, rejects double")
+    plain = organize.plans(corpus, tags, asked, ["topic"]).first()
+    liked = organize.plans(corpus, tags, asked, ["topic"], stats=stats, title_stats=titles).first()
+    assert sorted(map(tuple, plain.alt_tag_sets)) == sorted(map(tuple, liked.alt_tag_sets)) and len(liked.alt_tag_sets[0]) == 3
+    assert liked.alt_titles[0] == "notes" != plain.alt_titles[0]
+
+
+def test_suggesting_and_applying(spark):
+    plan = spark.createDataFrame([("d", ["a"], [["b"]], "New title-", ["other"]), ("e", ["x"], [], "Same", [])], "document_id string, tags array<string>, alt_tag_sets array<array<string>>, suggested_title string, alt_titles array<string>")
+    now = spark.createDataFrame([("d", "Old", ["z"]), ("e", "Same", ["x"]), ("f", "F", ["q"])], "document_id string, title string, tags array<string>")
+    out, docs, after = organize.suggest(plan, now, spark.createDataFrame([], SUG), "title", 5)
+    assert {(r.document_id, r.status, r.pending) for r in out.collect()} == {("d", "Applied", 2), ("e", "AlreadyCurrent", 0)}
+    assert {r.document_id: r.title for r in docs.collect()} == {"d": "New title", "e": "Same", "f": "F"} and after.where("kind = 'tags'").count() == 0
+    out, docs, _ = organize.suggest(plan, now, spark.createDataFrame([], SUG), "tags", 5)
+    assert {r.document_id: r.tags for r in docs.collect()} == {"d": ["a"], "e": ["x"], "f": ["q"]}
+    assert {r.document_id: (r.title, r.tags) for r in organize.applied_at_ingest(plan, now).collect()} == {"d": ("New title", ["a"]), "e": ("Same", ["x"]), "f": ("F", ["q"])}
+
+
 def test_suggestions(spark):
     s = sug(spark, [("1", "d", "tags", ["acme", "invoice"], 0, "applied"), ("2", "d", "tags", ["acme", "finance"], 1, "pending"), ("3", "d", "tags", ["urgent"], 2, "pending"), ("4", "d", "title", "T", 0, "applied")])
     out, f, n = organize.resolve_edit(s, "d", "tags", ["acme", "kept"], 9)
