@@ -87,24 +87,38 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def embedded(text: str, dim: int = 256) -> np.ndarray:
-    """Signed feature hashing of runs of 1 to 3 lowered characters and of words, of unit length; zeros for an empty text."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    parts = []
+def embedded_all(texts: list[str], dim: int = 256) -> np.ndarray:
+    """Signed feature hashing of runs of 1 to 3 lowered characters and of words, a row of unit length for each text; zeros for an empty one."""
+    out = np.zeros((len(texts), dim))
+    for lo in range(0, len(texts), 256):
+        part = [t.lower() for t in texts[lo : lo + 256]]
+        out[lo : lo + len(part)] = _hashed(part, dim)
+    n = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+
+
+def _hashed(low: list[str], dim: int) -> np.ndarray:
+    raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in low]
+    c, of = np.concatenate([*raw, np.zeros(0, np.uint32)]).astype(U), np.repeat(np.arange(len(low)), [len(r) for r in raw])
+    hashes, owners = [], []
     for n in (1, 2, 3):
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, U)
+        m = len(c) - n + 1
+        if m > 0:
+            at = np.flatnonzero(of[:m] == of[n - 1 :])
+            h = np.full(len(at), n, U)
             for i in range(n):
-                h = splitmix64(h ^ c[i : i + len(h)])
-            parts.append(h)
-    words = re.findall(r"[^\W_]+", text.lower())
-    if words:
-        parts.append(np.array(list(map(word_hash, words)), U))
-    v = np.zeros(dim, np.float64)
-    for h in parts:
-        v += np.bincount((h % U(dim)).astype(int), np.where((h >> U(32)) & U(1), -1.0, 1.0), dim)
-    n = np.sqrt((v * v).sum())
-    return v / n if n else v
+                h = splitmix64(h ^ c[at + i])
+            hashes.append(h)
+            owners.append(of[at])
+    words = [re.findall(r"[^\W_]+", t) for t in low]
+    hashes.append(np.array([word_hash(w) for ws in words for w in ws], U))
+    owners.append(np.repeat(np.arange(len(low)), [len(ws) for ws in words]))
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    return np.bincount(owner * dim + (h % U(dim)).astype(np.int64), np.where((h >> U(32)) & U(1), -1.0, 1.0), len(low) * dim).reshape(len(low), dim)
+
+
+def embedded(text: str, dim: int = 256) -> np.ndarray:
+    return embedded_all([text], dim)[0]
 
 
 def unit(v: np.ndarray) -> np.ndarray:

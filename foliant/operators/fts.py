@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from ..functions.text import excerpt, rank_score, relevance, tokens
+from ..functions.text import WORDS, excerpt, rank_score, relevance, tokens
+from ..session import checkpoint
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -146,24 +148,39 @@ def _followed(other: Column, i: int):
 
 
 def match(docs: DataFrame, ident: str, text: str, query: str, limit: int | None = None) -> DataFrame:
-    """(doc, rank): matching documents with rank = -BM25, best first.
+    """(doc, rank): matching documents with rank = -BM25, best first, from the texts themselves.
 
-    Only texts that hold one of the words are parted into positions. A blank query gives no row, one that
-    can't be parsed raises InvalidQuery. Without a limit all matches are given.
+    Two passes: one counts documents, their lengths and those that each part of the query hits, the second
+    scores. Only texts that hold one of the words as a substring are parted into words. A blank query gives
+    no row, one that can't be parsed raises InvalidQuery. Without a limit all matches are given.
     """
     tree = parse(query)
-    base = docs.select(F.col(ident).alias("doc"), tokens(text).alias("t"))
-    if tree is None:
-        return base.select("doc", F.lit(0.0).alias("rank")).limit(0)
-    ls = list(dict.fromkeys(leaves(tree)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    base = docs.select(F.col(ident).alias("doc"), low.alias("low"))
+    ls = list(dict.fromkeys(leaves(tree))) if tree else []
     words = sorted({w for leaf in ls for w in leaf.words})
-    size = base.select(F.size("t").alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("avg")).first()
-    held = base.where(F.arrays_overlap("t", F.array(*map(F.lit, words)))) if words else base.limit(0)
-    spot = {w: _positions(w) for w in words}
-    h = held.select("doc", F.size("t").alias("len"), *[spot[w].alias(f"w{i}") for i, w in enumerate(words)])
+    if not words:
+        return base.select("doc", F.lit(0.0).alias("rank")).limit(0)
+    may = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in words])
+    counted = base.select("doc", F.regexp_count("low", F.lit(WORDS)).alias("len"), F.when(may, F.regexp_extract_all("low", F.lit(WORDS), 1)).alias("t"))
+    stats = _leaf_hits(counted, ls, words).agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg"), *_found(ls)).first()
+    held = base.where(may).select("doc", F.regexp_extract_all("low", F.lit(WORDS), 1).alias("t")).select("doc", F.size("t").alias("len"), "t")
+    return _ranked(_leaf_hits(held, ls, words), tree, ls, stats, limit)
+
+
+def _leaf_hits(t: DataFrame, ls: list[Leaf], words: list[str]) -> DataFrame:
+    """(doc, len, f0, f1, ...): how often each leaf hits, from the words t of each document, null where none can hit."""
+    p = t.select("doc", "len", *[_positions(w).alias(f"w{i}") for i, w in enumerate(words)])
     place = {w: F.col(f"w{i}") for i, w in enumerate(words)}
-    h = h.select("doc", "len", *[F.size(_hits(leaf, place)).alias(f"f{i}") for i, leaf in enumerate(ls)])
-    found = h.agg(*[F.coalesce(F.sum((F.col(f"f{i}") > 0).cast("long")), F.lit(0)).alias(f"n{i}") for i in range(len(ls))]).first()
+    return p.select("doc", "len", *[F.size(_hits(leaf, place)).alias(f"f{i}") for i, leaf in enumerate(ls)])
+
+
+def _found(ls: list[Leaf]) -> list[Column]:
+    return [F.coalesce(F.sum((F.col(f"f{i}") > 0).cast("long")), F.lit(0)).alias(f"n{i}") for i in range(len(ls))]
+
+
+def _ranked(h: DataFrame, tree: Node | Leaf, ls: list[Leaf], stats: Row, limit: int | None) -> DataFrame:
+    """(doc, rank) of the rows of _leaf_hits() for which the query holds."""
 
     def true(x: Node | Leaf) -> Column:
         if isinstance(x, Leaf):
@@ -173,16 +190,35 @@ def match(docs: DataFrame, ident: str, text: str, query: str, limit: int | None
 
     score = F.lit(0.0)
     for i in range(len(ls)):
-        n = found[f"n{i}"]
-        idf = F.greatest(F.log(F.lit((size.docs - n + 0.5) / (n + 0.5))), F.lit(LEAST_IDF))
+        n = stats[f"n{i}"]
+        idf = F.greatest(F.log(F.lit((stats["docs"] - n + 0.5) / (n + 0.5))), F.lit(LEAST_IDF))
         f = F.col(f"f{i}").cast("double")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(size.avg or 1.0))))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(stats["avg"] or 1.0))))
     out = h.where(true(tree)).select("doc", F.round(-score, 9).alias("rank"))
     return out.orderBy("rank", "doc").limit(limit) if limit is not None else out
 
 
+def lengths(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """(doc, len): number of words of every document, also of an empty one."""
+    return docs.select(F.col(ident).alias("doc"), F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS)).alias("len"))
+
+
+def match_index(index: DataFrame, sizes: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """(doc, rank) as match() gives it, from postings() and lengths(): only the query's words are read."""
+    tree = parse(query)
+    ls = list(dict.fromkeys(leaves(tree))) if tree else []
+    words = sorted({w for leaf in ls for w in leaf.words})
+    if not words:
+        return sizes.select("doc", F.lit(0.0).alias("rank")).limit(0)
+    mine = index.where(F.col("term").isin(words)).groupBy("doc").agg(*[F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"w{i}") for i, w in enumerate(words)])
+    place = {w: F.col(f"w{i}") for i, w in enumerate(words)}
+    h = checkpoint(mine.select("doc", *[F.size(_hits(leaf, place)).alias(f"f{i}") for i, leaf in enumerate(ls)]))
+    stats = sizes.agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg")).join(h.agg(*_found(ls))).first()
+    return _ranked(h.join(sizes, "doc"), tree, ls, stats, limit)
+
+
 def _positions(w: str) -> Column:
-    return F.filter(F.transform("t", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+    return F.coalesce(F.filter(F.transform("t", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()), F.array().cast("array<int>"))
 
 
 def search_exact(docs: DataFrame, ident: str, text: str, query: str, limit: int = 50) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..functions.hashing import embedded
+from ..functions.hashing import embedded, embedded_all
 from ..functions.text import cosine_score, relevance
 from ..session import checkpoint, spread
 
@@ -22,7 +22,7 @@ def embed(docs: DataFrame, ident: str, text: str, dim: int = 256) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "vector": [embedded(t or "", dim).astype(np.float32) for t in pdf["t"]]})
+            yield pd.DataFrame({"id": pdf["id"], "vector": list(embedded_all([t or "" for t in pdf["t"]], dim).astype(np.float32))})
 
     return spread(docs.select(F.col(ident).alias("id"), F.col(text).alias("t"))).mapInPandas(run, f"id {kind}, vector array<float>")
 
@@ -33,12 +33,29 @@ def semantic(docs: DataFrame, ident: str, text: str, query: str, limit: int = 50
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc": pdf["id"], "cosine": [float(np.dot(q, embedded(t or "", dim))) for t in pdf["t"]]})
+            yield pd.DataFrame({"doc": pdf["id"], "cosine": embedded_all([t or "" for t in pdf["t"]], dim) @ q})
 
     near = spread(docs.select(F.col(ident).alias("id"), F.col(text).alias("t"))).mapInPandas(run, f"doc {kind}, cosine double")
     return near.select("doc", F.round(relevance(cosine_score("cosine")), 9).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
 
 
+def semantic_index(vectors: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """(doc, score) as semantic() gives it, from stored vectors (id, vector) of any one length."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            m = np.array(pdf["vector"].tolist(), np.float64)
+            if len(m):
+                if (n := m.shape[1]) not in q:
+                    q[n] = embedded(query, n)
+                yield pd.DataFrame({"doc": pdf["id"], "cosine": m @ q[n]})
+
+    near = vectors.where("vector IS NOT NULL").select("id", "vector").mapInPandas(run, f"doc {kind}, cosine double")
+    return near.select("doc", F.round(relevance(cosine_score("cosine")), 6).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 10) -> DataFrame:
     """(query, other, cosine, rank): the exact k nearest rows of each query by cosine, itself left out.
 
@@ -103,7 +120,7 @@ def classify(docs: DataFrame, ident: str, text: str, labels: list[str], dim: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [np.clip(m @ embedded(t or "", dim), 0, 1) for t in pdf["t"]]
+            s = np.clip(embedded_all([t or "" for t in pdf["t"]], dim) @ m.T, 0, 1)
             yield pd.DataFrame([(i, n, float(round(x, 9))) for i, row in zip(pdf["id"], s) for n, x in zip(names, row)], columns=["doc", "label", "score"])
 
     w = W.partitionBy("doc").orderBy(F.desc("score"), "label")

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 def model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(contents, term frequencies, inverse frequencies)."""
     docs = contents(spark, d)
-    tf = tfidf.term_frequencies(docs, "document_id", "text")
+    tf = checkpoint(tfidf.term_frequencies(docs, "document_id", "text"))
     return docs, tf, tfidf.inverse_frequencies(tf, docs.count())
 
 
@@ -62,9 +62,10 @@ w AS (SELECT doc, term, round(sum(weight), 9) AS weight FROM allw WHERE doc IN (
 SELECT doc, rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS rank FROM w) WHERE rank <= 3""")
 def title_terms(spark: SparkSession, d: str) -> DataFrame:
     """Title candidates from text and name, the name down-weighted, more so in another script (ML3, FN3, FN4)."""
-    docs, _, idf = model(spark, d)
+    docs, tf, idf = model(spark, d)
     named = docs.join(library(spark, d, "title"), F.col("document_id") == F.col("id"))
-    pool = tfidf.title_pool(named, "document_id", "text", "title", idf)
+    mine = tf.join(named.select(F.col("document_id").alias("doc")), "doc", "left_semi")
+    pool = tfidf.title_pool(named, "document_id", "text", "title", idf, mine)
     return tfidf.top_terms(pool.withColumn("weight", F.round("weight", 9)), 3).select("doc", "rank", "term", F.round("weight", 6).alias("weight"))
 
 
