@@ -6,17 +6,26 @@ Index upkeep is an idempotent upsert by document, so a batch that runs twice cha
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fts import postings
+from ..operators.fts import lengths, postings
 from ..sources.files import ingested, listed
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer made the version that this one was going to make."""
+
+
 class VersionedTable:
-    """A folder of parquet versions; readers see the last one that was finished."""
+    """A folder of parquet versions; readers see the last one that was committed.
+
+    A version is written to a folder of its own and becomes visible by a file that only one writer can
+    create, so two writers never destroy each other: the later one gets ConcurrentWrite and changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -26,26 +35,38 @@ class VersionedTable:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int | None:
+    def _commits(self) -> dict[int, str]:
+        """Folder by version."""
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return None
-        done = [int(n[2:]) for s in fs.listStatus(path(self.path)) if (n := s.getPath().getName()).startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=None)
+        if not fs.exists(path(f"{self.path}/_log")):
+            return {}
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/_log"))]
+        return {int(n.split("-", 1)[0]): fs.open(path(f"{self.path}/_log/{n}")).readUTF() for n in names if n[0].isdigit()}
+
+    def version(self) -> int | None:
+        return max(self._commits(), default=None)
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v={v}")
+        done = self._commits()
+        return self.spark.read.parquet(f"{self.path}/{done[max(done)]}") if done else None
 
-    def write(self, df: DataFrame, keep: int = 2) -> int:
+    def write(self, df: DataFrame, keep: int = 2, partition_by: tuple[str, ...] = ()) -> int:
         """The next version; all but the last few older ones are removed."""
-        v = (self.version() if self.version() is not None else -1) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        fs, path = self._fs()
-        for s in fs.listStatus(path(self.path)):
-            n = s.getPath().getName()
-            if n.startswith("v=") and int(n[2:]) <= v - keep:
-                fs.delete(path(f"{self.path}/{n}"), True)
+        done = self._commits()
+        v, (fs, path) = max(done, default=-1) + 1, self._fs()
+        folder = f"v={v}-{uuid.uuid4().hex[:12]}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
+        try:
+            out = fs.create(path(f"{self.path}/_log/{v:010d}"), False)
+            out.writeUTF(folder)
+            out.close()
+        except Exception as e:
+            fs.delete(path(f"{self.path}/{folder}"), True)
+            raise ConcurrentWrite(f"{self.path}: version {v}") from e
+        for old, name in done.items():
+            if old <= v - keep:
+                fs.delete(path(f"{self.path}/_log/{old:010d}"), False)
+                fs.delete(path(f"{self.path}/{name}"), True)
         return v
 
 
@@ -61,13 +82,14 @@ def upsert_documents(table: VersionedTable, rows: DataFrame, key: str, gone: Dat
 
 
 def keep_postings(content: DataFrame, index: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """A stream of content rows (document_id, text, at_ms) into an index of postings; the last row of a document counts."""
+    """A stream of content rows (document_id, text, at_ms) into an index of postings, and of lengths beside it; the last row of a document counts."""
     spark = content.sparkSession
 
     def batch(df: DataFrame, _: int) -> None:
         last = df.groupBy("document_id").agg(F.max_by("text", F.struct("at_ms", "text")).alias("text"))
-        p = postings(last, "document_id", "text")
-        upsert_documents(VersionedTable(spark, index), p, "doc", last.select(F.col("document_id").alias("doc")))
+        gone = last.select(F.col("document_id").alias("doc"))
+        upsert_documents(VersionedTable(spark, index), postings(last, "document_id", "text"), "doc", gone)
+        upsert_documents(VersionedTable(spark, f"{index}-lengths"), lengths(last, "document_id", "text"), "doc", gone)
 
     return content.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

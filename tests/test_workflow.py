@@ -105,6 +105,78 @@ def test_library(spark, tmp_path):
     assert reopened.read("documents").count() == 1
 
 
+def test_blobs_and_bytes(spark, tmp_path):
+    import hashlib
+
+    from foliant.blobs import read_bytes
+
+    lib = Library(spark, str(tmp_path / "lib"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    doc = lambda i, c="": (i, None, "document", i, "text/plain", 1, c, 1, 1, {})
+    docs = lambda *rows: spark.createDataFrame(rows, schemas.DOCUMENTS)
+    contents = spark.createDataFrame([("d1", b"hello world"), ("d2", b"hello world")], "id string, content binary")
+    lib.put(docs(doc("d1"), doc("d2", sha(b"hello world").upper())), contents=contents)
+    assert lib.read_bytes("d1") == b"hello world" and lib.get("d1").first().checksum_sha256 == sha(b"hello world")
+    with pytest.raises(ValueError):
+        lib.put(docs(doc("d3", sha(b"other"))), contents=spark.createDataFrame([("d3", b"bytes")], "id string, content binary"))
+    assert lib.read("documents").count() == 2 and lib.blobs.keys().count() == 1
+    lib.delete(["d1"])
+    assert lib.blobs.contains(sha(b"hello world"))
+    lib.delete(["d2"])
+    assert not lib.blobs.contains(sha(b"hello world")) and lib.blobs.keys().count() == 0
+    lib.blobs.put(contents.unionAll(contents))
+    assert lib.blobs._all().count() == 1 and lib.blobs.put(contents).count() == 1 and lib.blobs._all().count() == 1
+    stamped = spark.createDataFrame([("x", sha(b"hello world"), {"file_name": "a.txt", "main_path": "p"}), ("y", sha(b"hello world"), {"file_name": "gone.txt"}), ("z", None, None)], "id string, checksum_sha256 string, extra map<string,string>")
+    files_ = spark.createDataFrame([("p", "a.txt", b"from file")], "rel_dir string, name string, content binary")
+    got = {r.id: r.content and bytes(r.content) for r in read_bytes(stamped, lib.blobs.get(stamped), files_).collect()}
+    assert got == {"x": b"from file", "y": b"hello world", "z": None}
+
+
+def test_user_edits_and_settings(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.put(spark.createDataFrame([("d", None, "document", "Old", "text/plain", 1, "", 1, 5, {"a": "b"})], schemas.DOCUMENTS))
+    lib.set_tags("d", ["x/y"], manual=True, now_ms=9)
+    lib.rename("d", "New", now_ms=10)
+    one = lib.get("d").first()
+    assert one.title == "New" and one.tags == ["x", "x/y"] and one.extra == {"a": "b", "tags_manual": "true", "title_manual": "true"} and one.updated_at_ms == 10
+    assert {(r.kind, r.term, r.weight) for r in lib.read("feedback").collect()} == {("tags", "x/y", 2.0), ("title", "New", 2.0)}
+    lib.rename("d", "Suggested", manual=False)
+    assert lib.read("feedback").count() == 2
+    lib.set_setting("library_dir", "/shared/lib")
+    assert lib.setting("library_dir") == "/shared/lib" and Library(spark, lib.root).setting("schema_version") == "2"
+    lib.set_setting("library_dir", None)
+    assert lib.setting("library_dir") is None
+    with pytest.raises(NotFound):
+        lib.rename("none", "x")
+
+
+def test_search_from_the_index(spark, tmp_path):
+    from foliant.operators import fts, vectors
+
+    lib = Library(spark, str(tmp_path / "lib"))
+    rows = [("a", "The quick fox and the lazy dog", "plain"), ("b", "An office supplies invoice for the office", "plain"), ("c", "A cookie recipe from the office party", "plain"), ("e", "", "plain")]
+    content = spark.createDataFrame(rows, schemas.CONTENT)
+    lib.put_content(content)
+    for q in ("office", '"office supplies"', "office NOT invoice", "recipe OR fox", "NEAR(cookie office, 4)"):
+        scan = {tuple(r) for r in fts.search_exact(content, "document_id", "text", q).collect()}
+        assert {tuple(r) for r in lib.search(q).collect()} == scan and scan
+    near = [r.doc for r in vectors.semantic(content, "document_id", "text", "office invoice").collect()]
+    assert [r.doc for r in lib.search("office invoice", "semantic").collect()] == near and lib.search("fox", "hybrid").first().doc == "a"
+    lib.put_content(spark.createDataFrame([("b", "nothing here", "plain")], schemas.CONTENT))
+    assert [r.doc for r in lib.search("office").collect()] == ["c"] and lib.search("(").count() == lib.search(" ").count() == 0
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = upkeep.VersionedTable(spark, str(tmp_path / "t")), upkeep.VersionedTable(spark, str(tmp_path / "t"))
+    one.write(spark.range(1))
+    seen = two._commits()
+    one.write(spark.range(2))
+    two._commits = lambda: seen
+    with pytest.raises(upkeep.ConcurrentWrite):
+        two.write(spark.range(3))
+    assert one.read().count() == 2
+
+
 def test_plans(spark):
     corpus = spark.createDataFrame([("inv-1", "Invoice one", "invoice acme payment total due"), ("inv-2", "Invoice two", "invoice acme payment overdue"), ("rec", "Cookies", "cookie recipe butter sugar flour"), ("new", "scan 7", "invoice acme payment due soon")], "id string, title string, text string")
     tags = spark.createDataFrame([("inv-1", "invoice"), ("inv-1", "finance"), ("inv-2", "invoice"), ("rec", "recipe")], "document_id string, tag string")
