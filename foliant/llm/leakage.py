@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import spread, table
-from .words import words
+from .words import sql_words, words
 
 ITEM_WORDS = 2_000_000
 
@@ -160,5 +160,17 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-SQL: dict[str, str] = {}
+# Windows of items meet runs of as many words of the texts.
+LEAKS = f"""
+item AS (SELECT item_id, {sql_words("text")} AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+sized AS (SELECT *, least(13, len(w)) AS l FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, l, array_to_string(w[i : i + l - 1], ' ') AS s FROM (SELECT *, unnest(range(1, CAST(len(w) - l + 2 AS BIGINT))) AS i FROM sized)),
+doc AS (SELECT doc_id, {sql_words("text")} AS w FROM documents WHERE text IS NOT NULL),
+run AS (SELECT doc_id, l, array_to_string(w[i : i + l - 1], ' ') AS s FROM (SELECT doc_id, w, l, unnest(range(1, CAST(len(w) - l + 2 AS BIGINT))) AS i FROM doc, (SELECT DISTINCT l FROM sized))),
+leak AS (SELECT DISTINCT doc_id, item_id FROM run JOIN win USING (l, s))
+"""
+SQL = {
+    "p7_found": f"WITH {LEAKS} SELECT doc_id, item_id FROM leak",
+    "p7_leaked_items": f"WITH {LEAKS} SELECT item_id, count(*) AS documents FROM leak GROUP BY 1",
+}
 QUERIES = {"p7_found": p7_found, "p7_leaked_items": p7_leaked_items}

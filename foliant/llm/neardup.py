@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 from ..operators.filters import among, surely_not
 from ..operators.graph import connected_components
 from ..session import checkpoint, spread, table
-from .words import MIX, WordHashes, mix64, shingles, words
+from .words import MIX, WordHashes, mix64, shingles, sql_words, words
 
 HOT_BAND = 500
 CHUNK = 1 << 15
@@ -259,8 +259,28 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
     """(class_a, class_b, similarity): the links between classes; a class goes by the smallest id in it, p3_groups has the rest."""
     members, links = near_duplicates(table(spark, d, "content"), "document_id", "text", k=4, threshold=0.6)
-    return class_links(members, links)
+    return class_links(members, links).withColumn("similarity", F.round("similarity", 9))
 
 
-SQL: dict[str, str] = {}
+# Every pair of texts that share a run of four words, with the similarity of their sets.
+ALIKE = f"""
+t AS (SELECT DISTINCT document_id AS id, {sql_words("text")} AS w FROM content WHERE document_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT id, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT id, w, unnest(range(1, CAST(len(w) - 2 AS BIGINT))) AS i FROM t WHERE len(w) >= 4)),
+n AS (SELECT id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS fp FROM s GROUP BY 1),
+met AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+pair AS (SELECT a, b, i / (p.n + q.n - i) AS similarity FROM met JOIN n p ON a = p.id JOIN n q ON b = q.id WHERE i / (p.n + q.n - i) >= 0.6)
+"""
+CLASSES = f"""{ALIKE},
+cls AS (SELECT id, min(id) OVER (PARTITION BY fp) AS class_id FROM n),
+link AS (SELECT a AS class_a, b AS class_b, similarity FROM pair WHERE a IN (SELECT class_id FROM cls) AND b IN (SELECT class_id FROM cls))
+"""
+SQL = {
+    "p3_found": f"WITH {ALIKE} SELECT a, b FROM pair",
+    "p3_links": f"WITH {CLASSES} SELECT class_a, class_b, round(similarity, 9) AS similarity FROM link",
+    "p3_groups": f"""WITH RECURSIVE {CLASSES},
+edge AS (SELECT class_a AS a, class_b AS b FROM link UNION SELECT class_b, class_a FROM link),
+reach AS (SELECT DISTINCT class_id AS a, class_id AS b FROM cls UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+grp AS (SELECT a, min(b) AS group_id FROM reach GROUP BY 1)
+SELECT id AS document_id, class_id, group_id, (SELECT count(*) FROM edge WHERE edge.a = class_id) AS links FROM cls JOIN grp ON class_id = grp.a""",
+}
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p3_links": p3_links}

@@ -67,3 +67,15 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mix64(out + h[i : i + n] + MIX)
     return out
+
+
+def sql_words(text: str) -> str:
+    """SQL for the list of words of a text. Of the compatibility forms it knows full-width characters and those named here."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    # Compatibility forms and what they stand for.
+    single, plain = "ºª¹²³µ", "oa123μ"
+    x = f"regexp_replace({text}, '\\p{{Cf}}', '', 'g')"
+    for form, long in (("№", "No"), ("™", "TM"), ("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("¼", "1⁄4"), ("½", "1⁄2"), ("¾", "3⁄4")):
+        x = f"replace({x}, '{form}', '{long}')"
+    to = "".join(chr(ord(c) - 0xFEE0) for c in wide).replace("'", "''")
+    return f"regexp_extract_all(lower(nfc_normalize(translate({x}, '{wide}{single}', '{to}{plain}'))), '[\\p{{L}}\\p{{N}}]+')"
