@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..blobs import unreferenced
 from ..functions import text as fx
 from ..operators import relations as rel, tags as tg
 from ..schemas import CON, FB, LIB, OWN, UP, contents, feedback, library, own_tags
@@ -12,6 +13,31 @@ from ..session import table
 QUERIES, SQL = {}, {}
 
 
+MAIN_PATHS = r"""c AS (SELECT tag, count(DISTINCT document_id) AS n FROM up WHERE NOT contains(tag, ':') GROUP BY 1),
+p AS (SELECT document_id, c.n, up.tag, regexp_replace(regexp_replace(string_split(up.tag, '/')[-1], '[^\p{L}\p{N} ._()-]', '_', 'g'), '^[_.\- ]+|[_.\- ]+$', '', 'g') AS seg FROM up JOIN c ON up.tag = c.tag),
+paths AS (SELECT document_id, coalesce(string_agg(seg, '/' ORDER BY n DESC, tag) FILTER (seg <> ''), '') AS path FROM p GROUP BY 1)"""
+
+
+def file_name_sql(original: str = "CAST(NULL AS VARCHAR)") -> str:
+    """SQL for the friendly file name, from title, mime_type and checksum_sha256."""
+    mime = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fx.MIME_EXTENSION.items())
+    ext = rf"coalesce(nullif(lower(regexp_extract({original}, '\.([A-Za-z0-9]{{1,8}})$', 1)), ''), CASE mime_type {mime} END)"
+    stem = r"left(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[^\p{L}\p{N} ._()-]', '_', 'g'), '_+', '_', 'g'), '^[_.\- ]+|[_.\- ]+$', '', 'g'), 80)"
+    safe = rf"CASE WHEN regexp_matches(upper(string_split({stem}, '.')[1]), '^(CON|PRN|AUX|NUL|(COM|LPT)[1-9])$') THEN '_' || {stem} ELSE {stem} END"
+    base = f"coalesce(nullif({safe}, ''), 'document-' || coalesce(left(checksum_sha256, 8), ''))"
+    return f"CASE WHEN {ext} IS NULL THEN {base} WHEN ends_with(lower({base}), '.' || {ext}) THEN left({base}, length({base}) - length({ext}) - 1) || '.' || {ext} ELSE {base} || '.' || {ext} END"
+
+
+def unique_names_sql(table: str, folder: str, name: str) -> str:
+    """SQL tables that end in unique_names: the rows of a table (id, folder, name) with unique_name."""
+    return rf"""rk AS (SELECT *, row_number() OVER (PARTITION BY {folder}, {name} ORDER BY id) AS r, coalesce(nullif(regexp_extract({name}, '^(.+?)(\.[^.]*)?$', 1), ''), '') AS st, regexp_extract({name}, '^.+?(\.[^.]*)$', 1) AS ex FROM {table}),
+taken AS (SELECT DISTINCT {folder} AS f, {name} AS taken_name FROM {table}),
+forms AS (SELECT DISTINCT rk.{folder} AS f, rk.{name} AS nm, k FROM (SELECT {folder}, {name}, any_value(st) AS st, any_value(ex) AS ex, count(*) AS n, unnest(range(2, count(*) + 64)) AS k FROM rk GROUP BY 1, 2 HAVING count(*) > 1) rk
+ WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.f = rk.{folder} AND taken_name = rk.st || ' (' || k || ')' || rk.ex)),
+freed AS (SELECT f, nm, k, row_number() OVER (PARTITION BY f, nm ORDER BY k) + 1 AS r FROM forms),
+unique_names AS (SELECT rk.*, CASE WHEN rk.r = 1 THEN rk.{name} ELSE rk.st || ' (' || freed.k || ')' || rk.ex END AS unique_name FROM rk LEFT JOIN freed ON freed.f = rk.{folder} AND freed.nm = rk.{name} AND freed.r = rk.r)"""
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -169,9 +195,7 @@ def tag_paths(spark: SparkSession, d: str) -> DataFrame:
     return own_tags(spark, d).select("tag").distinct().select("tag", tg.path_error("tag").alias("error"), tg.top_level("tag").alias("top"), tg.parent("tag").alias("parent"), tg.last_segment("tag").alias("last"))
 
 
-@query(rf"""WITH {UP}, c AS (SELECT tag, count(DISTINCT document_id) AS n FROM up WHERE NOT contains(tag, ':') GROUP BY 1),
-p AS (SELECT document_id, c.n, up.tag, regexp_replace(regexp_replace(string_split(up.tag, '/')[-1], '[^\p{{L}}\p{{N}} ._()-]', '_', 'g'), '^[_.\- ]+|[_.\- ]+$', '', 'g') AS seg FROM up JOIN c ON up.tag = c.tag)
-SELECT document_id, coalesce(string_agg(seg, '/' ORDER BY n DESC, tag) FILTER (seg <> ''), '') AS path FROM p GROUP BY 1""")
+@query(f"WITH {UP}, {MAIN_PATHS} SELECT document_id, path FROM paths")
 def main_paths(spark: SparkSession, d: str) -> DataFrame:
     """The folder path that a document's tags give it (HIER15)."""
     return tg.main_paths(tg.with_ancestors(own_tags(spark, d)))
@@ -209,8 +233,56 @@ def title_forms(spark: SparkSession, d: str) -> DataFrame:
     return library(spark, d, "title").select("id", fx.extension("title").alias("extension"), F.when(fx.sanitized("title") == "document", "document").otherwise("").alias("empty_name"), fx.excerpt("title").alias("excerpt"), fx.trailing_separators("title").alias("trimmed"))
 
 
-@query()
+@query(f"WITH {LIB}, named AS (SELECT id, coalesce(parent_id, '') AS folder, {file_name_sql()} AS name FROM lib), {unique_names_sql('named', 'folder', 'name')} SELECT id, folder, name, unique_name FROM unique_names")
 def file_names(spark: SparkSession, d: str) -> DataFrame:
     """A friendly and unique file name for every document within its folder (FN14, FN15, TOP15)."""
     docs = library(spark, d, "parent_id", "title", "mime_type", "checksum_sha256").withColumn("name", fx.file_name("title", F.lit(None).cast("string"), "mime_type", "checksum_sha256")).withColumn("folder", F.coalesce("parent_id", F.lit("")))
     return rel.sibling_names(docs, "folder", "name", "id").select("id", "folder", "name", "unique_name")
+
+
+@query(rf"""WITH {CON}, x AS (SELECT document_id, coalesce(text, '') AS t, greatest(instr(lower(coalesce(text, '')), 'invoice') - 1, 0) AS pos FROM con WHERE text IS NOT NULL),
+y AS (SELECT *, greatest(pos - 70, 0) AS a, least(pos + 177, length(t)) AS b FROM x)
+SELECT document_id, CASE WHEN a > 0 THEN '…' ELSE '' END || substr(t, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) || CASE WHEN b < length(t) THEN '…' ELSE '' END AS snippet,
+greatest(len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')), 1) AS words_used FROM y""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The text around a query's first place in every text, and how many words a model is charged for it (FN21, AGG14)."""
+    return contents(spark, d).where("text IS NOT NULL").select("document_id", fx.centred_snippet("text", "invoice").alias("snippet"), fx.words_used("text").cast("long").alias("words_used"))
+
+
+@query(rf"""WITH {OWN}, u AS (SELECT DISTINCT tag FROM own), c AS (SELECT tag, list_transform(string_split(tag, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS u FROM u)
+SELECT tag, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), u), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS colour FROM c""")
+def tag_colours(spark: SparkSession, d: str) -> DataFrame:
+    """The hash that picks each tag's colour (FN26)."""
+    return own_tags(spark, d).select("tag").distinct().select("tag", fx.fnv32("tag").alias("colour"))
+
+
+@query(rf"""WITH {LIB}, r AS (SELECT id, regexp_extract(coalesce(extra['original_name'], 'document-' || id), '([^/\\]*)$', 1) AS base FROM lib),
+k AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(base, '[^A-Za-z0-9._-]+', '_', 'g'), '^[_\\.]+', ''), '[_\\.]+$', '') AS kept FROM r)
+SELECT id, CASE WHEN kept = '' THEN 'document-' || id ELSE kept END AS name FROM k""")
+def temporary_names(spark: SparkSession, d: str) -> DataFrame:
+    """The name of each document's temporary copy (FN38)."""
+    return library(spark, d, "extra").select("id", fx.safe_base_name(F.try_element_at("extra", F.lit("original_name")), "id").alias("name"))
+
+
+@query(f"WITH {LIB}, {OWN} SELECT DISTINCT tag FROM own WHERE document_id IN (SELECT id FROM lib WHERE mime_type = 'application/pdf')")
+def removable_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The tags that can be taken off a choice of documents, here all PDF files (SET8)."""
+    return rel.removable(own_tags(spark, d), library(spark, d, "mime_type").where("mime_type = 'application/pdf'"))
+
+
+@query(f"""WITH {OWN}, h AS (SELECT document_id, list(tag ORDER BY tag) AS tags FROM own GROUP BY 1), k AS (SELECT list(DISTINCT tag) AS known FROM own WHERE NOT contains(tag, '/'))
+SELECT document_id, array_to_string(list_sort(list_filter(known, lambda x: NOT list_contains(tags, x))), '|') AS offered, tags = ['finance', 'finance/tax'] AS active FROM h, k""")
+def tag_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Top-level tags that each document lacks, offered for one tap, and whether its tags are just those of a saved view (SET6, FLT13)."""
+    own = own_tags(spark, d)
+    known = own.where("NOT contains(tag, '/')").agg(F.collect_set("tag").alias("known"))  # one row: the registry's top level
+    h = own.groupBy("document_id").agg(F.collect_set("tag").alias("tags")).crossJoin(F.broadcast(known))
+    view = F.array(F.lit("finance/tax"), F.lit("finance"))
+    return h.select("document_id", F.array_join(F.array_sort(rel.one_tap("known", F.array().cast("array<string>"), "tags")), "|").alias("offered"), rel.view_active("tags", view).alias("active"))
+
+
+@query(f"WITH {LIB} SELECT checksum_sha256 FROM (SELECT DISTINCT lower(checksum_sha256) AS checksum_sha256 FROM manifest WHERE regexp_matches(lower(checksum_sha256), '^[0-9a-f]{{64}}$')) WHERE checksum_sha256 NOT IN (SELECT lower(checksum_sha256) FROM lib WHERE checksum_sha256 IS NOT NULL)")
+def unreferenced_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes that peers report and no document refers to: blobs to delete (JN10, SNK2, SNK4)."""
+    keys = table(spark, d, "manifest").select(F.lower("checksum_sha256").alias("checksum_sha256")).where("checksum_sha256 RLIKE '^[0-9a-f]{64}$'").distinct()
+    return unreferenced(keys, library(spark, d, "checksum_sha256"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from ..functions import text as fx
 from ..operators import relations as rel, tfidf
-from ..schemas import CON, LIB, OWN, contents, library, own_tags
+from ..schemas import CON, LIB, OWN, TAG_FB, contents, library, own_tags, tag_feedback
 from ..session import checkpoint
 
 QUERIES, SQL = {}, {}
@@ -100,10 +100,13 @@ def term_overlap(spark: SparkSession, d: str) -> DataFrame:
     return t.select("document_id", F.round(hit / len(words), 6).alias("score")).where("score > 0")
 
 
-@query()
+@query(rf"""WITH {OWN}, {TAG_FB}, st AS (SELECT term, coalesce(sum(weight) FILTER (action = 'accepted'), 0.0) AS a, coalesce(sum(weight) FILTER (action = 'rejected'), 0.0) AS r FROM tfb GROUP BY 1),
+p AS (SELECT own.document_id, own.tag, row_number() OVER (PARTITION BY own.document_id ORDER BY own.tag) AS pos FROM own),
+x AS (SELECT document_id, tag, pos, round(greatest(0.25, least(4.0, 1 + 0.35 * coalesce(a, 0.0) - 0.30 * coalesce(r, 0.0))) / pos, 6) AS score FROM p LEFT JOIN st ON tag = term)
+SELECT document_id, tag, score, CAST(row_number() OVER (PARTITION BY document_id ORDER BY score DESC, pos) AS INT) AS rank FROM x""")
 def preferred_tags(spark: SparkSession, d: str) -> DataFrame:
     """Tags per document re-ranked by what was accepted or rejected (ML13, OR2)."""
-    stats = rel.feedback_stats(own_tags(spark, d).select(F.lit("tags").alias("kind"), F.lit("tag").alias("context"), F.col("tag").alias("term"), F.when(F.length("tag") % 3 == 0, "rejected").otherwise("accepted").alias("action"), F.lit(1.0).alias("weight")).where("length(tag) < 8"))
+    stats = rel.feedback_stats(tag_feedback(spark, d))
     t = own_tags(spark, d).withColumn("pos", F.row_number().over(W.partitionBy("document_id").orderBy("tag")))
     j = t.join(stats, F.col("tag") == F.col("term"), "left").withColumn("score", F.round(rel.preference() / F.col("pos"), 6))
     return j.select("document_id", "tag", "score", F.row_number().over(W.partitionBy("document_id").orderBy(F.desc("score"), "pos")).alias("rank"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import assistant, lsh, organize, relations as rel, sync, tfidf, vectors
-from ..schemas import CON, LIB, contents, library, own_tags, stripped
+from ..operators.tags import with_ancestors
+from ..schemas import CON, LIB, OWN, UP, contents, library, own_tags, tag_feedback
 from ..session import checkpoint, table
 from ..sources.files import expected_places, reconciliation
+from .browsing import MAIN_PATHS, file_name_sql, unique_names_sql
 
 QUERIES, SQL = {}, {}
 NOW = 1_700_000_000_000
+PLACES = f"{LIB}, {UP}, {MAIN_PATHS}, named AS (SELECT id, coalesce(path, '') AS rel_dir, {file_name_sql('extra[' + chr(39) + 'original_name' + chr(39) + ']')} AS wanted FROM lib LEFT JOIN paths ON id = document_id WHERE kind <> 'folder'), {unique_names_sql('named', 'rel_dir', 'wanted')}, place AS (SELECT id, rel_dir, unique_name AS name FROM unique_names)"
 
 
 def query(sql: str | None = None):
@@ -28,13 +31,6 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(contents(spark, d), F.col("id") == F.col("document_id"), "left").select("id", "doc_id", "title", F.when(F.col("text").rlike(r"\S"), F.col("text")).otherwise(F.col("title")).alias("text"))
 
 
-def tag_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Feedback on tags, as which the peers' reports stand in: one that carries a document's tag accepts it, one without rejects it."""
-    said = table(spark, d, "manifest").where("id IS NOT NULL AND tags IS NOT NULL").select("id", F.transform("tags", stripped).alias("said"))
-    both = own_tags(spark, d).join(said, F.col("document_id") == F.col("id"))
-    return both.select(F.lit("tags").alias("kind"), F.lit("tag").alias("context"), F.col("tag").alias("term"), F.when(F.array_contains("said", F.col("tag")), "accepted").otherwise("rejected").alias("action"), F.lit(1.0).alias("weight"))
-
-
 def emergent(c: DataFrame) -> list[str]:
     """The heaviest term of each cluster of the corpus, at most vectors.default_k terms, in the clusters' order."""
     assigned, _ = vectors.kmeans(vectors.embed(c, "id", "text", 64), "id", "vector")
@@ -118,23 +114,35 @@ def peer_manifests(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("peer").agg(F.count("*").alias("documents"), F.max("updated_at_ms").alias("newest_ms"))
 
 
-@query()
+@query(f"WITH {PLACES} SELECT id, rel_dir, name FROM place")
 def library_places(spark: SparkSession, d: str) -> DataFrame:
     """Folder and file name of every document by its tags and title (LIB1, HIER15)."""
     docs = library(spark, d, "kind", "title", "mime_type", "checksum_sha256", "extra")
-    return expected_places(docs, own_tags(spark, d))
-
-
-@query()
+    return expected_places(docs, with_ancestors(own_tags(spark, d)))
+
+
+@query(f"""WITH {PLACES}, st AS (SELECT lib.id, lib.title AS stamp, m.rel_dir AS stamped_dir FROM lib LEFT JOIN (SELECT id, min(coalesce(peer, '')) AS rel_dir FROM manifest GROUP BY 1) m ON m.id = lib.id WHERE kind <> 'folder'),
+tree AS (SELECT DISTINCT coalesce(peer, '') AS rel_dir, title AS name, lower(checksum_sha256) AS hash FROM manifest WHERE title IS NOT NULL AND checksum_sha256 IS NOT NULL),
+d AS (SELECT place.id, place.rel_dir, place.name, stamp, stamped_dir FROM place JOIN st ON place.id = st.id),
+cd AS (SELECT d.*, t_dir, CASE WHEN t_dir IS NULL THEN 9 WHEN t_dir = d.rel_dir THEN 0 WHEN t_dir = stamped_dir THEN 1 ELSE 2 END AS o FROM d LEFT JOIN (SELECT DISTINCT rel_dir AS t_dir, name AS t_name FROM tree) t ON stamp = t_name WHERE stamp IS NOT NULL),
+best AS (SELECT * FROM cd QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, t_dir) = 1),
+loose AS (SELECT * FROM tree WHERE name NOT IN (SELECT stamp FROM st WHERE stamp IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY rel_dir, name) = 1)
+SELECT 'backfill' AS action, id, NULL AS rel_dir, NULL AS name, rel_dir AS to_dir, name AS to_name FROM d WHERE stamp IS NULL
+UNION ALL SELECT CASE WHEN t_dir IS NULL THEN 'delete' WHEN t_dir = rel_dir AND stamp = name THEN 'keep' ELSE 'move' END, id, t_dir, stamp, rel_dir, name FROM best
+UNION ALL SELECT CASE WHEN hash IN (SELECT id FROM lib) THEN 'link' ELSE 'ingest' END, hash, rel_dir, name, NULL, NULL FROM loose""")
 def library_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    """Actions that bring a directory and the library together; what peers report stands in for the directory (LIB1-LIB4, JN7-JN9)."""
+    """Actions that bring a directory and the library together (LIB1-LIB4, JN7-JN9).
+
+    What peers report stands in for the directory (a folder a peer, a file a report), and a document's title for the file name it was stamped with.
+    """
     docs = library(spark, d, "kind", "title", "mime_type", "checksum_sha256", "extra")
-    tags = own_tags(spark, d)
-    place = expected_places(docs, tags)
-    stamped = docs.join(place.withColumnRenamed("id", "p"), F.col("id") == F.col("p"), "left").withColumn("extra", F.when(F.col("doc_id") % 3 == 0, F.col("extra")).otherwise(rel.stamped(F.col("extra"), "file_name", F.col("name")))).drop("p", "rel_dir", "name")
-    tree = place.join(docs.select(F.col("id").alias("p"), "doc_id"), F.col("id") == F.col("p")).where("doc_id % 3 <> 0 AND doc_id % 7 <> 0").select(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("moved/"), "rel_dir")).otherwise(F.col("rel_dir")).alias("rel_dir"), "name", F.col("id").alias("hash"))
-    extra = (table(spark, d, "manifest").where("checksum_sha256 IS NOT NULL").select(F.lit("new").alias("rel_dir"), F.concat(F.lit("file-"), F.col("entry_id").cast("string")).alias("name"), F.lower("checksum_sha256").alias("hash")))
-    return reconciliation(stamped, tags, tree.unionByName(extra))
+    m = table(spark, d, "manifest")
+    folder = m.groupBy(F.col("id").alias("m_id")).agg(F.min(F.coalesce("peer", F.lit(""))).alias("m_dir"))
+    kept = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("file_name", "main_path"))
+    marks = F.map_filter(F.create_map(F.lit("file_name"), F.col("title"), F.lit("main_path"), F.col("m_dir")), lambda k, v: v.isNotNull())
+    stamped = docs.join(folder, F.col("id") == F.col("m_id"), "left").withColumn("extra", F.map_concat(kept, marks)).drop("m_id", "m_dir")
+    tree = m.where("title IS NOT NULL AND checksum_sha256 IS NOT NULL").select(F.coalesce("peer", F.lit("")).alias("rel_dir"), F.col("title").alias("name"), F.lower("checksum_sha256").alias("hash")).distinct()
+    return reconciliation(stamped, with_ancestors(own_tags(spark, d)), tree)
 
 
 @query(rf"""WITH {CON}, b AS (SELECT document_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM con), q AS (SELECT ['which', 'invoice', 'did', 'the', 'accountant', 'file'] AS q),
@@ -145,7 +153,11 @@ def assistant_sources(spark: SparkSession, d: str) -> DataFrame:
     return assistant.retrieve(contents(spark, d), "Which invoice did the accountant file?").select("n", "doc", F.round("score", 6).alias("score"), "excerpt")
 
 
-@query()
+@query(rf"""WITH {CON}, b AS (SELECT document_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM con), q AS (SELECT ['which', 'invoice', 'did', 'the', 'accountant', 'file'] AS q),
+s AS (SELECT document_id AS doc, len(list_filter(q, lambda x: list_contains(t, x))) / 6 AS score, left(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 240) AS excerpt FROM b, q),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS n FROM s WHERE score > 0 AND excerpt <> '' QUALIFY n <= 5)
+SELECT 0 AS pos, 'system' AS role, 'Answer from the sources and cite them as [n].' AS text UNION ALL SELECT 1, 'user', 'Hello' UNION ALL SELECT 2, 'assistant', 'Hello.'
+UNION ALL SELECT 3, 'user', 'Sources:' || chr(10) || coalesce(string_agg('[' || n || '] (document ' || doc || ') ' || excerpt, chr(10) ORDER BY n), '') || chr(10) || chr(10) || 'Question: Which invoice did the accountant file?' FROM r""")
 def assistant_prompt(spark: SparkSession, d: str) -> DataFrame:
     """The messages for that question (AS2, AS3)."""
     refs = assistant.retrieve(contents(spark, d), "Which invoice did the accountant file?")

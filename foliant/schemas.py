@@ -48,6 +48,13 @@ def feedback(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").cast("string").alias("id"), F.lit("tags").alias("kind"), F.lit("tag").alias("context"), F.col("event_type").alias("term"), F.when(F.col("event_id") % 3 == 0, "rejected").otherwise("accepted").alias("action"), (F.col("event_id") % 2 + 1).cast("double").alias("weight"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at_ms"), "user_id")
 
 
+def tag_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback on tags, as which the peers' reports stand in: one that carries a document's tag accepts it, one without rejects it."""
+    said = table(spark, d, "manifest").where("id IS NOT NULL AND tags IS NOT NULL").select("id", F.transform("tags", stripped).alias("said"))
+    both = own_tags(spark, d).join(said, F.col("document_id") == F.col("id"))
+    return both.select(F.lit("tags").alias("kind"), F.lit("tag").alias("context"), F.col("tag").alias("term"), F.when(F.array_contains("said", F.col("tag")), "accepted").otherwise("rejected").alias("action"), F.lit(1.0).alias("weight"))
+
+
 # The same in SQL, as common table expressions.
 LIB = "lib AS (SELECT * FROM documents WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) = 1)"
 CON = "con AS (SELECT document_id, min(text) AS text FROM content GROUP BY 1)"
@@ -55,3 +62,5 @@ OWN = r"own AS (SELECT DISTINCT * FROM (SELECT document_id, regexp_replace(tag,
 UP = OWN + r""", ups AS (SELECT document_id, string_split(tag, '/') AS s FROM own),
 up AS (SELECT DISTINCT document_id, array_to_string(s[1:i], '/') AS tag FROM (SELECT document_id, s, unnest(range(1, len(s) + 1)) AS i FROM ups))"""
 FB = "fb AS (SELECT event_type AS term, CASE WHEN event_id % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS action, CAST(event_id % 2 + 1 AS DOUBLE) AS weight, user_id FROM events)"
+TAG_FB = r"""tfb AS (SELECT own.tag AS term, CASE WHEN list_contains(said, own.tag) THEN 'accepted' ELSE 'rejected' END AS action, 1.0 AS weight
+FROM own JOIN (SELECT id, list_transform(tags, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS said FROM manifest WHERE id IS NOT NULL AND tags IS NOT NULL) m ON own.document_id = m.id)"""
