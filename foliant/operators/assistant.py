@@ -43,3 +43,32 @@ def messages(history: DataFrame, refs: DataFrame, question: str, system: str = "
     first = history.sparkSession.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), F.lit(system).alias("text"))
     last = context(refs).crossJoin(F.broadcast(history.agg((F.coalesce(F.max("turn"), F.lit(-1)) + 2).alias("pos")))).select("pos", F.lit("user").alias("role"), F.concat(F.lit("Sources:\n"), "context", F.lit(f"\n\nQuestion: {question}")).alias("text"))
     return first.unionAll(past).unionAll(last)
+
+
+def answer_events(answers: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, seq, kind, text): an answer as it streams, a row a word with the white space behind it, and a last row done with the whole.
+
+    answers: id, text, error. Where the provider failed, the excerpts themselves are the answer, in one piece.
+    """
+    whole = answers.crossJoin(F.broadcast(fallback(refs))).withColumn("whole", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.col("answer")))
+    pieces = F.when(F.col("error").isNull(), F.regexp_extract_all("whole", F.lit(r"(\s*\S+\s*|\s+)"), 1)).otherwise(F.array("whole"))
+    tokens = F.transform(F.filter(pieces, lambda x: x != ""), lambda x: F.struct(F.lit("token").alias("kind"), x.alias("text")))
+    done = F.array(F.struct(F.lit("done").alias("kind"), F.col("whole").alias("text")))
+    return whole.select("id", F.posexplode(F.concat(tokens, done)).alias("seq", "e")).select("id", "seq", "e.kind", "e.text")
+
+
+def respond(prompts: DataFrame, templates: list[str]) -> DataFrame:
+    """(id, text, prompt_tokens, completion_tokens): the built-in answer to prompts (id, text), a template picked by the prompt's dominant topic."""
+    from ..functions.hashing import token_vector
+    from ..functions.text import words_used
+
+    texts = list(templates) or ["I am the built-in model."]
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(topic=[int(token_vector(t or "").argmax()) for t in pdf["text"]])
+
+    kind = prompts.schema["id"].dataType.simpleString()
+    picked = prompts.select("id", "text").mapInPandas(run, f"id {kind}, text string, topic int")
+    answer = F.element_at(F.array(*map(F.lit, texts)), F.col("topic") % len(texts) + 1)
+    return picked.select("id", answer.alias("answer"), words_used("text").alias("prompt_tokens")).select("id", F.col("answer").alias("text"), "prompt_tokens", words_used("answer").alias("completion_tokens"))

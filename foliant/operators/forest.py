@@ -165,3 +165,24 @@ def counted(labels: DataFrame) -> DataFrame:
     c = F.col("c") + F.col("s")
     both = upto.groupBy("node").agg(F.sum(F.when(F.col("one") == 0, c)).alias("last"), F.sum(F.when(F.col("one") == 1, c)).alias("first"))
     return both.select("node", F.coalesce(F.col("last") - F.col("first"), F.lit(0)).alias("n"))
+
+
+class WouldBeRing(ValueError):
+    """A node can't be moved below itself."""
+
+
+def moved(rows: DataFrame, which: str, below: str | None, node: str = "node", parent: str = "parent") -> DataFrame:
+    """rows with one node under another parent, or a root if that is null; WouldBeRing if the parent is the node or below it."""
+    if below is not None:
+        place = hierarchy(rows, node, parent, paths=True).where(F.col("node") == below).select("path").first()
+        if below == which or (place is not None and which in (place["path"] or [])):
+            raise WouldBeRing(f"{which} below {below}")
+    return rows.withColumn(parent, F.when(F.col(node) == which, F.lit(below)).otherwise(F.col(parent)))
+
+
+def by_tag(tags: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """(document_id) of the documents with the tag or one below it in a registry (name, parent), whatever the tags' names."""
+    h = checkpoint(hierarchy(links, "name", "parent", intervals=True))
+    one = h.where(F.col("node") == tag).select("node")
+    under = descendants(h, one).select(F.col("node").alias("tag")).unionAll(one.select(F.col("node").alias("tag")))
+    return tags.join(under, "tag", "left_semi").select("document_id").distinct()

@@ -102,10 +102,26 @@ def query(documents: DataFrame, kind: str | None = None, parent: str | None = No
     return out
 
 
-def browse(documents: DataFrame, tags: list[str] = (), text: str = "", category: str | None = None) -> DataFrame:
-    """Documents with every selected tag or one under it, a title or id that contains the text, and a file category."""
+def tagged(documents: DataFrame, tags: DataFrame, wanted: list[str]) -> DataFrame:
+    """Documents with every wanted tag or one under it; tags: document_id, tag, whether or not with ancestors.
+
+    One semi-join per tag; only the tags in question reach it.
+    """
+    for w in dict.fromkeys(wanted):
+        held = tags.where(_under(w)(F.col("tag"))).select(F.col("document_id").alias("_d"))
+        documents = documents.join(held, F.col("id") == F.col("_d"), "left_semi")
+    return documents
+
+
+def browse(documents: DataFrame, tags: list[str] = (), text: str = "", category: str | None = None, long: DataFrame | None = None) -> DataFrame:
+    """Documents with every selected tag or one under it, a title or id that contains the text, and a file category.
+
+    The tags are looked for in column tags, or in long (document_id, tag) where that is given.
+    """
     from ..functions.text import mime_category
 
+    if long is not None:
+        return tagged(browse(documents, [], text, category), long, tags)
     where = [F.exists("tags", _under(f)) for f in tags]
     q = text.strip().lower()
     if q:

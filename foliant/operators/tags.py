@@ -74,7 +74,8 @@ def contained(tags: DataFrame, path: str) -> DataFrame:
 
 def contained_counts(tags: DataFrame) -> DataFrame:
     """(path, documents) for every path and every ancestor of one."""
-    return dispersion(with_ancestors(tags.where(~is_property("tag")))).withColumnRenamed("tag", "path")
+    every = with_ancestors(tags.where(~is_property("tag")))  # each document and path once
+    return every.groupBy(F.col("tag").alias("path")).agg(F.count("*").alias("documents"))
 
 
 def sub_tags(tags: DataFrame, path: str = "") -> DataFrame:
@@ -170,3 +171,26 @@ def rebased(tags: DataFrame, selected: list[str]) -> DataFrame:
     """(document_id, tag, rest): what is left of each tag below the longest selected path, null where none holds it."""
     rest = reduce(lambda a, p: F.when(F.col("tag").startswith(p + "/"), F.substr(F.col("tag"), F.lit(len(p) + 2))).when(F.col("tag") == p, F.lit("")).otherwise(a), sorted(selected, key=len), F.lit(None).cast("string"))
     return tags.withColumn("rest", rest)
+
+
+def collapsed(tags: DataFrame) -> DataFrame:
+    """(path, shown): a path whose only child holds as many documents is shown as that child, through to the last such one."""
+    from .graph import double_pointers
+
+    counts = contained_counts(tags)
+    child = counts.select(parent("path").alias("above"), F.col("path").alias("child"), F.col("documents").alias("held"))
+    only = child.groupBy("above").agg(F.count("*").alias("n"), F.min("child").alias("child"), F.min("held").alias("held")).where("n = 1")
+    j = counts.join(only, (F.col("path") == F.col("above")) & (F.col("documents") == F.col("held")), "left")
+    state = j.select(F.col("path").alias("node"), F.col("child").alias("ptr"), F.coalesce("child", "path").alias("shown"))
+    return double_pointers(state, {"shown": lambda own, up: F.when(F.length(up) > F.length(own), up).otherwise(own)}).select(F.col("node").alias("path"), "shown")
+
+
+def visible(tags: DataFrame, selected: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((segment, documents) of the tree below the selected paths, (document_id) of those left with nothing below them).
+
+    Only documents that have every selected path count; of each tag what follows the longest selected path is shown.
+    """
+    held = tags.where(~is_property("tag")).join(with_all(tags, selected, below=True), "document_id", "left_semi")
+    rest = rebased(held, selected).withColumn("rest", F.coalesce("rest", "tag") if not selected else F.col("rest")).where("rest <> ''")
+    tree = rest.groupBy(top_level("rest").alias("segment")).agg(F.countDistinct("document_id").alias("documents"))
+    return tree, held.select("document_id").distinct().join(rest.select("document_id").distinct(), "document_id", "left_anti")

@@ -82,16 +82,14 @@ def tag_arrays(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {UP} SELECT document_id AS id FROM up WHERE tag = 'finance' INTERSECT SELECT document_id FROM up WHERE tag = 'urgent' INTERSECT SELECT id FROM documents")
 def all_of_tags(spark: SparkSession, d: str) -> DataFrame:
     """Documents that have all of several tags (FLT4, JN1)."""
-    docs = rel.with_tag_arrays(library(spark, d, "kind", "parent_id", "updated_at_ms"), tg.with_ancestors(own_tags(spark, d)))
-    return rel.query(docs, tags=["finance", "urgent"]).select("id")
+    return rel.tagged(library(spark, d), own_tags(spark, d), ["finance", "urgent"]).select("id")
 
 
 @query(f"""WITH {LIB}, {OWN} SELECT id, title FROM lib WHERE (contains(lower(title), '20') OR contains(lower(id), '20')) AND mime_type = 'application/pdf'
 AND id IN (SELECT document_id FROM own WHERE tag = 'finance' OR starts_with(tag, 'finance/')) AND id IN (SELECT document_id FROM own WHERE tag = 'inbox' OR starts_with(tag, 'inbox/'))""")
 def browse_filter(spark: SparkSession, d: str) -> DataFrame:
     """Browse filters by tag trees, text and file category (FLT6, FLT7, FLT8)."""
-    docs = rel.with_tag_arrays(library(spark, d, "title", "mime_type"), own_tags(spark, d))
-    return rel.browse(docs, ["finance", "inbox"], " 20 ", "pdf").select("id", "title")
+    return rel.browse(library(spark, d, "title", "mime_type"), ["finance", "inbox"], " 20 ", "pdf", own_tags(spark, d)).select("id", "title")
 
 
 @query(f"""WITH {LIB} SELECT id, CASE WHEN mime_type IS NULL THEN NULL WHEN mime_type = 'application/pdf' THEN 'pdf' WHEN starts_with(mime_type, 'text/') THEN 'text' WHEN starts_with(mime_type, 'image/') THEN 'images'
@@ -286,3 +284,13 @@ def unreferenced_blobs(spark: SparkSession, d: str) -> DataFrame:
     """Hashes that peers report and no document refers to: blobs to delete (JN10, SNK2, SNK4)."""
     keys = table(spark, d, "manifest").select(F.lower("checksum_sha256").alias("checksum_sha256")).where("checksum_sha256 RLIKE '^[0-9a-f]{64}$'").distinct()
     return unreferenced(keys, library(spark, d, "checksum_sha256"))
+
+
+@query(f"""WITH RECURSIVE {UP}, c AS (SELECT tag, count(DISTINCT document_id) AS n FROM up WHERE NOT contains(tag, ':') GROUP BY 1),
+ch AS (SELECT CASE WHEN contains(tag, '/') THEN regexp_extract(tag, '^(.*)/[^/]*$', 1) ELSE '' END AS parent, tag, n FROM c),
+only_ AS (SELECT ch.parent, any_value(ch.tag) AS tag FROM ch JOIN c ON c.tag = ch.parent GROUP BY ch.parent, c.n HAVING count(*) = 1 AND any_value(ch.n) = c.n),
+walk AS (SELECT tag AS path, tag AS shown FROM c UNION ALL SELECT path, only_.tag FROM walk JOIN only_ ON shown = only_.parent)
+SELECT path, max_by(shown, length(shown)) AS shown FROM walk GROUP BY 1""")
+def collapsed_paths(spark: SparkSession, d: str) -> DataFrame:
+    """For every path the deepest one that holds just its documents, through only children (HIER14)."""
+    return tg.collapsed(own_tags(spark, d))

@@ -145,3 +145,9 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     f = F.lower(F.regexp_replace("text", r"\s", ""))
     n = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("f") - 4), lambda i: F.substring("f", i, 5))))
     return contents(spark, d).select("document_id", f.alias("f")).select("document_id", F.when(F.length("f") < 5, 1).otherwise(n).cast("long").alias("shingles"))
+
+
+@query()
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every two classes of equal texts that share a band, without a threshold, with their estimated similarity (SE16, JN14, TOP11); text_classes has their ids."""
+    return lsh.pairs(lsh.signatures(lsh.classes(contents(spark, d), "document_id", "text")[1]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 from ..functions.text import extension, file_name, format_class, mime_for, stem
 from ..operators.relations import sibling_names
 from ..operators.tags import main_paths
+from ..session import checkpoint
 from .extract import extract, html_text
 
 
@@ -106,3 +109,74 @@ def reconciliation(documents: DataFrame, tags: DataFrame, tree: DataFrame) -> Da
 def safe_dir(c: str):
     """Whether a relative folder stays within the root."""
     return ~F.concat(F.lit("/"), F.col(c), F.lit("/")).rlike(r"/\.\./") & ~F.col(c).startswith("/")
+
+
+def check_dir(rel_dir: str) -> None:
+    """An error for a folder that would lead out of the root."""
+    if rel_dir.startswith("/") or ".." in rel_dir.split("/"):
+        raise ValueError(f"not below the root: {rel_dir}")
+
+
+def mirrored(files: DataFrame, root: str) -> DataFrame:
+    """(rel_dir, name, error): writes files (rel_dir, name, content) below a root that all executors share.
+
+    Each file is written beside its place and renamed, so a task that runs twice leaves the same files. One that
+    can't be written gives an error, not an end of the batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            errors = []
+            for rel_dir, name, content in zip(pdf["rel_dir"], pdf["name"], pdf["content"]):
+                try:
+                    check_dir(f"{rel_dir or ''}/{name}".lstrip("/"))
+                    folder = os.path.join(root, rel_dir or "")
+                    os.makedirs(folder, exist_ok=True)
+                    part = os.path.join(folder, f".{uuid.uuid4().hex}.tmp")
+                    with open(part, "wb") as f:
+                        f.write(bytes(content))
+                    os.replace(part, os.path.join(folder, name))
+                    errors.append(None)
+                except Exception as e:
+                    errors.append(f"{type(e).__name__}: {e}"[:300])
+            yield pd.DataFrame({"rel_dir": pdf["rel_dir"], "name": pdf["name"], "error": pd.Series(errors, dtype=object)})
+
+    return checkpoint(files.select("rel_dir", "name", "content").mapInPandas(run, "rel_dir string, name string, error string"))
+
+
+def removed(files: DataFrame, root: str) -> DataFrame:
+    """(rel_dir, name, existed): removes files (rel_dir, name) below a root, and folders that are empty then."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            existed = []
+            for rel_dir, name in zip(pdf["rel_dir"], pdf["name"]):
+                check_dir(f"{rel_dir or ''}/{name}".lstrip("/"))
+                folder = os.path.join(root, rel_dir or "")
+                try:
+                    os.remove(os.path.join(folder, name))
+                    existed.append(True)
+                except FileNotFoundError:
+                    existed.append(False)
+                while os.path.realpath(folder) != os.path.realpath(root):
+                    try:
+                        os.rmdir(folder)
+                    except OSError:
+                        break
+                    folder = os.path.dirname(folder)
+            yield pd.DataFrame({"rel_dir": pdf["rel_dir"], "name": pdf["name"], "existed": existed})
+
+    return checkpoint(files.select("rel_dir", "name").mapInPandas(run, "rel_dir string, name string, existed boolean"))
+
+
+def mirrored_paths(documents: DataFrame, tree: DataFrame) -> DataFrame:
+    """(id, path): where each document's mirrored file is, null if it has none or it is gone. tree: rel_dir, name."""
+    at = documents.select("id", F.try_element_at("extra", F.lit("file_name")).alias("stamp"), F.coalesce(F.try_element_at("extra", F.lit("main_path")), F.lit("")).alias("dir"))
+    t = tree.select(F.col("rel_dir").alias("t_dir"), F.col("name").alias("t_name")).distinct()
+    j = at.join(t, (F.col("stamp") == F.col("t_name")) & (F.col("dir") == F.col("t_dir")), "left")
+    return j.select("id", F.when(F.col("t_name").isNotNull(), F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), "stamp")).alias("path"))
+
+
+def outcome_counts(plan: DataFrame) -> DataFrame:
+    """(action, n): how many of each action a reconciliation holds; a second run after it has only keep."""
+    return plan.groupBy("action").agg(F.count("*").alias("n"))

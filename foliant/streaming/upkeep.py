@@ -110,3 +110,8 @@ def keep_documents(spark: SparkSession, root: str, documents: str, checkpoint: s
 def peer_states(events: DataFrame) -> DataFrame:
     """(peer, state, address, at_ms): each peer's last event; works on batches and, in update or complete mode, on streams."""
     return events.groupBy("peer").agg(F.max_by(F.struct("state", "address", "at_ms"), F.struct("at_ms", "state")).alias("x")).select("peer", "x.*")
+
+
+def keep_events(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A stream of events (synchronisation, peers, chat) into a log of parquet files; every event is in it once."""
+    return events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
