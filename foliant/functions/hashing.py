@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -44,11 +45,49 @@ def window_hashes(text: str, k: int, start: int, fold) -> np.ndarray:
     return h
 
 
-def near_signature(text: str, k: int = 5) -> np.ndarray:
+CHUNK = 1 << 15
+
+
+def signed(sets: list[np.ndarray], rows: int, of_row: Callable[[np.ndarray], Callable[[int], np.ndarray]]) -> np.ndarray:
+    """A signature a set: in each row the least of its members' hashes. Sets are hashed together, so many at a time as fit the cache."""
+    out, at = np.empty((len(sets), rows), U), 0
+    while at < len(sets):
+        end, n = at, 0
+        while end < len(sets) and (n == 0 or n + len(sets[end]) <= CHUNK):
+            n += len(sets[end])
+            end += 1
+        part = sets[at:end]
+        row, starts = of_row(np.concatenate(part)), np.concatenate([[0], np.cumsum([len(x) for x in part])[:-1]])
+        for r in range(rows):
+            out[at:end, r] = np.minimum.reduceat(row(r), starts)
+        at = end
+    return out
+
+
+def near_signatures(texts: list[str], k: int = 5) -> np.ndarray:
     """128 rows over runs of k characters, white space dropped, lowered: the near-duplicate index's family."""
-    flat = re.sub(r"\s+", "", text).lower()
-    x = np.maximum(np.unique(window_hashes(flat, k, 0, fold_mix)), U(1))
-    return np.array([splitmix64(x ^ U(r * GOLDEN & (2**64 - 1))).min() for r in range(ROWS)], U)
+    sets = [np.maximum(np.unique(window_hashes("".join(t.split()).lower(), k, 0, fold_mix)), U(1)) for t in texts]
+
+    def of_row(x: np.ndarray) -> Callable[[int], np.ndarray]:
+        z, spare = np.empty_like(x), np.empty_like(x)
+
+        def row(r: int) -> np.ndarray:
+            np.bitwise_xor(x, U(r * GOLDEN & (2**64 - 1)), out=z)
+            np.add(z, U(GOLDEN), out=z)
+            for shift, factor in ((30, MIX_A), (27, MIX_B)):
+                np.right_shift(z, U(shift), out=spare)
+                np.bitwise_xor(z, spare, out=z)
+                np.multiply(z, U(factor), out=z)
+            np.right_shift(z, U(31), out=spare)
+            return np.bitwise_xor(z, spare, out=z)
+
+        return row
+
+    return signed(sets, ROWS, of_row)
+
+
+def near_signature(text: str, k: int = 5) -> np.ndarray:
+    return near_signatures([text], k)[0]
 
 
 def near_bands(sig: np.ndarray) -> np.ndarray:
@@ -60,17 +99,28 @@ def near_bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def small_signature(text: str, k: int = 3) -> np.ndarray:
+def small_signatures(texts: list[str], k: int = 3) -> np.ndarray:
     """64 rows over runs of k lowered characters, white space kept: the organiser's family."""
-    x = np.unique(window_hashes(text.lower(), k, FNV_BASIS, fold_fnv))
-    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(len(x), 8).astype(U)
-    out = np.empty(SMALL_ROWS, U)
-    for r in range(SMALL_ROWS):
-        h = np.full(len(x), FNV_BASIS ^ (r + 1), U)
-        for i in range(8):
-            h = fold_fnv(h, raw[:, i])
-        out[r] = h.min()
-    return out
+    sets = [np.unique(window_hashes(t.lower(), k, FNV_BASIS, fold_fnv)) for t in texts]
+
+    def of_row(x: np.ndarray) -> Callable[[int], np.ndarray]:
+        raw = np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(len(x), 8).T).astype(U)
+        h = np.empty_like(x)
+
+        def row(r: int) -> np.ndarray:
+            h.fill(FNV_BASIS ^ (r + 1))
+            for byte in raw:
+                np.bitwise_xor(h, byte, out=h)
+                np.multiply(h, U(FNV_PRIME), out=h)
+            return h
+
+        return row
+
+    return signed(sets, SMALL_ROWS, of_row)
+
+
+def small_signature(text: str, k: int = 3) -> np.ndarray:
+    return small_signatures([text], k)[0]
 
 
 def small_bands(sig: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from ..session import checkpoint, spread
 from .filters import one_row_each
 
 HOT_BAND = 500
-FAMILIES = {"near": (h.near_signature, h.near_bands, 5), "small": (h.small_signature, h.small_bands, 3)}
+FAMILIES = {"near": (h.near_signatures, h.near_bands, 5), "small": (h.small_signatures, h.small_bands, 3)}
 
 
 def classes(docs: DataFrame, ident: str, text: str, blank: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -36,9 +36,10 @@ def signatures(texts: DataFrame, family: str = "near", k: int | None = None) ->
     size = k or size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                sig = np.stack([sign(t, size) for t in pdf["text"]])
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                pdf = whole.iloc[lo : lo + 1000]
+                sig = sign(list(pdf["text"]), size)
                 yield pd.DataFrame({"class": pdf["class"], "sig": list(sig.view(np.int64)), "keys": list(band(sig).view(np.int64))})
 
     return checkpoint(spread(texts).mapInPandas(run, "class string, sig array<long>, keys array<long>"))
