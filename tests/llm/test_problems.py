@@ -426,6 +426,47 @@ def test_pages_by_source(spark):
     assert one.pages.by_layout(narrow[0][1].split("\n")) and not one.pages.by_layout([wide[0][1]])
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_planted_pages_are_repaired(spark):
+    """Pages made of clean texts of the test table, with paragraphs as they were before."""
+    content = spark.read.parquet("/root/testdata/sf0.01/content.parquet")
+    clean = [(r.document_id, "\n".join(scans.prose(r.text))) for r in content.where("text RLIKE '(?m)^[^\\n]{120,}$'").orderBy("document_id").limit(60).collect()]
+    rnd, pages = random.Random(15), []
+    for i, t in clean:
+        if t:
+            lines, _ = scans.made_page(t.split("\n"), ["Report Ostara 2019", "Minutes Belko Tarn 2021"], rnd)
+            pages.append((f"made-{i}", "\n".join(lines), "ocr"))
+    every = content.select("document_id", "text", "source").unionAll(frame(spark, pages, "document_id string, text string, source string"))
+    got = {}
+    for r in scans.repaired(every, "document_id", "text", "source").where("id LIKE 'made-%'").orderBy("id", "para_no").collect():
+        got.setdefault(r.id, []).append(r.text)
+    squeezed = lambda t: " ".join(t.split())
+    words_ = [(set(squeezed(t).split()), set(" ".join(got[f"made-{i}"]).split())) for i, t in clean if f"made-{i}" in got]
+    assert len(words_) >= 0.95 * len(pages)
+    assert sum(len(a & b) for a, b in words_) > 0.97 * sum(len(a) for a, _ in words_)
+    whole = sum(squeezed(p) in got.get(f"made-{i}", []) for i, t in clean for p in t.split("\n"))
+    assert whole > 0.6 * sum(len(t.split("\n")) for _, t in clean)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_planted_garbling_is_restored(spark):
+    """Clean texts of the test table, garbled whole in known ways: found, and restored to what they were."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    bad = {r.id for r in encodings.garbled(docs, "doc_id", "text").collect()}
+    plain = [r for r in docs.orderBy("doc_id").collect() if r.doc_id not in bad and len(re.findall(r"[^\x00-\x7f]", r.text)) > 20][:90]
+    planted, want = [], {}
+    for n, r in enumerate(plain):
+        try:
+            right, wrong = [("utf-8", "cp1252"), ("utf-8", "cp850"), ("utf-8", "mac-roman")][n % 3]
+            planted.append((10**9 + r.doc_id, r.text.encode(right).decode(wrong)))
+            want[10**9 + r.doc_id] = r.text
+        except UnicodeError:
+            pass
+    got = {r.id: r.restored for r in encodings.garbled(docs.unionAll(frame(spark, planted, "doc_id long, text string")), "doc_id", "text").collect()}
+    assert want.keys() <= got.keys() and len(want) > 30
+    assert sum(got[i] == t for i, t in want.items()) > 0.9 * len(want)
+
+
 # mixture
 
 
@@ -447,6 +488,31 @@ def test_mixture(spark):
     assert mixture.mixture(df.limit(0), goal)[0].count() == 0 and mixture.mixture(df, goal.limit(0))[0].count() == 0
 
 
+def test_mixture_thresholds_recomputed(spark):
+    """The chosen documents against sorting each source by the hash and adding up."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(14)
+    rows = [(f"{s}{i}", s, rnd.randint(1, 50)) for s, n in (("a", 500), ("b", 80), ("c", 20)) for i in range(n)]
+    df = frame(spark, rows, "id string, source string, tokens long")
+    goal = frame(spark, [("a", 0.6, 1), ("b", 0.25, 2), ("c", 0.15, 3)], "source string, target_share double, max_repeats int")
+    chosen, shares = mixture.mixture(df, goal, 9000)
+    got, wanted = {r.id: r.repeats for r in chosen.collect()}, {r.source: r.wanted for r in shares.collect()}
+    hashed = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 16)).collect()
+    want = {}
+    for s, most in (("a", 1), ("b", 2), ("c", 3)):
+        mine = sorted((r.h, r.id, r.tokens) for r in hashed if r.source == s)
+        have = sum(t for _, _, t in mine)
+        budget = min(int(wanted[s] + 1e-6), have * most)
+        full, left = budget // have, budget % have
+        for _, i, t in mine:
+            extra = left >= t and left >= 0
+            left = left - t if extra else -1
+            if full + extra:
+                want[i] = full + extra
+    assert got == want
+
+
 def test_token_counts(spark):
     import tiktoken
 
