@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .blobs import BlobStore, read_bytes, unreferenced
 from .functions.text import rank_score, relevance
-from .operators import fts, organize, relations as rel, vectors
+from .operators import fts, lsh, organize, relations as rel, vectors
 from .operators.tags import with_ancestors
 from .schemas import RELATIONS
 from .session import checkpoint
+from .sources.files import ingested
 from .streaming.upkeep import VersionedTable, upsert_documents
 
 
@@ -129,6 +130,54 @@ class Library:
             rows = [(f"{ident}-{kind}-{t}-user-{now_ms}", kind, context, t, "accepted", 2.0, now_ms) for t in terms]
             self.record_feedback(self.spark.createDataFrame(rows, RELATIONS["feedback"]))
 
+    def ingest(self, files: DataFrame, organise: bool = True, now_ms: int = 0) -> DataFrame:
+        """Files (name, modified_ms, content) as documents: put, indexed, and organised; gives (id, name, error) of those that are new.
+
+        A file that can't be read is reported and left out; the others go on.
+        """
+        done = checkpoint(ingested(files, self.read("documents"), now_ms))
+        fit = done.where("error IS NULL")
+        if not fit.isEmpty():
+            self.put(fit.select(*self.read("documents").columns))
+            self.put_content(fit.select(F.col("id").alias("document_id"), "text", "source"))
+            if organise:
+                self.organise(fit.select(F.col("id").alias("doc")), "ingest", now_ms)
+        return done.select("id", F.element_at("extra", "original_name").alias("name"), "error")
+
+    def corpus(self) -> DataFrame:
+        """id, title and text of every document; its title where it has no text."""
+        c = self.read("content").select(F.col("document_id").alias("c"), "text")
+        j = self.read("documents").where(rel.node_kind("kind") == "document").join(c, F.col("id") == F.col("c"), "left")
+        return j.select("id", "title", F.when(F.col("text").rlike(r"\S"), F.col("text")).otherwise(F.col("title")).alias("text"))
+
+    def organise(self, asked: DataFrame, source: str = "bulk", now_ms: int = 0, emergent: list[str] = ()) -> DataFrame:
+        """Plans the asked documents (column doc) on one snapshot, applies what differs and stores the suggestions; one row total, updated, skipped."""
+        corpus, tags, feedback = checkpoint(self.corpus()), self.read("document_tags"), self.read("feedback")
+        stats = {k: rel.feedback_stats(feedback, k) if not feedback.where(F.col("kind") == k).isEmpty() else None for k in ("tags", "title")}
+        twins = lsh.duplicates(corpus, "id", "text").join(asked, F.col("id") == F.col("doc"), "left_semi")
+        plan = checkpoint(organize.plans(corpus, tags, asked, emergent, stats["tags"], twins, stats["title"]))
+        docs = rel.with_tag_arrays(self.read("documents"), tags)
+        before = checkpoint(docs.join(asked, F.col("id") == F.col("doc"), "left_semi").select(F.col("id").alias("document_id"), "title", "tags"))
+        after = checkpoint(organize.applied_at_ingest(plan, before))
+        new = organize.changed(before, after).select(F.col("document_id").alias("n_id"), F.col("title").alias("n_title"))
+        titled = self.read("documents").join(new, F.col("id") == F.col("n_id"), "left").withColumn("title", F.coalesce("n_title", "title"))
+        self._write(documents=titled.drop("n_id", "n_title"))
+        planned = after.select("document_id", F.explode_outer("tags").alias("tag"))
+        self._write_tags(rel.set_tags(tags, planned, self.read("documents")))
+        self.store_suggestions(organize.suggestions_of(plan, before, source, now_ms))
+        return organize.bulk_outcome(before, after)
+
+    def mark_suggestion(self, ident: str, status: str) -> None:
+        """pending, applied or dismissed."""
+        if status not in ("pending", "applied", "dismissed"):
+            raise ValueError(status)
+        s = self.read("suggestions")
+        self._write(suggestions=s.withColumn("status", F.when(F.col("id") == ident, status).otherwise(F.col("status"))))
+
+    def names(self, relation: str) -> DataFrame:
+        """Tags or views by name."""
+        return self.read(relation).orderBy("name")
+
     def query(self, **clauses) -> DataFrame:
         return rel.query(rel.with_tag_arrays(self.read("documents"), self.read("document_tags")), **clauses)
 

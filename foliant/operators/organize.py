@@ -217,3 +217,10 @@ def bulk_outcome(before: DataFrame, after: DataFrame, same_sets: bool = True) ->
     b = after.select("document_id", F.col("title").alias("t1"), form("tags").alias("g1"))
     changed = ~(F.col("t0").eqNullSafe(F.col("t1")) & F.col("g0").eqNullSafe(F.col("g1")))
     return a.join(b, "document_id").agg(F.count("*").alias("total"), F.coalesce(F.sum(changed.cast("long")), F.lit(0)).alias("updated")).withColumn("skipped", F.col("total") - F.col("updated"))
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of after (document_id, title, tags) that differ from before in title or set of tags."""
+    a = before.select(F.col("document_id").alias("b_id"), F.col("title").alias("b_title"), F.array_sort("tags").alias("b_tags"))
+    j = after.join(a, F.col("document_id") == F.col("b_id"))
+    return j.where(~(F.col("title").eqNullSafe(F.col("b_title")) & F.col("b_tags").eqNullSafe(F.array_sort("tags")))).select(after.columns)

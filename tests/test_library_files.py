@@ -1,5 +1,6 @@
 import pytest
 
+from foliant.library import Library
 from foliant.operators import assistant, forest, tags as tg
 from foliant.sources import files
 from foliant.streaming import upkeep
@@ -68,3 +69,26 @@ def test_event_log(spark, tmp_path):
         spark.createDataFrame([(f"p{n}", "connected")], "peer string, kind string").write.mode("append").parquet(src)
         upkeep.keep_events(spark.readStream.schema("peer string, kind string").parquet(src), log, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.peer for r in spark.read.parquet(log).collect()) == ["p1", "p2"]
+
+
+def test_ingest_organises_and_indexes(spark, tmp_path):
+    lib, root = Library(spark, str(tmp_path / "lib")), tmp_path / "files"
+    root.mkdir()
+    for name, text in {"old.txt": "invoice payment tax office bill", "food.txt": "recipe sugar flour butter oven"}.items():
+        (root / name).write_text(text)
+    first = lib.ingest(files.walk(spark, str(root), content=True), organise=False)
+    old = {r.name: r.id for r in first.collect()}
+    lib.set_tags(old["old.txt"], ["finance/tax"])
+    (root / "scan01.txt").write_text("invoice payment tax office reminder")
+    (root / "bad.docx").write_bytes(b"junk")
+    done = {r.name: r for r in lib.ingest(files.walk(spark, str(root), content=True), now_ms=7).collect()}
+    assert set(done) == {"scan01.txt", "bad.docx"} and done["bad.docx"].error and not done["scan01.txt"].error
+    new = lib.get(done["scan01.txt"].id).first()
+    assert {"finance", "finance/tax"} <= set(new.tags) and new.title != "scan01" and lib.read("documents").count() == 3
+    assert {r.status for r in lib.read("suggestions").where("rank = 0").collect()} == {"applied"}
+    assert [r.doc for r in lib.search("reminder").collect()] == [new.id]
+    assert lib.organise(spark.createDataFrame([(new.id,)], "doc string")).first().skipped <= 1
+    one = lib.read("suggestions").where("status = 'pending'").first()
+    lib.mark_suggestion(one.id, "dismissed")
+    assert lib.read("suggestions").where("status = 'dismissed'").count() >= 1 and lib.ingest(files.walk(spark, str(root), content=True)).where("error IS NULL").count() == 0
+    assert [r["name"] for r in lib.names("tags").collect()] == sorted(r["name"] for r in lib.read("tags").collect())
