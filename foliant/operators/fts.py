@@ -227,12 +227,16 @@ def search_exact(docs: DataFrame, ident: str, text: str, query: str, limit: int
 
 
 def overlap(docs: DataFrame, ident: str, text: str, query: str) -> DataFrame:
-    """(doc, score, excerpt): share of the query's words, repeated ones counted again, that a text has."""
+    """(doc, score, excerpt): share of the query's words, repeated ones counted again, that a text has.
+
+    Hits are added word by word: with a lambda over the words Spark fails to infer constraints of a join with the
+    result (key not found), where the texts are among the first columns read in a session.
+    """
     words = re.findall(r"[^\W_]+", query.lower())
     base = docs.select(F.col(ident).alias("doc"), F.col(text).alias("x"), tokens(text).alias("t"))
     if not words:
         return base.select("doc", F.lit(0.0).alias("score"), excerpt("x").alias("excerpt")).limit(0)
-    hit = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.array_contains("t", w)))
+    hit = sum(F.coalesce(F.array_contains("t", w), F.lit(False)).cast("int") for w in words)
     return base.select("doc", (hit / len(words)).alias("score"), excerpt("x").alias("excerpt")).where("score > 0")
 
 

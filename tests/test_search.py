@@ -1,5 +1,8 @@
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -47,6 +50,12 @@ def test_overlap(spark):
     assert got == pytest.approx({"a": 1 / 3, "b": 2 / 3, "c": 2 / 3})
 
 
+def test_prompt_first_in_a_session():
+    run = "import __spark_entry__ as e\nfrom foliant.session import local_session\nprint(max(r.pos for r in e.queries()['assistant_prompt'](local_session(2, '2g', 2), '/root/testdata/sf0.001').collect()))"
+    out = subprocess.run([sys.executable, "-c", run], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0 and out.stdout.split()[-1] == "3", out.stderr[-2000:]
+
+
 def test_snippets_and_spans(spark):
     assert "<b>printer</b>" in fts.snippet(ROWS[1][1], ["printer"])
     assert fts.spans("Ärger mit Office und office", ["office", "ärger"]) == [(0, 6), (11, 17)]
