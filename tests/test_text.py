@@ -91,3 +91,20 @@ def test_small_vectors():
 
     assert abs((h.token_vector("tax Tax invoice") ** 2).sum() - 1) < 1e-9 and len(h.token_vector("x")) == 32 and not h.token_vector(" ").any()
     assert (h.trigram_vector("abcabc") == h.trigram_vector("abcab")).all() and h.trigram_vector("ab").any() and not h.trigram_vector("").any()
+
+
+def test_neighbours_from_texts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"d{i:02}", " ".join(rng.choices(["oak", "elm", "fir", "ash", "Erle", "7b"], k=rng.randint(0, 9)))) for i in range(60)] + [("n", None), (None, "oak elm")]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    asked, tagged = ([f"d{i:02}" for i in range(0, 60, 7)] + ["gone"]), [f"d{i:02}" for i in range(0, 60, 2)] * 2
+    asked, tagged = (spark.createDataFrame([(x,) for x in ids], "doc string").coalesce(1) for ids in (asked, tagged))
+    idf = tfidf.document_frequencies(docs, "text", len(rows)).coalesce(1).cache()
+    weights = tfidf.vectors(tfidf.term_frequencies(docs, "id", "text"), idf)
+    want = sorted((r.doc, r.rank, r.other, r.score) for r in tfidf.neighbours(weights, asked, tagged, 4).collect())
+    monkeypatch.setattr(tfidf, "QUERY_BLOCK", 5)  # two blocks of questions, few rows at a time
+    monkeypatch.setattr(tfidf, "CELLS", 60)
+    got = sorted((r.doc, r.rank, r.other, r.score) for r in tfidf.near_texts(docs, "id", "text", idf, asked, tagged, 4).collect())
+    assert got == want and len(got) > 20
