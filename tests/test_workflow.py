@@ -309,3 +309,13 @@ def test_copies_under_other_ids_are_near_duplicates(spark, folder):
     assert {x for x in got if x[1] in "ab"} == {("a", "b", True, 1, "b"), ("b", "a", True, 1, "a")}
     assert {x[:2] for x in got} == {("a", "b"), ("b", "a"), ("a", "c"), ("b", "c")}
     assert {r.document_id: (r.related_to, r.similarity) for r in workflow.related_versions(spark, folder).collect()} == {"a": ("b", 1.0), "b": ("a", 1.0)}
+
+
+def test_plans_without_joins_of_postings(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("the corpus' postings were joined")
+
+    monkeypatch.setattr(organize.tfidf, "neighbours", never)
+    corpus = spark.createDataFrame([("a", "x", "oak elm fir"), ("b", "y", "oak elm ash"), ("c", "z", "salt pepper")], "id string, title string, text string")
+    tags = spark.createDataFrame([("b", "trees"), ("c", "food")], "document_id string, tag string")
+    assert organize.plans(corpus, tags, spark.createDataFrame([("a",)], "doc string")).first().tags == ["trees"]
