@@ -150,4 +150,4 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every two classes of equal texts that share a band, without a threshold, with their estimated similarity (SE16, JN14, TOP11); text_classes has their ids."""
-    return lsh.pairs(lsh.signatures(lsh.classes(contents(spark, d), "document_id", "text")[1]))
+    return lsh.candidates(lsh.blocks(lsh.classes(contents(spark, d), "document_id", "text")[1]))

@@ -149,3 +149,18 @@ def test_hot_bands_lose_no_pair(spark):
     for t in (0.6, 0.85):
         a, b = ({(r.a, r.b) for r in lsh.pairs(sig, t, hot).collect()} for hot in (1, 10_000))
         assert a == b and a
+
+
+def test_candidate_pairs_are_not_moved(spark):
+    rnd = random.Random(3)
+    base = " ".join(rnd.choice("river table lamp green quick stone paper cloud".split()) for _ in range(60))
+    rows = [(str(i), base[: 200 - rnd.randint(0, 120)] + "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 90)))) for i in range(60)] + [("blank", " "), ("none", None)]
+    texts = lsh.classes(docs(spark, rows), "document_id", "text")[1]
+    sig = lsh.signatures(texts)
+    kept = [(r["class"], r.sig, r["keys"]) for r in sig.collect()]
+    want = {(a, b): sum(map(int.__eq__, s, t)) / len(s) for a, s, k in kept for b, t, m in kept if a < b and any(map(int.__eq__, k, m))}
+    assert len(want) > 100 and min(want.values()) < 0.5
+    for got in (lsh.pairs(sig.repartition(5)), lsh.candidates(lsh.blocks(texts))):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        found = [((r.a, r.b), r.similarity) for r in got.collect()]
+        assert len(found) == len(want) and dict(found) == want
