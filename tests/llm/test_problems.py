@@ -426,6 +426,20 @@ def test_pages_by_source(spark):
     assert one.pages.by_layout(narrow[0][1].split("\n")) and not one.pages.by_layout([wide[0][1]])
 
 
+def test_encoding_model_counts_all_records(spark):
+    """More records than a sample would have: every one that isn't held out is counted, in whatever parts they come."""
+    words = ["Straße", "Übung", "café", "naïve", "Žižek", "größer"]
+    texts = [f"{words[i % 6]} und {words[(i // 6) % 6]} {i}" for i in range(9000)]
+    df = frame(spark, list(enumerate(texts)), "id long, text string")
+    one, two = (encodings.judge_for(x, "id", "text") for x in (df, df.where("id % 2 = 1").unionAll(df.where("id % 2 = 0"))))
+    want = sum(r.text.count("Straße") for r in df.where("pmod(xxhash64(id, text), 1L << 40) % 5 > 0").collect())
+    assert round(one.model.three["raß"]) == want > 2000
+    assert one.model.three == two.model.three and one.margins == two.margins and one.lost == two.lost and one.plain == two.plain
+    x = (1.5, {"utf-8 as cp1252": 2.5, "cp1251 as cp1252": 0.25})
+    one.token("é")
+    assert encodings.unpacked(one, encodings.packed(one, x)) == x
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
 def test_planted_pages_are_repaired(spark):
     """Pages made of clean texts of the test table, with paragraphs as they were before."""
