@@ -3,9 +3,9 @@
 Lines are labelled body, furniture (running header or footer, page number) or break (a line that begins a
 paragraph, with or without a blank line before it) by a linear-chain conditional random field: weights of
 layout features of each line and of pairs of labels, trained together by the gradient of the likelihood
-(forward-backward) on pages made from clean texts of the corpus (wrapped, with furniture put between
+(forward-backward) on pages made from all clean texts of the corpus (wrapped, with furniture put between
 their lines), and decoded by Viterbi. Whether a text is a page at all is told by a logistic regression on
-its layout, trained on a bounded sample by what the extractor says of it, or by several signs of scanning
+its layout, trained on all texts by what the extractor says of them, or by several signs of scanning
 in it, whatever its layout. Whether a word is broken or misread is told by the counts of words over
 all texts: those with at least a millionth of all words form the lexicon, which therefore has at most a
 million entries. Rarer words keep their count where a verdict hangs on it.
@@ -13,11 +13,11 @@ million entries. Rarer words keep their count where a verdict hangs on it.
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -25,15 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.filters import distinct_rows
-from ..session import checkpoint, spread, table, thinned
+from ..session import checkpoint, spread, table
 
 SHARE = 1e-6
-SAMPLE = 300
-PAGES = 3000
+UNIT = 1 << 30  # shares of lines are counted in whole units, whose sums are the same in any order
+BEGIN = 600  # texts whose pages say where the search for the weights begins, about; it ends at those of all texts
 BODY, FURNITURE, BREAK = range(3)
 # Extractors that read images.
 RECOGNISED = ("ocr", "scan")
 WORD = re.compile(r"[@$]?(?=[^\W_])(?:(?<![@$])|(?=[^\W\d_]))[^\W_](?:[^\W_]|(?<=\w)[@$|](?=\w)|(?<=[^\W\d_])[@$](?!\w))*")
+UNWRAPPED = re.compile(r"(?m)^[^\n]{120,}$")
 COMPOUND_END = re.compile(r"[^\W\d_][-‐]$")
 PLAIN = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[-‐][^\W\d_]+)+")
@@ -60,8 +61,9 @@ FILE_NAME = re.compile(r"^[\w@$]{2,10}(?:_[\dlIOoSsBZ]{3,6}|\([\dlIOoSsBZ]{3,6}\
 LETTERS_NUMBER = re.compile(r"[^\W\d_]{2,5}[ _-]?\d{3,6}")
 ROMAN = re.compile(r"\W*[ivxlcIVXLC]+\W*")
 SET_APART = re.compile(r"(?:19|20|[l1I]9|Z0|2[Oo])[\dlIOoSsBZ]{2}\s{2,}\W*[\dlIOoSsBZ]{1,3}\W*$")
-NO_LETTER = dict.fromkeys(map(ord, "0123456789 \t_-.,;:!?()[]/—–|*'\""))
+NO_LETTER = bytes(sorted(set(range(256)) - set(range(ord("a"), ord("z") + 1))))
 JOINED = ("page+number", "names only", "year end", "capitals", "figures", "title and number", "file name", "roman")
+JOINED_ANY = frozenset(JOINED)
 
 
 def key(line: str) -> str:
@@ -69,12 +71,17 @@ def key(line: str) -> str:
     return GAPS.sub(" ", DIGITS.sub("9", line.lower())).strip()
 
 
-def repeated(s: list[str], most: int = 60) -> Counter:
-    """How often the key of each line below a length comes in a text; lines that can't come again are left out."""
+def keyed(s: list[str], most: int = 60) -> list[tuple[str, str]]:
+    """(line, its key) for those below a length; lines that can't come again, by their letters from a to z, are left out."""
     short = [x for x in s if 0 < len(x) < most]
-    crude = [x.lower().translate(NO_LETTER) for x in short]
+    crude = [x.lower().encode("utf-8", "surrogatepass").translate(None, NO_LETTER) for x in short]
     n = Counter(crude)
-    return Counter(key(x) for x, c in zip(short, crude) if n[c] > 1)
+    return [(x, key(x)) for x, c in zip(short, crude) if n[c] > 1]
+
+
+def repeated(s: list[str]) -> Counter:
+    """How often the key of each short line comes in a text; lines that can't come again are left out."""
+    return Counter(k for _, k in keyed(s))
 
 
 def usual_width(s: list[str]) -> int:
@@ -86,7 +93,9 @@ def usual_width(s: list[str]) -> int:
 def features(lines: list[str]) -> list[list[str]]:
     """Layout features of each line that isn't blank."""
     s = [x.strip() for x in lines]
-    width, often = usual_width(s), repeated(s)
+    width, short = usual_width(s), keyed(s)
+    often = Counter(k for _, k in short)
+    again = {x for x, k in short if often[k] > 1}
     filled = [i for i, x in enumerate(s) if x]
     out: list[list[str]] = [[] for _ in s]
     for n, i in enumerate(filled):
@@ -132,7 +141,7 @@ def features(lines: list[str]) -> list[list[str]]:
             f.append("capitals")
         if ("_" in x[:11] or "(" in x[:11]) and FILE_NAME.search(x):
             f.append("file name")
-        if often and 0 < len(x) < 60 and often[key(x)] > 1:
+        if x in again:
             f.append("repeated")
         f.append("ends" if ends else "open")
         lower = x[0].islower()
@@ -163,7 +172,7 @@ def features(lines: list[str]) -> list[list[str]]:
             f.append(f"after blank {before[-1:] in '.?!:…)”'}")
         if i + 1 < len(s) and not s[i + 1]:
             f.append("before blank")
-        for a in JOINED:
+        for a in () if JOINED_ANY.isdisjoint(f) else JOINED:
             if a in f:
                 f.append(f"{a} & {'fits' if fits else 'full'} & {'ends' if ends else 'open'}")
                 f.append(f"{a} & {len(words) // 3} & {'lower' if lower else 'other'}")
@@ -215,8 +224,11 @@ class Labeller:
         return out
 
 
-def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
-    """Where a smooth convex function with its gradient is least (limited-memory BFGS with backtracking)."""
+def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 60, memory: int = 8, curvature: np.ndarray | None = None) -> np.ndarray:
+    """Where a smooth convex function with its gradient is least (limited-memory BFGS with backtracking).
+
+    curvature: second derivatives, about, of which steps begin; without them a step is as long as the last one says.
+    """
     v, g = f(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -225,7 +237,10 @@ def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             a = (s @ q) / (y @ s)
             alphas.append(a)
             q -= a * y
-        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(g).sum())
+        if curvature is not None:
+            q = np.linalg.solve(curvature, q)
+        else:
+            q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(g).sum())
         for (s, y), a in zip(past, reversed(alphas)):
             q += s * (a - (y @ q) / (y @ s))
         step, slope = 1.0, g @ q
@@ -244,51 +259,113 @@ def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
+def curvature(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, more: float, h: float = 1e-4) -> np.ndarray:
+    """Second derivatives by differences of the gradient, and so much more in every direction, for shorter steps."""
+    g = f(x)[1]
+    rows = np.array([(f(x + h * e)[1] - g) / h for e in np.eye(len(x))])
+    values, axes = np.linalg.eigh((rows + rows.T) / 2)
+    return (axes * (np.maximum(values, 0) + more)) @ axes.T
+
+
+class Block:
+    """Pages to train on: the distinct sets of features, and for each step of the recursions the sets of the lines
+    there, of the longest page first."""
+
+    def __init__(self) -> None:
+        self.sets: dict[tuple[str, ...], int] = {}
+        self.pages: list[tuple[np.ndarray, np.ndarray]] = []
+        self.lines = 0
+
+    def add(self, feats: list[list[str]], gold: list[int]) -> None:
+        """A page by the features of its lines and their labels."""
+        self.pages.append((np.array([self.sets.setdefault(tuple(f), len(self.sets)) for f in feats], np.uint32), np.array(gold, np.int8)))
+        self.lines += len(gold)
+
+    def packed(self) -> Block:
+        """The block with its pages beside each other, to which none can be added."""
+        names: dict[str, int] = {}
+        sets = [[names.setdefault(x, len(names)) for x in f] for f in self.sets]
+        self.names, self.of = list(names), np.repeat(np.arange(len(sets)), [len(f) for f in sets])
+        self.ids, self.starts = np.array([k for f in sets for k in f]), np.cumsum([0] + [len(f) for f in sets[:-1]])
+        self.pages.sort(key=lambda p: -len(p[0]))
+        seq, gold = (np.concatenate([p[k] for p in self.pages]) for k in (0, 1))
+        length = np.array([len(y) for _, y in self.pages])
+        begin = np.cumsum(length) - length
+        # step t takes the first left[t] of the pages
+        self.left = [int(np.searchsorted(-length, -t)) for t in range(length[0])]
+        self.seq = seq[np.concatenate([begin[:k] + t for t, k in enumerate(self.left)])]
+        self.seen, self.gold, after = np.zeros((3, 3), np.int64), np.zeros((len(sets), 3), np.int64), np.ones(len(gold), bool)
+        after[begin] = False
+        after = np.flatnonzero(after)
+        np.add.at(self.seen, (gold[after - 1], gold[after]), 1)
+        np.add.at(self.gold, (seq, gold), 1)
+        self.sets, self.pages = {}, []
+        return self
+
+    def sums(self, own: np.ndarray, pairs: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Units of what the likelihood's logarithm lacks, and of its gradient by the weights of self.names and of pairs."""
+        whole = lambda x: np.rint(x * UNIT)
+        e = np.add.reduceat(own[self.ids], self.starts, axis=0)
+        top, high = e.max(1), pairs.max()
+        x, m = np.ascontiguousarray(np.exp(e - top[:, None]).T)[:, self.seq], np.exp(pairs - high)
+        fwd, bwd, step, before, scale = np.empty_like(x), np.ones_like(x), np.zeros_like(x), np.zeros_like(x), np.empty(len(self.seq))
+        begin = [0, *np.cumsum(self.left).tolist()]
+        for t, k in enumerate(self.left):
+            i = slice(begin[t], begin[t] + k)
+            f = x[:, i]
+            if t:
+                p = before[:, i] = fwd[:, begin[t - 1] : begin[t - 1] + k]
+                f = (m[0, :, None] * p[0] + m[1, :, None] * p[1] + m[2, :, None] * p[2]) * f
+            scale[i] = f[0] + f[1] + f[2]
+            fwd[:, i] = f / scale[i]
+        for t in range(len(self.left) - 1, 0, -1):
+            i = slice(begin[t], begin[t + 1])
+            g = step[:, i] = x[:, i] * bwd[:, i] / scale[i]
+            bwd[:, begin[t - 1] : begin[t - 1] + self.left[t]] = m[:, :1] * g[0] + m[:, 1:2] * g[1] + m[:, 2:] * g[2]
+        p = whole(fwd * bwd)
+        more = np.stack([np.bincount(self.seq, p[k], len(e)) for k in range(3)], 1) - self.gold * UNIT
+        grad = np.stack([np.bincount(self.ids, more[self.of, k], len(self.names)) for k in range(3)], 1).astype(np.int64)
+        joint = np.array([[whole(before[a] * step[b] * m[a, b]).sum() for b in range(3)] for a in range(3)]).astype(np.int64)
+        fixed = lambda x: whole(x).astype(np.int64)
+        value = fixed(np.log(scale)).sum() + (fixed(top) * self.gold.sum(1)).sum() - (fixed(e) * self.gold).sum() + (fixed(high - pairs) * self.seen).sum()
+        return int(value), grad, joint - self.seen * UNIT
+
+
+def total_sums(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> np.ndarray:
+    """The sums of all blocks in the order of the weights, the value first."""
+    own, pairs = w[:-9].reshape(-1, 3), w[-9:].reshape(3, 3)
+    out = np.zeros(1 + len(w), np.int64)
+    for b in blocks:
+        at = [names[x] for x in b.names]
+        value, grad, joint = b.sums(own[at], pairs)
+        out[0] += value
+        out[1:-9].reshape(-1, 3)[at] += grad
+        out[-9:] += joint.ravel()
+    return out
+
+
+def loss_of(sums: Callable[[np.ndarray], np.ndarray], ridge: float, times: float = 1.0) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The penalised loss with its gradient, from sums for weights; times: how many such pages one stands for."""
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        s = sums(w) * (times / UNIT)
+        return float(s[0] + ridge / 2 * (w @ w)), s[1:] + ridge * w
+
+    return loss
+
+
+def labeller_of(names: dict[str, int], w: np.ndarray) -> Labeller:
+    return Labeller(names, w[:-9].reshape(-1, 3), w[-9:].reshape(3, 3))
+
+
 def chain(pages: list[tuple[list[list[str]], list[int]]], ridge: float = 0.3) -> Labeller:
     """The random field's weights of greatest penalised likelihood, for (features of the lines, their labels) of pages."""
-    names: dict[str, int] = {}
-    flat = [[names.setdefault(x, len(names)) for x in f] for feats, _ in pages for f in feats]
-    if not flat:
+    block = Block()
+    for feats, gold in pages:
+        block.add(feats, gold)
+    if not block.lines:
         return Labeller()
-    ids, starts = np.array([k for f in flat for k in f]), np.cumsum([0] + [len(f) for f in flat[:-1]])
-    of = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
-    gold = np.array([k for _, y in pages for k in y])
-    length = np.array([len(y) for _, y in pages])
-    # pages beside each other, the longest first: step t of the recursions takes the first left[t] of them
-    order = np.argsort(-length, kind="stable")
-    begin = (np.cumsum(length) - length)[order]
-    length = length[order]
-    left = [int(np.searchsorted(-length, -t)) for t in range(length[0] + 1)]
-    at = [begin[: left[t]] + t for t in range(length[0])]
-    after = np.ones(len(gold), bool)
-    after[begin] = False
-    after = np.flatnonzero(after)
-    seen = np.zeros((3, 3))
-    np.add.at(seen, (gold[after - 1], gold[after]), 1)
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        own, pairs = w[: 3 * len(names)].reshape(-1, 3), w[3 * len(names) :].reshape(3, 3)
-        e = np.add.reduceat(own[ids], starts, axis=0)
-        top, high = e.max(1), pairs.max()
-        x, m = np.exp(e - top[:, None]), np.exp(pairs - high)
-        fwd, bwd, scale = np.empty_like(x), np.ones_like(x), np.empty(len(x))
-        for t, i in enumerate(at):
-            f = x[i] if t == 0 else (fwd[i - 1] @ m) * x[i]
-            scale[i] = f.sum(1)
-            fwd[i] = f / scale[i, None]
-        for t in range(len(at) - 1, 0, -1):
-            i = at[t]
-            bwd[i - 1] = (x[i] * bwd[i]) @ m.T / scale[i, None]
-        p = fwd * bwd
-        joint = (fwd[after - 1] / scale[after, None]).T @ (x[after] * bwd[after]) * m
-        z = np.log(scale).sum() + top.sum() + high * len(after)
-        value = z - e[np.arange(len(gold)), gold].sum() - (seen * pairs).sum() + ridge / 2 * (w @ w)
-        p[np.arange(len(gold)), gold] -= 1
-        grad = np.stack([np.bincount(ids, p[of, k], len(names)) for k in range(3)], 1)
-        return value, np.concatenate([grad.ravel(), (joint - seen).ravel()]) + ridge * w
-
-    w = minimum(loss, np.zeros(3 * len(names) + 9))
-    return Labeller(names, w[: 3 * len(names)].reshape(-1, 3), w[3 * len(names) :].reshape(3, 3))
+    names = {x: i for i, x in enumerate(sorted(block.packed().names))}
+    return labeller_of(names, minimum(loss_of(lambda w: total_sums([block], names, w), ridge), np.zeros(3 * len(names) + 9)))
 
 
 def made_page(paragraphs: list[str], titles: list[str], rnd: random.Random) -> tuple[list[str], list[int | None]]:
@@ -396,27 +473,85 @@ def made_pages(texts: list[str], each: int, rnd: random.Random) -> list[tuple[li
     return pages
 
 
-def learn(texts: list[str], ridge: float = 0.3, seed: int = 7) -> Labeller:
-    """The labeller from pages made of the texts, whose lines are paragraphs."""
-    pages = []
-    for lines, gold in made_pages(texts, 4, random.Random(seed)):
+def training_pages(texts: list[str], rnd: random.Random) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """(features of the lines, their labels) of four pages made of each text."""
+    for lines, gold in made_pages(texts, 4, rnd):
         feats = features(lines)
         if at := [i for i, y in enumerate(gold) if y is not None and feats[i]]:
-            pages.append(([feats[i] for i in at], [gold[i] for i in at]))
-    return chain(pages, ridge)
+            yield [feats[i] for i in at], [gold[i] for i in at]
 
 
-def logistic(rows: list[tuple[list[str], bool]], ridge: float = 0.3) -> dict[str, float]:
-    """Weights of features by a logistic regression."""
+def learn(texts: list[str], ridge: float = 0.3, seed: int = 7) -> Labeller:
+    """The labeller from pages made of the texts, whose lines are paragraphs."""
+    return chain(list(training_pages(texts, random.Random(seed))), ridge)
+
+
+def learn_all(texts: DataFrame, ident: str, text: str, ridge: float = 0.3, lines: int = 200_000) -> Labeller:
+    """As learn(), from pages made of all texts that aren't wrapped; only sums for each set of weights come to the driver.
+
+    The search begins at the weights for the pages of some texts, and ends at those for all; these are few enough for the driver.
+    """
+    drawn = F.pmod(F.xxhash64(ident, text), F.lit(1 << 40))
+    rows = texts.select(F.col(text).alias("t"), drawn.alias("drawn"), (drawn % F.lit(max(1, texts.count() // BEGIN)) == 0).alias("first"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(block: Block, first: bool) -> pd.DataFrame:
+            return pd.DataFrame({"names": [block.packed().names], "block": [pickle.dumps(block)], "first": [first], "lines": [block.lines]})
+
+        blocks = [Block(), Block()]
+        for pdf in batches:
+            for t, seed, first in zip(pdf["t"], pdf["drawn"], pdf["first"]):
+                if not UNWRAPPED.search(t):
+                    continue
+                for page in training_pages([t], random.Random(seed)):
+                    blocks[first].add(*page)
+                if blocks[first].lines >= lines:
+                    yield out(blocks[first], bool(first))
+                    blocks[first] = Block()
+        for first, block in enumerate(blocks):
+            if block.lines:
+                yield out(block, bool(first))
+
+    blocks = checkpoint(rows.mapInPandas(pack, "names array<string>, block binary, first boolean, lines long"))
+    names = {x: i for i, x in enumerate(sorted(r[0] for r in blocks.select(F.explode("names")).distinct().collect()))}
+    size = {r.first_: r.n for r in blocks.groupBy(F.col("first").alias("first_")).agg(F.sum("lines").alias("n")).collect()}
+    if not size:
+        return Labeller()
+    w, bend, sc = np.zeros(3 * len(names) + 9), None, texts.sparkSession.sparkContext
+    if True in size:
+        few = [pickle.loads(r.block) for r in blocks.where("first").select("block").collect()]
+        times = sum(size.values()) / size[True]
+        loss = loss_of(lambda w: total_sums(few, names, w), ridge, times)
+        w = minimum(loss, w)
+        bend = curvature(loss, w, ridge * times) if False in size else None
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast((names, w))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            s = total_sums((pickle.loads(b) for pdf in batches for b in pdf["block"]), *shared.value)
+            yield pd.DataFrame({"s": [s.tobytes()]})
+
+        found = blocks.select("block").mapInPandas(run, "s binary").collect()
+        shared.unpersist()
+        return sum((np.frombuffer(r.s, np.int64) for r in found), np.zeros(1 + len(w), np.int64))
+
+    if False in size:
+        w = minimum(loss_of(sums, ridge), w, curvature=bend)
+    return labeller_of(names, w)
+
+
+def logistic(rows: list[tuple[list[str], bool, int]], ridge: float = 0.3) -> dict[str, float]:
+    """Weights of features by a logistic regression on (features, label, how often)."""
     names: dict[str, int] = {}
-    at = [[names.setdefault(x, len(names)) for x in f] for f, _ in rows]
-    m, y = np.zeros((len(rows), len(names))), np.array([float(y) for _, y in rows])
+    at = [[names.setdefault(x, len(names)) for x in f] for f, _, _ in rows]
+    m, y, n = np.zeros((len(rows), len(names))), np.array([float(y) for _, y, _ in rows]), np.array([float(n) for *_, n in rows])
     for i, f in enumerate(at):
         m[i, f] = 1
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = m @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (w @ w)), m.T @ (1 / (1 + np.exp(-z)) - y) + ridge * w
+        return float(n @ (np.logaddexp(0, z) - y * z) + ridge / 2 * (w @ w)), m.T @ (n * (1 / (1 + np.exp(-z)) - y)) + ridge * w
 
     w = minimum(loss, np.zeros(len(names)))
     return {x: float(w[i]) for x, i in names.items()}
@@ -446,17 +581,17 @@ class Pages:
         return sum(self.w.get(x, 0.0) for x in self.layout(lines)) > 0
 
     @classmethod
-    def learn(cls, real: list[tuple[list[str], int, bool | None]]) -> Pages:
-        """From texts (layout, signs, whether said to be a page).
+    def learn(cls, said: list[tuple[list[str], bool, int]]) -> Pages:
+        """From (layout, whether said to be a page, how often)."""
+        return cls(logistic(said)) if len({y for _, y, _ in said}) == 2 else cls()
+
+    def bounded(self, said: int, other: dict[int, int]) -> None:
+        """As many signs are enough as not one in five hundred texts has that is no page by its layout.
 
-        As many signs are enough as not one in five hundred texts has that is no page by its layout.
+        said: of how many texts it is said whether they are pages; other: how many texts that are none by layout have so many signs.
         """
-        said = [(f, bool(y)) for f, _, y in real if y is not None]
-        pages = cls(logistic(said)) if len({y for _, y in said}) == 2 else cls()
-        other = [n for f, n, _ in real if sum(pages.w.get(x, 0.0) for x in f) <= 0]
-        if len(said) >= 500:
-            pages.enough = next((k for k in range(1, cls.SIGNS) if sum(n >= k for n in other) < 0.002 * len(other)), cls.SIGNS)
-        return pages
+        if said >= 500:
+            self.enough = next((k for k in range(1, self.SIGNS) if sum(c for n, c in other.items() if n >= k) < 0.002 * sum(other.values())), self.SIGNS)
 
 
 class Reader:
@@ -682,30 +817,44 @@ def rare_counts(counts: DataFrame, lexicon: dict[str, int], floor: float) -> dic
     return {r.word: r.n for r in few.mapInPandas(run, "word string, n long").collect()}
 
 
-def reader_for(df: DataFrame, ident: str, text: str, source: str | None = None, sample: int = SAMPLE, pages: int = PAGES, share: float = SHARE) -> Reader:
-    """The lexicon over all texts; the models from a sample of pages to about twice as many texts, drawn by a hash of their ids.
+def reader_for(df: DataFrame, ident: str, text: str, source: str | None = None, share: float = SHARE) -> Reader:
+    """The lexicon and the models over all texts.
 
-    The labeller learns from at most sample of them that aren't wrapped; what a page is by its layout is
-    learned from all of them by their source. Without a source only signs of scanning tell.
+    The labeller learns from all texts that aren't wrapped; what a page is by its layout is learned from all
+    texts by their source. Without a source only signs of scanning tell.
     """
     counts = checkpoint(word_counts(df, text))
     floor = max(2, (counts.agg(F.sum("n")).first()[0] or 0) * share)
     lexicon = {r.word: r.n for r in counts.where(F.col("n") >= floor).select("word", "n").collect()}
     rare = rare_counts(counts, lexicon, floor) if floor > 2 else {}
+    reader = Reader(learn_all(df, ident, text), lexicon, rare)
     said = F.lower(F.trim(source)).isin(*RECOGNISED) if source else F.lit(None).cast("boolean")
-    few = thinned(df.select(ident, F.col(text).alias("t"), said.alias("said")), ident, pages // 2).where(F.col("t").rlike(r"\S"))
-    rows = {(r.t, r.said) for r in few.select("t", "said").collect()}
-    rows = sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0], str(r[1])))
-    clean = [t for t, _ in rows if re.search(r"(?m)^[^\n]{120,}$", t)][:sample]
-    reader = Reader(learn(clean), lexicon, rare)
-    return Reader(reader.labeller, lexicon, rare, page_model(reader, rows))
-
-
-def page_model(reader: Reader, rows: list[tuple[str, bool | None]]) -> Pages:
-    """From texts with what is said of them."""
-    texts = [(t.split("\n"), said) for t, said in rows]
-    real = [(Pages.layout(lines), reader.signs(lines, Pages.SIGNS), said) for lines, said in texts]
-    return Pages.learn(real)
+    reader.pages = page_model(reader, df.select(F.col(text).alias("t"), said.alias("said")).where(F.col("t").rlike(r"\S")))
+    return reader
+
+
+def page_model(reader: Reader, texts: DataFrame) -> Pages:
+    """From all texts (t) with what is said of them (said), which may be null; only counts come to the driver."""
+    def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = Counter((tuple(Pages.layout(t.split("\n"))), bool(said)) for pdf in batches for t, said in zip(pdf["t"], pdf["said"]))
+        yield pd.DataFrame([(list(f), said, c) for (f, said), c in n.items()], columns=["layout", "said", "n"])
+
+    rows = texts.where("said IS NOT NULL").mapInPandas(layouts, "layout array<string>, said boolean, n long").groupBy("layout", "said").agg(F.sum("n").alias("n")).collect()
+    pages = Pages.learn(sorted((list(r.layout), r.said, r.n) for r in rows))
+    shared = texts.sparkSession.sparkContext.broadcast((reader, pages))
+
+    def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (reader, pages), n = shared.value, Counter()
+        for pdf in batches:
+            for lines in (t.split("\n") for t in pdf["t"]):
+                if not pages.by_layout(lines):
+                    n[min(reader.signs(lines, Pages.SIGNS - 1), Pages.SIGNS - 1)] += 1
+        yield pd.DataFrame(list(n.items()), columns=["signs", "n"])
+
+    if (said := sum(r.n for r in rows)) >= 500:
+        other = texts.select("t").mapInPandas(signs, "signs long, n long").groupBy("signs").agg(F.sum("n").alias("n")).collect()
+        pages.bounded(said, {r.signs: r.n for r in other})
+    return pages
 
 
 def _texts(df: DataFrame, ident: str, text: str, source: str | None) -> DataFrame:

@@ -426,6 +426,32 @@ def test_pages_by_source(spark):
     assert one.pages.by_layout(narrow[0][1].split("\n")) and not one.pages.by_layout([wide[0][1]])
 
 
+def test_page_model_counts_all_texts(spark):
+    """More texts than a sample would have: the regression is the one of every text's layout."""
+    rnd = random.Random(13)
+    texts = [(f"t{i}", "\n".join(sentence(rnd, 2 + i % 4) for _ in range(1 + i % 5)), ["plain", "ocr"][rnd.random() < (0.8 if i % 5 else 0.1)]) for i in range(9000)]
+    n = scans.Counter((tuple(scans.Pages.layout(t.split("\n"))), s == "ocr") for _, t, s in texts)
+    reader = scans.reader_for(frame(spark, texts, "id string, text string, source string"), "id", "text", "source")
+    assert reader.pages.w == scans.Pages.learn(sorted((list(f), s, c) for (f, s), c in n.items())).w
+
+
+def test_labeller_learns_from_all_texts(spark, monkeypatch):
+    """The weights are those of least loss over the pages of every clean text, in whatever partitions they come."""
+    monkeypatch.setattr(scans, "BEGIN", 100, raising=False)
+    rnd = random.Random(14)
+    df = frame(spark, [(f"t{i}", "\n".join(sentence(rnd, 22).capitalize() + "." for _ in range(2))) for i in range(400)])
+    one, two = (scans.reader_for(x, "id", "text").labeller for x in (df.repartition(3), df.repartition(11)))
+    assert one.names == two.names and (one.own == two.own).all() and (one.pairs == two.pairs).all()
+    block = scans.Block()
+    for r in df.selectExpr("text", "pmod(xxhash64(id, text), 1L << 40) AS drawn").collect():
+        for page in scans.training_pages([r.text], random.Random(r.drawn)):
+            block.add(*page)
+    assert sorted(block.packed().names) == sorted(one.names)
+    loss = scans.loss_of(lambda w: scans.total_sums([block], one.names, w), 0.3)
+    w = scans.np.concatenate([one.own.ravel(), one.pairs.ravel()])
+    assert loss(w)[0] < 1.001 * loss(scans.minimum(loss, w))[0]
+
+
 def test_encoding_model_counts_all_records(spark):
     """More records than a sample would have: every one that isn't held out is counted, in whatever parts they come."""
     words = ["Straße", "Übung", "café", "naïve", "Žižek", "größer"]
