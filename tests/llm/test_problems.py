@@ -466,6 +466,26 @@ def test_encoding_model_counts_all_records(spark):
     assert encodings.unpacked(one, encodings.packed(one, x)) == x
 
 
+def test_chains_that_agree_are_tried_once(monkeypatch):
+    """Scores and changes of tokens are those of every chain by itself; no text is scored twice for a token."""
+    words = ["Straße", "Übung", "naïve", "Žižek", "größer", "ÃŸÃ¼", "Ð¿Ñ€Ð¸", "ñandú\xa0é", "при"] + [w.encode("utf-8").decode("cp850") for w in ("Straße", "größer")]
+    judge = encodings.Judge(encodings.Trigrams(encodings.Counter({"Straße": 9, "größer": 5, "при": 7})), plain=0.0)
+    scored, score = [], encodings.Trigrams.score
+    monkeypatch.setattr(encodings.Trigrams, "score", lambda self, t: scored.append(t) or score(self, t))
+    calls, others = [], encodings.reread("cp1252", "cp1251")
+    for w in words:
+        scored.clear()
+        got = judge.token(w)[1]
+        assert len(scored) == len(set(scored))
+        results = {n: c(w) for n, c in judge.chains.items()}
+        own = score(judge.model, encodings.folded(w))
+        assert got == {n: g for n, r in results.items() if r != w and (g := score(judge.model, r) - own) > 0}
+        done = [judge.family(n) for n, r in results.items() if r != w]
+        assert encodings.changes(judge, w) == (done.count(0), done.count(1))
+        monkeypatch.setattr(encodings, "_bytes_of", lambda e: calls.append(e))  # tables are made once, not for every token
+    assert not calls and others("é") != "é" and len(encodings.rereadings("é")) < sum(map(len, encodings.rereadings("é").values()))
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
 def test_planted_pages_are_repaired(spark):
     """Pages made of clean texts of the test table, with paragraphs as they were before."""
