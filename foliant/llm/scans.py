@@ -16,8 +16,11 @@ from __future__ import annotations
 import pickle
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 from operator import itemgetter
 
 import numpy as np
@@ -29,7 +32,8 @@ from ..session import checkpoint, spread, table
 
 SHARE = 1e-6
 UNIT = 1 << 30  # shares of lines are counted in whole units, whose sums are the same in any order
-BEGIN = 600  # texts whose pages say where the search for the weights begins, about; it ends at those of all texts
+BEGIN = 600  # texts whose pages say where the search for the weights begins, about; it goes on with five times as many and ends at all texts
+FINE = 1 << 10  # likewise a page's gradient, where it is multiplied with itself
 BODY, FURNITURE, BREAK = range(3)
 # Extractors that read images.
 RECOGNISED = ("ocr", "scan")
@@ -71,6 +75,11 @@ def key(line: str) -> str:
     return GAPS.sub(" ", DIGITS.sub("9", line.lower())).strip()
 
 
+def compounds(text: str) -> list[str]:
+    """Words with hyphens inside; they have no white space, so that only what has a hyphen is searched."""
+    return COMPOUND.findall(" ".join([x for x in text.split() if "-" in x or "‐" in x]))
+
+
 def keyed(s: list[str], most: int = 60) -> list[tuple[str, str]]:
     """(line, its key) for those below a length; lines that can't come again, by their letters from a to z, are left out."""
     short = [x for x in s if 0 < len(x) < most]
@@ -180,6 +189,201 @@ def features(lines: list[str]) -> list[list[str]]:
     return out
 
 
+PLANE = 1 << 16
+SPACE, DECIMAL, LOWER, UPPER, ENDS, CLOSES, STOPS, OPENS, WORDLY, ALNUM, NUMERAL, AMOUNTS = (1 << k for k in range(12))
+
+
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For characters of the first plane: their kinds, and numbers whose sums agree where the letters from a to z agree in lower case."""
+    kinds, letters = np.zeros(PLANE, np.uint16), np.zeros(PLANE, np.uint32)
+    number = {chr(ord("a") + k): (k + 1) * 0x9E3779B1 % (1 << 32) for k in range(26)}
+    for k, c in enumerate(map(chr, range(PLANE))):
+        kinds[k] = c.isspace() * SPACE | c.isdecimal() * DECIMAL | c.islower() * LOWER | c.isupper() * UPPER | (c in ".?!:…”") * ENDS | (c in ".?!:…)”") * CLOSES | (c in ".?!:…") * STOPS | (c in "_(") * OPENS
+        kinds[k] |= (c.isalnum() or c == "_") * WORDLY | c.isalnum() * ALNUM | (c.isdecimal() or c in "lIOoSsBZ") * NUMERAL | (c.isdecimal() or c in ".,-") * AMOUNTS
+        letters[k] = sum(number.get(x, 0) for x in c.lower()) % (1 << 32)
+    return kinds, letters
+
+
+@lru_cache(1 << 14)
+def _odd(x: str, after_figures: bool, before_amount: bool) -> tuple[tuple[str, ...], bool, int]:
+    """What features() finds by expressions in a line: before its repetition, whether it is names only, and a third of its words if other features hang on it."""
+    f, n = [], len(x.split())
+    digit = DIGIT.search(x) is not None
+    page = len(x) < 40 and PAGE.match(x) is not None
+    numbered = digit and n > 1 and TITLE_NUMBER.search(x) is not None
+    figures = digit and not numbered and FIGURES.match(x) is not None
+    if page:
+        f.append("page+number" if digit else "page")
+        if not digit:
+            f.append("roman" if ROMAN.fullmatch(x) else "letters for digits")
+        if after_figures and x.isdigit():
+            f.append("page after figures")
+    if digit and len(x) < 14 and LETTERS_NUMBER.fullmatch(x):
+        f.append("letters and number")
+    if figures:
+        f.append("figures")
+        if before_amount or AMOUNT.match(x):
+            f.append("table")
+    if numbered:
+        f.append("title and number")
+        f.append("set apart " + ("year" if SET_APART.search(x) else "no"))
+    if digit and len(x) < 60 and n <= 9 and YEAR_END.search(x):
+        f.append("year end")
+        if TITLE_YEAR.match(x):
+            f.append("title year")
+    if x.isupper() and sum(map(str.isalpha, x)) > 3:
+        f.append("capitals")
+    if ("_" in x[:11] or "(" in x[:11]) and FILE_NAME.search(x):
+        f.append("file name")
+    names = n <= 3 and all(w[:1].isupper() and len(w) > 2 and sum(map(str.isalpha, w)) > 0.7 * len(w) for w in x.split())
+    return tuple(f), names, n // 3 if names or not JOINED_ANY.isdisjoint(f) else 0
+
+
+@lru_cache(1 << 16)
+def _described(code: int, odd: tuple[tuple[str, ...], bool, int]) -> tuple[str, ...]:
+    """The features that features() gives a line, in its order, from the bits of feature_sets()."""
+    bit = lambda k: bool(code >> k & 1)
+    found, names, thirds = odd
+    ends, fits, lower, f = bit(3), bit(6), bit(4), ["bias"]
+    begins, page_ends = bit(0), bit(1)
+    f += ["page begins"] * begins + ["page begins short"] * (begins and fits and not ends)
+    f += ["page ends"] * page_ends + ["page ends number"] * (page_ends and ("page" in found or "page+number" in found))
+    f += found
+    f += ["repeated"] * bit(2) + ["ends" if ends else "open", "lower first" if lower else "upper first" if bit(5) else "other first"]
+    f.append(f"fits {fits} {'ends' if ends else 'open'}")
+    f += ["names only"] * names + ["short"] * bit(7)
+    f += [[], ["indented by one"], ["indented"], ["indented far"]][code >> 8 & 3]
+    f += ["first"] * bit(10) + ["last"] * bit(11)
+    if bit(12):
+        f += ["interrupts " + ("lower" if lower else "other")] * bit(13)
+        f.append(f"begins {bit(14)} {bit(15)} {'lower' if lower else 'other'}")
+        f += ["indented more"] * bit(16)
+    f += ["title place"] * bit(17)
+    f += ["after blank", f"after blank {bit(19)}"] * bit(18) + ["before blank"] * bit(20)
+    for a in JOINED:
+        if a in found or a == "names only" and names:
+            f.append(f"{a} & {'fits' if fits else 'full'} & {'ends' if ends else 'open'}")
+            f.append(f"{a} & {thirds} & {'lower' if lower else 'other'}")
+    return tuple(f)
+
+
+def feature_sets(pages: list[list[str]]) -> tuple[list[tuple[str, ...]], np.ndarray, np.ndarray]:
+    """(sets of features, for each line that isn't blank the number of its set, for each line whether it isn't blank).
+
+    The features are those of features(), for many pages at once.
+    """
+    raw, size = [x for lines in pages for x in lines], np.array([len(lines) for lines in pages], np.int64)
+    bare = [x.strip() for x in raw]
+    length = np.fromiter(map(len, bare), np.int64, len(raw))
+    filled = length > 0
+    s = [x for x in bare if x]
+    if not s:
+        return [], np.zeros(0, np.int64), filled
+    # what comes before a line's first character
+    feed, lead, tab = np.zeros(len(raw), bool), np.zeros(len(raw), np.int64), np.zeros(len(raw), bool)
+    for i in np.flatnonzero(np.fromiter(map(len, raw), np.int64, len(raw)) != length).tolist():
+        c = raw[i][0]
+        feed[i], tab[i] = c == "\f", c in " \t"
+        if tab[i]:
+            lead[i] = len(raw[i]) - len(raw[i].lstrip())
+    page_of_raw, last_raw = np.repeat(np.arange(len(pages)), size), np.zeros(len(raw), bool)
+    last_raw[(np.cumsum(size) - 1)[size > 0]] = True
+    first_raw = np.roll(last_raw, 1)
+    first_raw[0] = True
+    at = np.flatnonzero(filled)
+    page, n = page_of_raw[at], length[at]
+    has_before, has_after = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    has_before[1:] = page[1:] == page[:-1]
+    has_after[:-1] = has_before[1:]
+    prev, next_ = np.maximum(np.arange(len(at)) - 1, 0), np.minimum(np.arange(len(at)) + 1, len(at) - 1)
+    # characters of all lines, each followed by a line end
+    codes = np.frombuffer("\n".join([*s, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    end = np.cumsum(n + 1) - 1
+    start = end - n
+    kinds, letters = _characters()
+    beyond = codes >= PLANE
+    strange = np.add.reduceat(beyond, start, dtype=np.int64) > 0 if beyond.any() else None
+    if strange is not None:
+        codes = np.where(beyond, 0, codes)
+    kind = kinds[codes]
+    space = kind & SPACE > 0
+    words = np.add.reduceat(space[1:] & ~space[:-1], np.maximum(start - 1, 0), dtype=np.int64) if len(codes) > 1 else np.ones(1, np.int64)
+    where = np.flatnonzero(space)
+    word = where[np.searchsorted(where, start)] - start
+    blank = codes == 32
+    blank[end] = True
+    where = np.flatnonzero(blank)
+    until = where[np.searchsorted(where, start)] - start
+    any_, head, tail = np.bitwise_or.reduceat(kind, start), kind[start], kind[end - 1]
+    per_page = np.bincount(page, minlength=len(pages))
+    order, begin = np.lexsort((n, page)), np.cumsum(per_page) - per_page
+    width = np.zeros(len(pages), np.int64)
+    width[per_page > 0] = n[order][(begin + ((per_page - 1) * 0.9).astype(np.int64))[per_page > 0]]
+    width = width[page]
+    ends, lower, upper = tail & ENDS > 0, head & LOWER > 0, head & UPPER > 0
+    fits = np.where(has_after, n + 1 + until[next_] < width, n < width - 12)
+    # lines that come again, by their letters, and then as features() tells them
+    again = np.zeros(len(at), bool)
+    short = np.flatnonzero(n < 60)
+    total = np.add.reduceat(letters[codes], start, dtype=np.uint32)[short].astype(np.int64) | page[short] << 32
+    _, of, many = np.unique(total, return_inverse=True, return_counts=True)
+    alike: dict[int, list[int]] = {}
+    for i in short[many[of] > 1].tolist():
+        alike.setdefault(page[i], []).append(i)
+    for lines in alike.values():
+        pairs = keyed([s[i] for i in lines])
+        often = Counter(k for _, k in pairs)
+        twice = {x for x, k in pairs if often[k] > 1}
+        again[[i for i in lines if s[i] in twice]] = True
+    blank_before, blank_after = ~first_raw[at], ~last_raw[at]
+    blank_before[blank_before] = ~filled[at[blank_before] - 1]
+    feeds_next = blank_after.copy()
+    feeds_next[blank_after] = feed[at[blank_after] + 1]
+    blank_after[blank_after] = ~filled[at[blank_after] + 1]
+    feed, tab, lead = feed[at], tab[at], lead[at]
+    before = tail[prev]
+    bits = [
+        feed, feeds_next | has_after & feed[next_], again, ends, lower, upper, fits, n < 0.6 * width,
+        (lead == 1) | (lead > 5), lead > 1, ~has_before, ~has_after, has_before,
+        has_before & has_after & (before & STOPS == 0) & (head[next_] & LOWER > 0),
+        has_before & (before & CLOSES > 0), has_before & (n[prev] + 1 + word < width), has_before & tab & ~tab[prev],
+        fits & ~ends & has_after & (head[next_] & UPPER > 0),
+        blank_before, blank_before & (~has_before | (before & CLOSES > 0)), blank_after,
+    ]
+    code = np.zeros(len(at), np.int64)
+    for k, b in enumerate(bits):
+        code |= b.astype(np.int64) << k
+    # what only expressions tell
+    plain: tuple[tuple[str, ...], bool, int] = ((), False, 0)
+    odds = {plain: 0}
+    # a page number has no more letters and digits than those of "bladzijde", two numbers and "von"; other expressions for
+    # digits hold only lines whose last letter or digit is one or looks like one, or which end as figures do
+    where = np.flatnonzero(kind & WORDLY)
+    known = np.concatenate([[0], kind[where] & NUMERAL])[np.searchsorted(where, end)] > 0
+    gap = np.add.reduceat(blank[1:] & blank[:-1], np.maximum(start - 1, 0), dtype=np.int64) > 0 if len(codes) > 1 else np.zeros(1, bool)
+    digits = (any_ & DECIMAL > 0) & (known | (n < 14) | (tail & AMOUNTS > 0) & (gap | (head & DECIMAL > 0)))
+    look = digits | (n < 40) & (np.add.reduceat(kind & ALNUM > 0, start, dtype=np.int64) <= 24) | ((any_ & LOWER == 0) & (any_ & UPPER > 0)) | (words <= 3) & upper | (words <= 2) & (any_ & OPENS > 0)
+    odd = np.zeros(len(at), np.int64)
+    after_figures = has_before & ~last_raw[at] & (before & AMOUNTS > 0) & (head & tail & NUMERAL > 0)
+    before_amount = digits & has_after & (head[next_] & tail[next_] & DECIMAL > 0)
+    for i, a, b in zip(*(x.tolist() for x in (np.flatnonzero(look), after_figures[look], before_amount[look]))):
+        o = _odd(s[i], a and FIGURES.match(s[i - 1]) is not None, b and AMOUNT.match(s[i + 1]) is not None)
+        if o != plain:
+            odd[i] = odds.setdefault(o, len(odds))
+    tell = list(odds)
+    distinct, seq = np.unique(code | odd << 32, return_inverse=True)
+    sets = [_described(c & 0xFFFFFFFF, tell[c >> 32]) for c in distinct.tolist()]
+    if strange is not None:
+        seq = seq.copy()
+        of_raw = np.cumsum(size) - size
+        for k in set(page[strange].tolist()):
+            mine = [tuple(f) for f in features(raw[of_raw[k] : of_raw[k] + size[k]]) if f]
+            seq[page == k] = range(len(sets), len(sets) + len(mine))
+            sets += mine
+    return sets, seq, filled
+
+
 class Labeller:
     """Linear-chain model: weights of features (a row a feature, a column a label) and of pairs of labels."""
 
@@ -224,12 +428,15 @@ class Labeller:
         return out
 
 
-def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 60, memory: int = 8, curvature: np.ndarray | None = None) -> np.ndarray:
+def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 60, memory: int = 8, curvature: Callable[[], np.ndarray] | None = None, longest: float = 1.0) -> np.ndarray:
     """Where a smooth convex function with its gradient is least (limited-memory BFGS with backtracking).
 
-    curvature: second derivatives, about, of which steps begin; without them a step is as long as the last one says.
+    curvature: gives second derivatives, about, of which steps begin, once f is known at x; then no step is longer than
+    longest in any direction, and the last one is where the next would gain as little. Without them a step is as long
+    as the last one says.
     """
     v, g = f(x)
+    bend = None if curvature is None else curvature()
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
         q, alphas = g.copy(), []
@@ -237,13 +444,17 @@ def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             a = (s @ q) / (y @ s)
             alphas.append(a)
             q -= a * y
-        if curvature is not None:
-            q = np.linalg.solve(curvature, q)
+        if bend is not None:
+            q = np.linalg.solve(bend, q)
         else:
             q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(g).sum())
         for (s, y), a in zip(past, reversed(alphas)):
             q += s * (a - (y @ q) / (y @ s))
         step, slope = 1.0, g @ q
+        if bend is not None:
+            if slope / 2 <= 1e-5 * abs(v):
+                break
+            step = min(1.0, longest / np.abs(q).max())
         while True:
             nx = x - step * q
             nv, ng = f(nx)
@@ -259,14 +470,6 @@ def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def curvature(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, more: float, h: float = 1e-4) -> np.ndarray:
-    """Second derivatives by differences of the gradient, and so much more in every direction, for shorter steps."""
-    g = f(x)[1]
-    rows = np.array([(f(x + h * e)[1] - g) / h for e in np.eye(len(x))])
-    values, axes = np.linalg.eigh((rows + rows.T) / 2)
-    return (axes * (np.maximum(values, 0) + more)) @ axes.T
-
-
 class Block:
     """Pages to train on: the distinct sets of features, and for each step of the recursions the sets of the lines
     there, of the longest page first."""
@@ -281,6 +484,18 @@ class Block:
         self.pages.append((np.array([self.sets.setdefault(tuple(f), len(self.sets)) for f in feats], np.uint32), np.array(gold, np.int8)))
         self.lines += len(gold)
 
+    def add_all(self, pages: list[tuple[list[str], list[int | None]]]) -> None:
+        """Many pages by their lines and labels; blank lines have none."""
+        sets, seq, filled = feature_sets([lines for lines, _ in pages])
+        ids = np.array([self.sets.setdefault(f, len(self.sets)) for f in sets], np.uint32)[seq]
+        gold = np.array([-1 if y is None else y for _, gold in pages for y in gold], np.int8)
+        page = np.repeat(np.arange(len(pages)), [len(gold) for _, gold in pages])[filled]
+        gold = gold[filled]
+        told = gold >= 0
+        ids, gold, cuts = ids[told], gold[told], np.cumsum(np.bincount(page[told], minlength=len(pages)))[:-1]
+        self.pages += [(i, y) for i, y in zip(np.split(ids, cuts), np.split(gold, cuts)) if len(y)]
+        self.lines += len(gold)
+
     def packed(self) -> Block:
         """The block with its pages beside each other, to which none can be added."""
         names: dict[str, int] = {}
@@ -293,7 +508,8 @@ class Block:
         begin = np.cumsum(length) - length
         # step t takes the first left[t] of the pages
         self.left = [int(np.searchsorted(-length, -t)) for t in range(length[0])]
-        self.seq = seq[np.concatenate([begin[:k] + t for t, k in enumerate(self.left)])]
+        at = np.concatenate([begin[:k] + t for t, k in enumerate(self.left)])
+        self.seq, self.labels = seq[at], gold[at]
         self.seen, self.gold, after = np.zeros((3, 3), np.int64), np.zeros((len(sets), 3), np.int64), np.ones(len(gold), bool)
         after[begin] = False
         after = np.flatnonzero(after)
@@ -302,12 +518,11 @@ class Block:
         self.sets, self.pages = {}, []
         return self
 
-    def sums(self, own: np.ndarray, pairs: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """Units of what the likelihood's logarithm lacks, and of its gradient by the weights of self.names and of pairs."""
-        whole = lambda x: np.rint(x * UNIT)
+    def posteriors(self, own: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores of the sets, probabilities of labels before and after the pair that ends at each line, those of the lines' labels,
+        what the likelihood is scaled by)."""
         e = np.add.reduceat(own[self.ids], self.starts, axis=0)
-        top, high = e.max(1), pairs.max()
-        x, m = np.ascontiguousarray(np.exp(e - top[:, None]).T)[:, self.seq], np.exp(pairs - high)
+        x, m = np.ascontiguousarray(np.exp(e - e.max(1)[:, None]).T)[:, self.seq], np.exp(pairs - pairs.max())
         fwd, bwd, step, before, scale = np.empty_like(x), np.ones_like(x), np.zeros_like(x), np.zeros_like(x), np.empty(len(self.seq))
         begin = [0, *np.cumsum(self.left).tolist()]
         for t, k in enumerate(self.left):
@@ -322,32 +537,72 @@ class Block:
             i = slice(begin[t], begin[t + 1])
             g = step[:, i] = x[:, i] * bwd[:, i] / scale[i]
             bwd[:, begin[t - 1] : begin[t - 1] + self.left[t]] = m[:, :1] * g[0] + m[:, 1:2] * g[1] + m[:, 2:] * g[2]
-        p = whole(fwd * bwd)
-        more = np.stack([np.bincount(self.seq, p[k], len(e)) for k in range(3)], 1) - self.gold * UNIT
-        grad = np.stack([np.bincount(self.ids, more[self.of, k], len(self.names)) for k in range(3)], 1).astype(np.int64)
+        return e, before, step, fwd * bwd, scale
+
+    def sums(self, own: np.ndarray, pairs: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Units of what the likelihood's logarithm lacks, of its gradient by the weights of self.names and of pairs, and
+        of the variances of labels by the weights of self.names."""
+        whole = lambda x: np.rint(x * UNIT)
+        e, before, step, p, scale = self.posteriors(own, pairs)
+        top, high, m = e.max(1), pairs.max(), np.exp(pairs - pairs.max())
+        by_name = lambda x: np.stack([np.bincount(self.ids, x[self.of, k], len(self.names)) for k in range(3)], 1).astype(np.int64)
+        by_set = lambda x: np.stack([np.bincount(self.seq, x[k], len(e)) for k in range(3)], 1)
+        grad, spread_ = by_name(by_set(whole(p)) - self.gold * UNIT), by_name(by_set(whole(p * (1 - p))))
         joint = np.array([[whole(before[a] * step[b] * m[a, b]).sum() for b in range(3)] for a in range(3)]).astype(np.int64)
         fixed = lambda x: whole(x).astype(np.int64)
         value = fixed(np.log(scale)).sum() + (fixed(top) * self.gold.sum(1)).sum() - (fixed(e) * self.gold).sum() + (fixed(high - pairs) * self.seen).sum()
-        return int(value), grad, joint - self.seen * UNIT
-
-
-def total_sums(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> np.ndarray:
-    """The sums of all blocks in the order of the weights, the value first."""
+        return int(value), grad, joint - self.seen * UNIT, spread_
+
+    def products(self, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The pages' gradients multiplied with each other, by the weights of self.names and of pairs, in units of FINE * FINE."""
+        _, before, step, p, _ = self.posteriors(own, pairs)
+        m, page = np.exp(pairs - pairs.max()), np.concatenate([np.arange(k) for k in self.left])
+        off = p - np.eye(3)[:, self.labels]
+        many = np.diff([*self.starts, len(self.ids)])[self.seq]
+        line = np.repeat(np.arange(len(self.seq)), many)
+        name = self.ids[np.arange(len(line)) + np.repeat(self.starts[self.seq] - np.cumsum(many) + many, many)]
+        own_ = [np.bincount(page[line] * len(self.names) + name, off[k][line], self.left[0] * len(self.names)).reshape(-1, len(self.names)) for k in range(3)]
+        later = np.arange(len(self.seq)) >= self.left[0]
+        was = np.concatenate([np.zeros(self.left[0], np.int64), *(self.labels[b : b + k] for b, k in zip(np.cumsum([0, *self.left]), self.left[1:]))])
+        pair = [np.bincount(page, (before[a] * step[b] * m[a, b] - (was == a) * (self.labels == b)) * later, self.left[0]) for a in range(3) for b in range(3)]
+        g = np.rint(np.concatenate([np.stack(own_, 2).reshape(self.left[0], -1), np.stack(pair, 1)], 1) * FINE)
+        return g.T @ g
+
+
+def sums_and_variances(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all blocks in the order of the weights, the value first; and the variances of labels, by all but the last weights."""
     own, pairs = w[:-9].reshape(-1, 3), w[-9:].reshape(3, 3)
-    out = np.zeros(1 + len(w), np.int64)
+    out, variances = np.zeros(1 + len(w), np.int64), np.zeros(len(w) - 9, np.int64)
     for b in blocks:
         at = [names[x] for x in b.names]
-        value, grad, joint = b.sums(own[at], pairs)
+        value, grad, joint, spread_ = b.sums(own[at], pairs)
         out[0] += value
         out[1:-9].reshape(-1, 3)[at] += grad
         out[-9:] += joint.ravel()
-    return out
+        variances.reshape(-1, 3)[at] += spread_
+    return out, variances
+
+
+def products_of(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> np.ndarray:
+    """The sum over all pages of their gradients multiplied with each other: the second derivatives, about, near the least loss."""
+    own, pairs = w[:-9].reshape(-1, 3), w[-9:].reshape(3, 3)
+    out = np.zeros((len(w), len(w)))
+    for b in blocks:
+        at = np.array([names[x] for x in b.names])
+        at = np.concatenate([(3 * at[:, None] + np.arange(3)).ravel(), np.arange(len(w) - 9, len(w))])
+        out[np.ix_(at, at)] += b.products(own[at[:-9:3] // 3], pairs)
+    return out / FINE**2
 
 
-def loss_of(sums: Callable[[np.ndarray], np.ndarray], ridge: float, times: float = 1.0) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """The penalised loss with its gradient, from sums for weights; times: how many such pages one stands for."""
+def total_sums(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> np.ndarray:
+    """The sums of all blocks in the order of the weights, the value first."""
+    return sums_and_variances(blocks, names, w)[0]
+
+
+def loss_of(sums: Callable[[np.ndarray], np.ndarray], ridge: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The penalised loss with its gradient, from sums for weights."""
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = sums(w) * (times / UNIT)
+        s = sums(w) / UNIT
         return float(s[0] + ridge / 2 * (w @ w)), s[1:] + ridge * w
 
     return loss
@@ -368,6 +623,13 @@ def chain(pages: list[tuple[list[list[str]], list[int]]], ridge: float = 0.3) ->
     return labeller_of(names, minimum(loss_of(lambda w: total_sums([block], names, w), ridge), np.zeros(3 * len(names) + 9)))
 
 
+@lru_cache(1024)
+def _split(paragraph: str) -> tuple[str, list[str], list[int]]:
+    """A paragraph with its words one space apart, its words, and where the word after each begins."""
+    words = paragraph.split()
+    return " ".join(words), words, list(accumulate([len(w) + 1 for w in words]))
+
+
 def made_page(paragraphs: list[str], titles: list[str], rnd: random.Random) -> tuple[list[str], list[int | None]]:
     """A clean text wrapped and cut into pages with furniture between them, with labels; blank lines have none.
 
@@ -380,18 +642,19 @@ def made_page(paragraphs: list[str], titles: list[str], rnd: random.Random) -> t
             name = rnd.choice(titles).split(" ")[1 : rnd.randint(2, 3)] or ["Amt"]
             lines += [(f"{' '.join(name).title()}   {rnd.randint(10, 99999)}", BODY), (f"{rnd.randint(10, 999)},{rnd.randint(10, 99)}", BODY)]
         at = " " * rnd.randint(2, 5) if apart == "indent" else ""
-        for word in p.split():
-            while at.strip() and len(at) + 1 + len(word) > width:
-                room = width - len(at) - 2
+        p, words, ends = _split(p)
+        lo = i = 0  # the line begins there in the paragraph, with a word or the rest of one
+        while i < len(words):
+            j = max(i + 1, bisect_right(ends, width - len(at) + lo + 1))
+            hi = ends[j - 1] - 1
+            if j < len(words):
+                room, word = width - len(at) - (hi - lo) - 2, words[j]
                 if rnd.random() < 0.3 and 2 <= room < len(word) - 1 and word.isalpha():
-                    lines.append((f"{at} {word[:room]}-", BODY))
-                    at, word = "", word[room:]
+                    lines.append((f"{at}{p[lo : hi + 1 + room]}-", BODY))
+                    at, lo, i = "", hi + 1 + room, j
                     continue
-                lines.append((at, BODY))
-                at = ""
-            at = f"{at} {word}" if at.strip() else at + word
-        if at.strip():
-            lines.append((at, BODY))
+            lines.append((at + p[lo:hi], BODY))
+            at, lo, i = "", hi + 1, j
         if len(lines) > begin:
             lines[begin] = (lines[begin][0], BREAK)
         if apart == "blank":
@@ -486,58 +749,83 @@ def learn(texts: list[str], ridge: float = 0.3, seed: int = 7) -> Labeller:
     return chain(list(training_pages(texts, random.Random(seed))), ridge)
 
 
-def learn_all(texts: DataFrame, ident: str, text: str, ridge: float = 0.3, lines: int = 200_000) -> Labeller:
+def learn_all(texts: DataFrame, ident: str, text: str, ridge: float = 0.3, lines: int = 200_000, together: int = 10_000) -> Labeller:
     """As learn(), from pages made of all texts that aren't wrapped; only sums for each set of weights come to the driver.
 
     The search begins at the weights for the pages of some texts, and ends at those for all; these are few enough for the driver.
     """
-    drawn = F.pmod(F.xxhash64(ident, text), F.lit(1 << 40))
-    rows = texts.select(F.col(text).alias("t"), drawn.alias("drawn"), (drawn % F.lit(max(1, texts.count() // BEGIN)) == 0).alias("first"))
+    drawn, n = F.pmod(F.xxhash64(ident, text), F.lit(1 << 40)), texts.count()
+    some = lambda k: drawn % F.lit(max(1, n // k)) == 0
+    rows = texts.select(F.col(text).alias("t"), drawn.alias("drawn"), F.when(some(BEGIN), 0).when(some(5 * BEGIN), 1).otherwise(2).alias("level"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(block: Block, first: bool) -> pd.DataFrame:
-            return pd.DataFrame({"names": [block.packed().names], "block": [pickle.dumps(block)], "first": [first], "lines": [block.lines]})
+        def out(block: Block, level: int) -> pd.DataFrame:
+            return pd.DataFrame({"names": [block.packed().names], "block": [pickle.dumps(block)], "level": [level], "lines": [block.lines]})
 
-        blocks = [Block(), Block()]
+        blocks, pages, waiting = [Block() for _ in range(3)], [[] for _ in range(3)], [0] * 3
         for pdf in batches:
-            for t, seed, first in zip(pdf["t"], pdf["drawn"], pdf["first"]):
+            for t, seed, level in zip(pdf["t"], pdf["drawn"], pdf["level"]):
                 if not UNWRAPPED.search(t):
                     continue
-                for page in training_pages([t], random.Random(seed)):
-                    blocks[first].add(*page)
-                if blocks[first].lines >= lines:
-                    yield out(blocks[first], bool(first))
-                    blocks[first] = Block()
-        for first, block in enumerate(blocks):
+                made = made_pages([t], 4, random.Random(seed))
+                pages[level] += made
+                waiting[level] += sum(len(gold) for _, gold in made)
+                if waiting[level] >= together:
+                    blocks[level].add_all(pages[level])
+                    pages[level], waiting[level] = [], 0
+                if blocks[level].lines >= lines:
+                    yield out(blocks[level], level)
+                    blocks[level] = Block()
+        for level, block in enumerate(blocks):
+            block.add_all(pages[level])
             if block.lines:
-                yield out(block, bool(first))
+                yield out(block, level)
 
-    blocks = checkpoint(rows.mapInPandas(pack, "names array<string>, block binary, first boolean, lines long"))
+    blocks = checkpoint(rows.mapInPandas(pack, "names array<string>, block binary, level int, lines long"))
     names = {x: i for i, x in enumerate(sorted(r[0] for r in blocks.select(F.explode("names")).distinct().collect()))}
-    size = {r.first_: r.n for r in blocks.groupBy(F.col("first").alias("first_")).agg(F.sum("lines").alias("n")).collect()}
-    if not size:
-        return Labeller()
-    w, bend, sc = np.zeros(3 * len(names) + 9), None, texts.sparkSession.sparkContext
-    if True in size:
-        few = [pickle.loads(r.block) for r in blocks.where("first").select("block").collect()]
-        times = sum(size.values()) / size[True]
-        loss = loss_of(lambda w: total_sums(few, names, w), ridge, times)
-        w = minimum(loss, w)
-        bend = curvature(loss, w, 10 * ridge) if False in size else None
-
-    def sums(w: np.ndarray) -> np.ndarray:
+    size = {r.level: r.n for r in blocks.groupBy("level").agg(F.sum("lines").alias("n")).collect()}
+    w, sc = np.zeros(3 * len(names) + 9), texts.sparkSession.sparkContext
+    here: dict[int, list[Block]] = {0: [], 1: []}
+    for r in blocks.where("level < 2").select("level", "block").collect():
+        here[r.level].append(pickle.loads(r.block))
+    few = here[0] or here[1]
+
+    def there(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums and variances of all blocks, also of those that aren't here."""
         shared = sc.broadcast((names, w))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            s = total_sums((pickle.loads(b) for pdf in batches for b in pdf["block"]), *shared.value)
+            s = np.concatenate(sums_and_variances((pickle.loads(b) for pdf in batches for b in pdf["block"]), *shared.value))
             yield pd.DataFrame({"s": [s.tobytes()]})
 
         found = blocks.select("block").mapInPandas(run, "s binary").collect()
         shared.unpersist()
-        return sum((np.frombuffer(r.s, np.int64) for r in found), np.zeros(1 + len(w), np.int64))
-
-    if False in size:
-        w = minimum(loss_of(sums, ridge), w, curvature=bend)
+        s, v = np.split(sum((np.frombuffer(r.s, np.int64) for r in found), np.zeros(2 * len(w) - 8, np.int64)), [1 + len(w)])
+        return s, v
+
+    def onward(w: np.ndarray, of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], few: list[Block], n: int) -> np.ndarray:
+        """Where the loss over n lines is least, from w; of: their sums and variances; few: some of their pages."""
+        variances = np.zeros(0)
+
+        def sums(w: np.ndarray) -> np.ndarray:
+            nonlocal variances
+            s, variances = of(w)
+            return s
+
+        def bend() -> np.ndarray:
+            """Second derivatives at w: those over few pages, stretched by the labels' variances, which are known for all."""
+            stretch = np.concatenate([np.sqrt(variances / (sums_and_variances(few, names, w)[1] + UNIT)), np.full(9, np.sqrt(n / sum(b.lines for b in few)))])
+            return (products_of(few, names, w) + np.eye(len(w))) * stretch * stretch[:, None] + ridge * np.eye(len(w))
+
+        return minimum(loss_of(sums, ridge), w, curvature=bend if few else None)
+
+    if few:
+        # few pages' weights are held back more than those of all, or rare features' would be too sure
+        w = minimum(loss_of(lambda w: total_sums(few, names, w), 1.0 if len(size) > 1 else ridge), w)
+    if len(few) < len(here[0] + here[1]):
+        w = onward(w, lambda w: sums_and_variances(here[0] + here[1], names, w), few, size[0] + size[1])
+    if 2 in size:
+        w = onward(w, there, here[0] + here[1], sum(size.values()))
     return labeller_of(names, w)
 
 
@@ -603,12 +891,14 @@ class Reader:
     def __init__(self, labeller: Labeller, lexicon: dict[str, int], rare: dict[str, int] | None = None, pages: Pages | None = None) -> None:
         self.labeller, self.lexicon, self.rare, self.pages, self.known = labeller, lexicon, rare or {}, pages or Pages(), {}
         self.doubtful: dict[str, tuple] = {}
+        self.right: set[str] = set()  # tokens that are no sign
+        self.sure: set[str] = set()  # tokens without a word that may be misread
         self.undo = defaultdict(list)
         for right, seen in MISREAD:
             self.undo[seen[0]].append((seen, right))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "doubtful": {}}
+        return self.__dict__ | {"known": {}, "doubtful": {}, "right": set(), "sure": set()}
 
     def scanned(self, lines: list[str]) -> bool:
         """Whether the text is a page, by its layout or by the signs of scanning in it."""
@@ -622,8 +912,13 @@ class Reader:
         """
         text = "\n".join(lines).lower()
         signs = 0
-        for token in set(text.split()):
-            signs += any(self.correct(w) is not None for w in self.doubts(token))
+        if len(self.right) > self.REMEMBERED:
+            self.right.clear()
+        for token in set(text.split()) - self.right:
+            if any(self.correct(w) is not None for w in self.doubts(token)):
+                signs += 1
+            else:
+                self.right.add(token)
             if signs >= enough:
                 return signs
         here, numbers = None, []
@@ -632,7 +927,7 @@ class Reader:
             if 0 < len(x) < 40 and i and DIGIT.search(x) and PAGE.match(x) and not FIGURES.match(x):
                 numbers.append(i)
             elif x and x[-1] in HYPHENS and i + 1 < len(lines) and (m := HYPHEN_END.search(x)) and (first := re.match(r"[\w@$'’]+", lines[i + 1].lstrip())):
-                here = here or Counter(WORD.findall(text) + COMPOUND.findall(text))
+                here = here or Counter(WORD.findall(text) + compounds(text))
                 a, b = m.group(1).split("'")[-1].split("’")[-1], first.group()
                 signs += x[-1] in "­¬" or (self.count((a + b).lower()) > 0 and self.broken(a, b, here))
         if numbers:
@@ -657,8 +952,11 @@ class Reader:
         if (x := self.doubtful.get(token)) is None:
             if len(self.doubtful) > self.REMEMBERED:
                 self.doubtful.clear()
+                self.sure.clear()
             ws = [w for w in WORD.findall(token) if not w.isdigit()]
             x = self.doubtful[token] = tuple(w for w in ws if self.correct(w) is not None or (len(w) > 4 and w not in self.lexicon))
+            if not x:
+                self.sure.add(token)
         return x
 
     def misread(self, w: str, here: Counter) -> str | None:
@@ -715,7 +1013,7 @@ class Reader:
         running = [i for i, y in enumerate(labels) if y in (BODY, BREAK)]
         all_ = "\n".join(lines[i] for i in running).lower()
         here = Counter(WORD.findall(all_))
-        here.update(COMPOUND.findall(all_))
+        here.update(compounds(all_))
         cut: set[int] = set()
         for i, j in zip(running, running[1:]):
             if lines[i].rstrip(" \t")[-1:] in HYPHENS and (m := HYPHEN_END.search(lines[i])):
@@ -743,7 +1041,8 @@ class Reader:
                 skip_next = len(tail)
             whole = text_line + tail
             if not tail:
-                if any(self.misread(w, here) for token in whole.lower().split() for w in self.doubts(token)):
+                tokens = whole.lower().split()
+                if not self.sure.issuperset(tokens) and any(self.misread(w, here) for token in tokens for w in self.doubts(token)):
                     misread.add(i)
             else:
                 for m in WORD.finditer(whole):
@@ -792,7 +1091,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
                 low = t.lower()
                 n.update(PLAIN.findall(low))
                 if "-" in low or "‐" in low:
-                    n.update(COMPOUND.findall(low))
+                    n.update(compounds(low))
                     for m in PARTED.finditer(low):
                         if a := LAST.search(low[max(0, m.start() - 60) : m.start()]):
                             parted |= {a.group() + m.group(1), f"{a.group()}-{m.group(1)}"}

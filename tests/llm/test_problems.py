@@ -452,6 +452,62 @@ def test_labeller_learns_from_all_texts(spark, monkeypatch):
     assert loss(w)[0] < 1.001 * loss(scans.minimum(loss, w))[0]
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_search_for_weights_takes_few_passes(spark, monkeypatch):
+    """The pages of all texts are read a few times, and those of few texts not once for each weight."""
+    monkeypatch.setattr(scans, "BEGIN", 40)
+    passes, loss_of = [], scans.loss_of
+
+    def counted(*args):
+        passes.append(0)
+        loss = loss_of(*args)
+
+        def count(w):
+            passes[-1] += 1
+            return loss(w)
+
+        return count
+
+    monkeypatch.setattr(scans, "loss_of", counted)
+    content = spark.read.parquet("/root/testdata/sf0.01/content.parquet").where("document_id IS NOT NULL AND text IS NOT NULL")
+    scans.learn_all(content, "document_id", "text")
+    assert 1 < passes[-1] <= 25 and sum(passes) < 200
+
+
+def test_products_of_gradients():
+    """Those of all pages in a block against those of each page by itself."""
+    rnd, blocks, every = random.Random(17), [], scans.Block()
+    for _ in range(40):
+        page = [([rnd.choice("abcd"), rnd.choice("xyz")], rnd.randrange(3)) for _ in range(rnd.randint(1, 6))]
+        blocks.append(scans.Block())
+        for b in (blocks[-1], every):
+            b.add([f for f, _ in page], [y for _, y in page])
+    names, w = {x: i for i, x in enumerate("abcdxyz")}, scans.np.array([rnd.gauss(0, 1) for _ in range(30)])
+    each = scans.np.array([scans.total_sums([b.packed()], names, w)[1:] / scans.UNIT for b in blocks])
+    assert scans.np.allclose(scans.products_of([every.packed()], names, w), each.T @ each, atol=0.05)
+
+
+def test_features_of_many_pages_at_once():
+    """They are those of each page by itself, whatever its lines are."""
+    rnd = random.Random(18)
+    odd = ["", "  x", "\f", "\fPage 3", "Ⅷ 12", "ſs K", "\x1c a\x1c b", "𝒜𝒷 12", "\ud800x", "12", "— 12 —", " \t12,50", "ÀÉÎÕ", "ǅa", "A", "ﬁx  1999 2", "SCAN_00123", "\xa0b c\xa0", " ", "x_(123)", "Amt   1200", "iv", "Kelvin K", "K k"]
+    pages = [[rnd.choice(odd) for _ in range(rnd.randint(0, 9))] for _ in range(2000)] + [[], [""]]
+    text = "\n".join(" ".join(sentence(rnd, 1) for _ in range(40)).capitalize() + rnd.choice([".", " 1998", " 3,50"]) for _ in range(4))
+    pages += [lines for lines, _ in scans.made_pages([text], 40, rnd)]
+    for some in (pages, pages[:1], [[]], [["a"]]):
+        sets, at, filled = scans.feature_sets(some)
+        want = [f for lines in some for f in scans.features(lines)]
+        assert [bool(f) for f in want] == filled.tolist()
+        assert [list(sets[k]) for k in at] == [f for f in want if f]
+    one, two = scans.Block(), scans.Block()
+    made = scans.made_pages([text], 4, random.Random(19))
+    one.add_all(made)
+    for feats, gold in scans.training_pages([text], random.Random(19)):
+        two.add(feats, gold)
+    tell = lambda b: [([list(b.sets)[k] for k in ids], y.tolist()) for ids, y in b.pages]
+    assert tell(one) == tell(two) and one.lines == two.lines
+
+
 def test_encoding_model_counts_all_records(spark):
     """More records than a sample would have: every one that isn't held out is counted, in whatever parts they come."""
     words = ["Straße", "Übung", "café", "naïve", "Žižek", "größer"]
