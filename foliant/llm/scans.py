@@ -70,6 +70,7 @@ JOINED = ("page+number", "names only", "year end", "capitals", "figures", "title
 JOINED_ANY = frozenset(JOINED)
 
 
+@lru_cache(1 << 14)
 def key(line: str) -> str:
     """A line with its digits made alike, for comparison within a text."""
     return GAPS.sub(" ", DIGITS.sub("9", line.lower())).strip()
@@ -539,15 +540,15 @@ class Block:
             bwd[:, begin[t - 1] : begin[t - 1] + self.left[t]] = m[:, :1] * g[0] + m[:, 1:2] * g[1] + m[:, 2:] * g[2]
         return e, before, step, fwd * bwd, scale
 
-    def sums(self, own: np.ndarray, pairs: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    def sums(self, own: np.ndarray, pairs: np.ndarray, variances: bool = False) -> tuple[int, np.ndarray, np.ndarray, np.ndarray | int]:
         """Units of what the likelihood's logarithm lacks, of its gradient by the weights of self.names and of pairs, and
-        of the variances of labels by the weights of self.names."""
+        of the variances of labels by the weights of self.names, if wanted."""
         whole = lambda x: np.rint(x * UNIT)
         e, before, step, p, scale = self.posteriors(own, pairs)
         top, high, m = e.max(1), pairs.max(), np.exp(pairs - pairs.max())
         by_name = lambda x: np.stack([np.bincount(self.ids, x[self.of, k], len(self.names)) for k in range(3)], 1).astype(np.int64)
         by_set = lambda x: np.stack([np.bincount(self.seq, x[k], len(e)) for k in range(3)], 1)
-        grad, spread_ = by_name(by_set(whole(p)) - self.gold * UNIT), by_name(by_set(whole(p * (1 - p))))
+        grad, spread_ = by_name(by_set(whole(p)) - self.gold * UNIT), by_name(by_set(whole(p * (1 - p)))) if variances else 0
         joint = np.array([[whole(before[a] * step[b] * m[a, b]).sum() for b in range(3)] for a in range(3)]).astype(np.int64)
         fixed = lambda x: whole(x).astype(np.int64)
         value = fixed(np.log(scale)).sum() + (fixed(top) * self.gold.sum(1)).sum() - (fixed(e) * self.gold).sum() + (fixed(high - pairs) * self.seen).sum()
@@ -569,13 +570,13 @@ class Block:
         return g.T @ g
 
 
-def sums_and_variances(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of all blocks in the order of the weights, the value first; and the variances of labels, by all but the last weights."""
+def sums_and_variances(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray, wanted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all blocks in the order of the weights, the value first; and the variances of labels, if wanted, by all but the last weights."""
     own, pairs = w[:-9].reshape(-1, 3), w[-9:].reshape(3, 3)
     out, variances = np.zeros(1 + len(w), np.int64), np.zeros(len(w) - 9, np.int64)
     for b in blocks:
         at = [names[x] for x in b.names]
-        value, grad, joint, spread_ = b.sums(own[at], pairs)
+        value, grad, joint, spread_ = b.sums(own[at], pairs, wanted)
         out[0] += value
         out[1:-9].reshape(-1, 3)[at] += grad
         out[-9:] += joint.ravel()
@@ -596,7 +597,7 @@ def products_of(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -
 
 def total_sums(blocks: Iterable[Block], names: dict[str, int], w: np.ndarray) -> np.ndarray:
     """The sums of all blocks in the order of the weights, the value first."""
-    return sums_and_variances(blocks, names, w)[0]
+    return sums_and_variances(blocks, names, w, False)[0]
 
 
 def loss_of(sums: Callable[[np.ndarray], np.ndarray], ridge: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
@@ -790,12 +791,12 @@ def learn_all(texts: DataFrame, ident: str, text: str, ridge: float = 0.3, lines
         here[r.level].append(pickle.loads(r.block))
     few = here[0] or here[1]
 
-    def there(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def there(w: np.ndarray, wanted: bool) -> tuple[np.ndarray, np.ndarray]:
         """The sums and variances of all blocks, also of those that aren't here."""
         shared = sc.broadcast((names, w))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            s = np.concatenate(sums_and_variances((pickle.loads(b) for pdf in batches for b in pdf["block"]), *shared.value))
+            s = np.concatenate(sums_and_variances((pickle.loads(b) for pdf in batches for b in pdf["block"]), *shared.value, wanted))
             yield pd.DataFrame({"s": [s.tobytes()]})
 
         found = blocks.select("block").mapInPandas(run, "s binary").collect()
@@ -803,13 +804,14 @@ def learn_all(texts: DataFrame, ident: str, text: str, ridge: float = 0.3, lines
         s, v = np.split(sum((np.frombuffer(r.s, np.int64) for r in found), np.zeros(2 * len(w) - 8, np.int64)), [1 + len(w)])
         return s, v
 
-    def onward(w: np.ndarray, of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], few: list[Block], n: int) -> np.ndarray:
+    def onward(w: np.ndarray, of: Callable[[np.ndarray, bool], tuple[np.ndarray, np.ndarray]], few: list[Block], n: int) -> np.ndarray:
         """Where the loss over n lines is least, from w; of: their sums and variances; few: some of their pages."""
-        variances = np.zeros(0)
+        variances = None
 
         def sums(w: np.ndarray) -> np.ndarray:
             nonlocal variances
-            s, variances = of(w)
+            s, v = of(w, variances is None)
+            variances = v if variances is None else variances  # those where the search begins
             return s
 
         def bend() -> np.ndarray:
@@ -823,7 +825,7 @@ def learn_all(texts: DataFrame, ident: str, text: str, ridge: float = 0.3, lines
         # few pages' weights are held back more than those of all, or rare features' would be too sure
         w = minimum(loss_of(lambda w: total_sums(few, names, w), 1.0 if len(size) > 1 else ridge), w)
     if len(few) < len(here[0] + here[1]):
-        w = onward(w, lambda w: sums_and_variances(here[0] + here[1], names, w), few, size[0] + size[1])
+        w = onward(w, lambda w, wanted: sums_and_variances(here[0] + here[1], names, w, wanted), few, size[0] + size[1])
     if 2 in size:
         w = onward(w, there, here[0] + here[1], sum(size.values()))
     return labeller_of(names, w)
