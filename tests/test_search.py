@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.functions import hashing as h
 from foliant.operators import fts, lsh, vectors
@@ -164,3 +165,19 @@ def test_candidate_pairs_are_not_moved(spark):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         found = [((r.a, r.b), r.similarity) for r in got.collect()]
         assert len(found) == len(want) and dict(found) == want
+
+
+def test_candidate_pairs_of_a_task_name_few_classes(spark):
+    rnd = random.Random(4)
+    base = " ".join(rnd.choice("river table lamp green quick stone paper cloud".split()) for _ in range(60))
+    rows = [(str(i), base[: 200 - rnd.randint(0, 120)] + "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 90)))) for i in range(90)]
+    texts = lsh.classes(docs(spark, rows), "document_id", "text")[1]
+    blocks = lsh.blocks(texts)
+    of = {c: i for i, r in enumerate(blocks.collect()) for c in r["class"]}
+    parts = {}
+    for r in lsh.candidates(blocks).withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(r.part, []).append(r)
+    assert len(of) == 90 and parts
+    for rs in parts.values():  # what a file's dictionaries hold, and runs in the first column
+        assert len({of[r.a] for r in rs}) == len({of[r.b] for r in rs}) == 1
+        assert 1 + sum(r.a != s.a for r, s in zip(rs, rs[1:])) == len({r.a for r in rs})
