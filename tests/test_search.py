@@ -169,15 +169,31 @@ def test_candidate_pairs_are_not_moved(spark):
 
 def test_candidate_pairs_of_a_task_name_few_classes(spark):
     rnd = random.Random(4)
-    base = " ".join(rnd.choice("river table lamp green quick stone paper cloud".split()) for _ in range(60))
-    rows = [(str(i), base[: 200 - rnd.randint(0, 120)] + "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 90)))) for i in range(90)]
+    words = "river table lamp green quick stone paper cloud".split()
+    bases = [" ".join(rnd.choice(words) + str(i) for _ in range(30)) for i in range(60)]
+    rows = [(str(i), bases[i % 60][: 150 - rnd.randint(0, 60)] + "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 40)))) for i in range(1200)]
     texts = lsh.classes(docs(spark, rows), "document_id", "text")[1]
     blocks = lsh.blocks(texts)
-    of = {c: i for i, r in enumerate(blocks.collect()) for c in r["class"]}
+    of = {c: i for i, r in enumerate(blocks.orderBy("number").collect()) for c in r["class"]}
+    assert len(of) == texts.count() and max(of.values()) > 1 and sorted(of) == sorted(of, key=of.get)
     parts = {}
     for r in lsh.candidates(blocks).withColumn("part", F.spark_partition_id()).collect():
         parts.setdefault(r.part, []).append(r)
-    assert len(of) == 90 and parts
     for rs in parts.values():  # what a file's dictionaries hold, and runs in the first column
         assert len({of[r.a] for r in rs}) == len({of[r.b] for r in rs}) == 1
         assert 1 + sum(r.a != s.a for r, s in zip(rs, rs[1:])) == len({r.a for r in rs})
+    kept = [(r["class"], set(enumerate(r["keys"]))) for r in lsh.signatures(texts).collect()]
+    got = [(r.a, r.b) for rs in parts.values() for r in rs]
+    assert len(got) == len(set(got)) > 1000 and set(got) == {(a, b) for a, k in kept for b, m in kept if a < b and k & m}
+
+
+def test_blocks_of_a_range_are_cut():
+    rnd = np.random.default_rng(5)
+    n = lsh.BLOCK + 500
+    names, sig = [f"{x:064x}" for x in rnd.permutation(n)], rnd.integers(0, 9, (n, 3))
+    moved = list(lsh._split(((names[i : i + 1000], sig[i : i + 1000], sig[i : i + 1000, :1]) for i in range(0, n, 1000)), 1))
+    got = [(b.column(0)[0].as_py(), lsh._arrays(b, 0, 1)) for b in lsh._merged(iter(moved))]
+    assert [i for i, _ in got] == [0, 1] and [len(c) for _, (c, _, _) in got] == [lsh.BLOCK, 500]
+    assert [c for _, (cs, _, _) in got for c in cs.to_pylist()] == sorted(names)
+    want = dict(zip(names, sig.tolist()))
+    assert all(want[c] == s and want[c][:1] == k for _, (cs, ss, ks) in got for c, s, k in zip(cs.to_pylist(), ss.tolist(), ks.tolist()))
